@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgauge.functions import fixed_values as fixed
-from shiftgauge.functions.text import starts_with_any
+from shiftgauge.functions.text import sql_literal
 from shiftgauge.functions.versions import major, minor, version_key
 from shiftgauge.operators.joins import salted_lookup
 from shiftgauge.sources import dims
@@ -61,12 +61,15 @@ def incompatible_packages(matches: DataFrame, scenarios: DataFrame) -> DataFrame
     )
 
 
-def first_php_package(packages: DataFrame) -> DataFrame:
+def _first_php() -> Column:
+    return F.expr("get(filter(packages, p -> p.section = 'require' and contains(p.name, 'php')), 0)")
+
+
+def first_php_package(parsed: DataFrame) -> DataFrame:
     """First required package whose name contains ``php``, which need not be ``php`` itself."""
-    candidates = packages.filter((F.col("section") == "require") & F.contains("name", F.lit("php")))
     return (
-        candidates.groupBy("project_id")
-        .agg(F.min_by(F.struct("name", "version_string"), "ord").alias("p"))
+        parsed.select("project_id", _first_php().alias("p"))
+        .filter(F.col("p").isNotNull())
         .select(
             "project_id",
             F.col("p.name").alias("php_package"),
@@ -75,34 +78,53 @@ def first_php_package(packages: DataFrame) -> DataFrame:
     )
 
 
-def ownership_counts(packages: DataFrame) -> DataFrame:
-    """Per project: number of entries by the set of frameworks that own them.
+def _owner_mask(name: str) -> str:
+    """SQL for the set of frameworks that own a package name, as a bit mask."""
+    terms = []
+    for bit, fw in enumerate(fixed.FRAMEWORKS):
+        owned = " or ".join(f"startswith({name}, {sql_literal(x)})" for x in fixed.PACKAGE_PREFIXES[fw])
+        terms.append(f"if({owned}, {1 << bit}, 0)")
+    return " + ".join(terms)
+
+
+def manifest_features(parsed: DataFrame) -> DataFrame:
+    """Manifest facts that the migration scores need, row by row.
 
-    The set is a bit mask, so a manifest of any length becomes at most 256 (mask, count) pairs, and
-    any number of scenarios is answered from them without going back to the packages.
+    ``owners`` holds one framework mask per entry, so any number of scenarios is answered later
+    without going back to the packages.
     """
-    mask = F.lit(0)
-    for bit, fw in enumerate(fixed.FRAMEWORKS):
-        owned = starts_with_any(F.col("name"), fixed.PACKAGE_PREFIXES[fw])
-        mask = mask + F.when(owned, F.lit(1 << bit)).otherwise(F.lit(0))
-    return (
-        packages.select("project_id", mask.alias("mask"))
-        .groupBy("project_id", "mask")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("project_id")
-        .agg(F.sum("n").alias("package_count"), F.collect_list(F.struct("mask", "n")).alias("owners"))
+    engines = " ".join(
+        f"when startswith(p.name, {sql_literal(x)}) then '{e}'" for x, e in fixed.TEMPLATE_PACKAGES.items()
+    )
+    required = "filter(packages, p -> p.section = 'require')"
+    return parsed.select(
+        "project_id",
+        F.lit(True).alias("manifest_found"),
+        F.size("packages").alias("package_count"),
+        F.expr(f"transform(packages, p -> {_owner_mask('p.name')})").alias("owners"),
+        _first_php()["version_string"].alias("php_version"),
+        F.expr(
+            f"get(array_compact(transform({required}, p -> case {engines} end)), 0)"
+        ).alias("manifest_engine"),
     )
 
 
+def with_manifests(projects: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Project rows with manifest facts; ``has_manifest`` tells a missing manifest from an empty one."""
+    joined = projects.join(manifest_features(parsed), "project_id", "left")
+    return joined.withColumn("has_manifest", F.coalesce("manifest_found", F.lit(False))).drop("manifest_found")
+
+
 def incompatible_count(owners: str, source: str, target: str) -> Column:
-    """Entries owned by the source and not by the target, from the (mask, count) pairs."""
+    """Entries owned by the source and not by the target."""
 
     def bit(framework: str) -> str:
         branches = " ".join(f"when '{fw}' then {1 << i}" for i, fw in enumerate(fixed.FRAMEWORKS))
         return f"(case {framework} {branches} else 0 end)"
 
-    owned = f"(o.mask & {bit(source)}) != 0 and (o.mask & {bit(target)}) = 0"
-    return F.expr(f"aggregate({owners}, 0L, (total, o) -> total + if({owned}, o.n, 0L))")
+    return F.expr(
+        f"size(filter({owners}, mask -> (mask & {bit(source)}) != 0 and (mask & {bit(target)}) = 0))"
+    )
 
 
 def runtime_penalty(version: Column, min_major: Column, min_minor: Column) -> Column:
@@ -115,30 +137,6 @@ def runtime_penalty(version: Column, min_major: Column, min_minor: Column) -> Co
     return F.when(version.isNull() | min_major.isNull(), F.lit(0.0)).otherwise(penalty)
 
 
-def with_minimum_runtime(scenarios: DataFrame) -> DataFrame:
-    return scenarios.join(dims.minimum_runtime(scenarios.sparkSession), "target_framework", "left")
-
-
-def manifest_features(projects: DataFrame, packages: DataFrame) -> DataFrame:
-    """One row per project: manifest facts that the migration scores need.
-
-    ``projects`` carries ``has_manifest``.
-    """
-    engine = F.lit(None).cast("string")
-    for prefix, name in fixed.TEMPLATE_PACKAGES.items():
-        engine = F.when(F.startswith("name", F.lit(prefix)), F.lit(name)).otherwise(engine)
-    engines = (
-        packages.filter((F.col("section") == "require") & engine.isNotNull())
-        .groupBy("project_id")
-        .agg(F.min_by(engine, "ord").alias("manifest_engine"))
-    )
-    return (
-        projects.join(ownership_counts(packages), "project_id", "left")
-        .join(first_php_package(packages), "project_id", "left")
-        .join(engines, "project_id", "left")
-    )
-
-
 def dependency_compatibility_score(
     has_manifest: Column, package_count: Column, incompatible: Column, penalty: Column
 ) -> Column:
@@ -151,17 +149,18 @@ def dependency_compatibility_score(
     )
 
 
-def with_dependency_scores(scenarios: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Scenarios with the runtime penalty and the dependency score."""
-    joined = with_minimum_runtime(scenarios).join(manifests, "project_id")
+def with_dependency_scores(scenarios: DataFrame) -> DataFrame:
+    """Scenario rows with the runtime penalty and the dependency score."""
+    minimum = dims.minimum_runtime(scenarios.sparkSession)
     penalty = runtime_penalty(F.col("php_version"), F.col("min_major"), F.col("min_minor"))
     incompatible = incompatible_count("owners", "source_framework", "target_framework")
-    return joined.withColumn("php_penalty", penalty).withColumn(
+    with_penalty = scenarios.join(minimum, "target_framework", "left").withColumn("php_penalty", penalty)
+    return with_penalty.withColumn(
         "dependency_compatibility",
         dependency_compatibility_score(
             F.col("has_manifest"), F.col("package_count"), incompatible, F.col("php_penalty")
         ),
-    )
+    ).drop("min_major", "min_minor")
 
 
 def dependency_registry_join(packages: DataFrame, latest: DataFrame) -> DataFrame:
@@ -207,14 +206,13 @@ def dependency_upgrade(projects: DataFrame, outdated: DataFrame) -> DataFrame:
     )
 
 
-def php_version_upgrade(projects: DataFrame, packages: DataFrame, latest: DataFrame) -> DataFrame:
+def php_version_upgrade(projects: DataFrame, latest: DataFrame) -> DataFrame:
     """Steps from the manifest's runtime to the newest one; ``latest`` has exactly one row."""
     current, newest = F.col("php_version"), F.col("latest_php")
     steps = F.abs(major(newest) - major(current)) * 5 + F.abs(minor(newest) - minor(current))
     score = F.when(current.isNull(), F.lit(0.0)).otherwise(round2(clamp(F.lit(100.0) - steps * 7)))
     return (
-        projects.join(first_php_package(packages), "project_id", "left")
-        .crossJoin(F.broadcast(latest))
+        projects.crossJoin(F.broadcast(latest))
         .select("project_id", "php_version", "latest_php", F.when(F.col("has_manifest"), score).alias("php_version_score"))
     )
 

@@ -22,16 +22,22 @@ def tallies(corpus: Corpus, config: ScanConfig) -> DataFrame:
 
 
 def detected(corpus: Corpus) -> DataFrame:
-    return detection.framework_certainty(source.manifest_packages(corpus.manifests), corpus.paths)
+    return detection.framework_certainty(source.parsed_manifests(corpus.manifests), corpus.paths)
 
 
-def scenarios(corpus: Corpus, pairs: Pairs) -> DataFrame:
-    return detection.scenario_matrix(corpus.projects, detected(corpus), pairs)
+def scenarios(corpus: Corpus, pairs: Pairs, project_rows: DataFrame | None = None) -> DataFrame:
+    """Scenarios over plain projects, or over project rows that carry more columns."""
+    rows = corpus.projects if project_rows is None else project_rows
+    return detection.scenario_matrix(detection.with_primary(rows, detected(corpus)), pairs)
 
 
-def manifests(corpus: Corpus) -> DataFrame:
-    projects = source.with_manifest_flag(corpus.projects, corpus.manifests)
-    return dependencies.manifest_features(projects, source.manifest_packages(corpus.manifests))
+def with_manifests(corpus: Corpus, project_rows: DataFrame) -> DataFrame:
+    return dependencies.with_manifests(project_rows, source.parsed_manifests(corpus.manifests))
+
+
+def with_engines(corpus: Corpus, config: ScanConfig, project_rows: DataFrame) -> DataFrame:
+    engines = features.template_engine_by_ending(corpus.files, config)
+    return project_rows.join(engines, "project_id", "left").withColumn("template_engine", scoring.template_engine())
 
 
 def scored(
@@ -41,15 +47,13 @@ def scored(
     include_templating: bool = True,
     extra_scores: Mapping[str, Callable[[], Column]] | None = None,
 ) -> DataFrame:
-    """All component scores, total and band per project and scenario."""
-    engines = features.template_engine_by_ending(corpus.files, config)
-    per_project = (
-        scoring.project_scores(tallies(corpus, config))
-        .join(engines, "project_id", "left")
-        .join(manifests(corpus), "project_id")
-        .withColumn("template_engine", scoring.template_engine())
-    )
-    per_scenario = dependencies.with_dependency_scores(scenarios(corpus, pairs), per_project)
+    """All component scores, total and band per project and scenario.
+
+    Everything is joined at one row per project; the scenarios then multiply finished rows, and
+    their scores are expressions on them.
+    """
+    per_project = with_engines(corpus, config, with_manifests(corpus, scoring.project_scores(tallies(corpus, config))))
+    per_scenario = dependencies.with_dependency_scores(scenarios(corpus, pairs, per_project))
     with_templates = F.lit(include_templating) & (F.col("template_count") > 0)
     scores = per_scenario.withColumns(
         {
@@ -80,10 +84,9 @@ def migration_report(
 
 def legacy_progress(corpus: Corpus, config: ScanConfig, pairs: Pairs) -> DataFrame:
     """Legacy and new files, progress and legacy coupling; projects without legacy files are left out."""
+    with_legacy = tallies(corpus, config).filter(F.col("legacy_count") > 0)
     return (
-        scenarios(corpus, pairs)
-        .join(tallies(corpus, config), "project_id")
-        .filter(F.col("legacy_count") > 0)
+        scenarios(corpus, pairs, with_legacy)
         .withColumn("legacy_coupling", scoring.legacy_coupling_score())
         .select(
             "project_id", "source_choice", "source_framework", "target_framework", "legacy_count",

@@ -15,7 +15,7 @@ from shiftgauge.sources.corpus import Corpus
 
 
 def flagged_projects(corpus: Corpus) -> DataFrame:
-    return source.with_manifest_flag(corpus.projects, corpus.manifests)
+    return source.with_manifest_flag(corpus.projects, source.parsed_manifests(corpus.manifests))
 
 
 def outdated(corpus: Corpus) -> DataFrame:
@@ -32,9 +32,7 @@ def framework_version(corpus: Corpus) -> DataFrame:
 
 def php_version(corpus: Corpus) -> DataFrame:
     return dependencies.php_version_upgrade(
-        flagged_projects(corpus),
-        source.manifest_packages(corpus.manifests),
-        source.latest_runtime(corpus.releases),
+        migration.with_manifests(corpus, corpus.projects), source.latest_runtime(corpus.releases)
     )
 
 
@@ -45,21 +43,23 @@ def codebase_size(corpus: Corpus, config: ScanConfig) -> DataFrame:
 
 
 def upgrade_report(corpus: Corpus, config: ScanConfig) -> DataFrame:
-    """Scores, total and band per project and target runtime; null without a manifest."""
+    """Scores, total and band per project and target runtime; null without a manifest.
+
+    One row per project is joined first; the target runtimes multiply it last.
+    """
     flagged = flagged_projects(corpus)
-    component_scores = (
-        framework_version(corpus)
+    per_project = (
+        php_version(corpus)
+        .select("project_id", F.col("php_version_score").alias("php_version"))
         .join(dependencies.dependency_upgrade(flagged, outdated(corpus)), "project_id")
-        .join(
-            php_version(corpus).select("project_id", F.col("php_version_score").alias("php_version")), "project_id"
-        )
         .join(codebase_size(corpus, config), "project_id")
         .join(flagged, "project_id")
     )
     known = F.col("has_manifest")
     scores = ["framework_version", "dependencies", "php_version", "codebase_size"]
     return (
-        component_scores.select(
+        per_project.join(framework_version(corpus), "project_id")
+        .select(
             "project_id", "target_php", "has_manifest", "file_count", "outdated_count",
             *[F.when(known, F.col(s)).alias(s) for s in scores],
         )

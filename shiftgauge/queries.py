@@ -33,6 +33,10 @@ def _packages(c: Corpus) -> DataFrame:
     return source.manifest_packages(c.manifests)
 
 
+def _parsed(c: Corpus) -> DataFrame:
+    return source.parsed_manifests(c.manifests)
+
+
 def _score(c: Corpus, *columns: str | F.Column) -> DataFrame:
     return scoring.project_scores(migration.tallies(c, CONFIG)).select("project_id", *columns)
 
@@ -42,36 +46,28 @@ def _scenario_score(c: Corpus, *columns: str) -> DataFrame:
 
 
 def _framework_coupling(c: Corpus) -> DataFrame:
-    return (
-        migration.scenarios(c, PAIRS)
-        .join(migration.tallies(c, CONFIG), "project_id")
-        .select(
-            "project_id", "source_choice", "source_framework", "target_framework",
-            scoring.framework_coupling_score().alias("framework_coupling"),
-        )
+    return migration.scenarios(c, PAIRS, migration.tallies(c, CONFIG)).select(
+        "project_id", "source_choice", "source_framework", "target_framework",
+        scoring.framework_coupling_score().alias("framework_coupling"),
     )
 
 
 def _dependency_scores(c: Corpus, *columns: str) -> DataFrame:
-    return dependencies.with_dependency_scores(migration.scenarios(c, PAIRS), migration.manifests(c)).select(
+    scenarios = migration.scenarios(c, PAIRS, migration.with_manifests(c, c.projects))
+    return dependencies.with_dependency_scores(scenarios).select(
         "project_id", "source_choice", "source_framework", "target_framework", *columns
     )
 
 
 def _templates(c: Corpus) -> DataFrame:
-    return (
-        migration.tallies(c, CONFIG)
-        .join(features.template_engine_by_ending(c.files, CONFIG), "project_id", "left")
-        .join(migration.manifests(c), "project_id")
-        .withColumn("template_engine", scoring.template_engine())
-    )
+    return migration.with_engines(c, CONFIG, migration.with_manifests(c, migration.tallies(c, CONFIG)))
 
 
 def _template_score(c: Corpus) -> DataFrame:
-    targets = dims.options(c.projects.sparkSession, PAIRS).select("target_framework").distinct()
+    targets = dims.options(c.projects.sparkSession, [(None, t) for t in sorted({t for _, t in PAIRS})])
     return (
         _templates(c)
-        .crossJoin(F.broadcast(targets))
+        .crossJoin(targets)
         .select("project_id", "target_framework", "template_engine", scoring.template_score().alias("templating"))
     )
 
@@ -123,7 +119,7 @@ OPERATORS: dict[str, Callable[[Corpus], DataFrame]] = {
     "version_parts": lambda c: dependencies.version_parts(_packages(c)),
     "unstable_constraints": lambda c: detection.unstable_constraints(_packages(c)),
     # Joins
-    "package_catalogue_join": lambda c: detection.package_catalogue_join(_packages(c)),
+    "package_catalogue_join": lambda c: detection.package_catalogue_join(_parsed(c)),
     "fingerprint_match": lambda c: detection.fingerprint_match(c.paths),
     "prefix_package_match": lambda c: dependencies.prefix_package_match(_packages(c)),
     "incompatible_packages": _incompatible,
@@ -157,9 +153,9 @@ OPERATORS: dict[str, Callable[[Corpus], DataFrame]] = {
     # First, last and arg-max
     "primary_framework": lambda c: detection.primary_framework(migration.detected(c)),
     "representative_package": lambda c: detection.representative_package(
-        detection.package_catalogue_join(_packages(c))
+        detection.package_catalogue_join(_parsed(c))
     ),
-    "first_php_package": lambda c: dependencies.first_php_package(_packages(c)),
+    "first_php_package": lambda c: dependencies.first_php_package(_parsed(c)),
     # Order and set operations
     "version_order": _version_order,
     "all_packages": lambda c: source.all_packages(_packages(c)),

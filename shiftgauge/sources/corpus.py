@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgauge.functions import fixed_values as fixed
@@ -62,37 +62,46 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def parsed_manifests(manifests: DataFrame) -> DataFrame:
-    """The sections of every readable manifest. ``inline`` keeps the text from being parsed twice."""
+    """One row per readable manifest: its entries as an array, required ones first, in order.
+
+    Most questions about a manifest are answered inside this row, without a shuffle. ``inline``
+    keeps the text from being parsed more than once.
+    """
     parsed = F.from_json(
         "content", MANIFEST_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    return (
+    no_entries = "cast(map() as map<string,string>)"
+    sections = (
         manifests.filter(F.col("content").isNotNull())
         .select("project_id", F.inline(F.array(parsed)))
         .filter(F.col("_corrupt_record").isNull())
+        .select(
+            "project_id",
+            F.expr(f"map_entries(coalesce(require, {no_entries}))").alias("required"),
+            F.expr(f"map_entries(coalesce(`require-dev`, {no_entries}))").alias("dev"),
+        )
     )
 
-
-def manifest_packages(manifests: DataFrame) -> DataFrame:
-    """One row per manifest entry: ``require`` entries in order, then ``require-dev`` entries."""
-
-    def entries(section: str) -> Column:
-        listed = F.map_entries(F.coalesce(F.col(f"`{section}`"), F.create_map().cast("map<string,string>")))
-        return F.transform(
-            listed,
-            lambda e: F.struct(
-                F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("version_string")
-            ),
+    def entry(section: str, first: str) -> str:
+        return (
+            f"(e, i) -> struct(i + {first} as ord, '{section}' as section, "
+            f"e.key as name, e.value as version_string)"
         )
 
-    both = F.concat(entries("require"), entries("require-dev"))
-    return (
-        parsed_manifests(manifests)
-        .select("project_id", F.posexplode(both).alias("ord", "e"))
-        .select("project_id", (F.col("ord") + 1).alias("ord"), "e.section", "e.name", "e.version_string")
+    return sections.select(
+        "project_id",
+        F.expr(
+            f"concat(transform(required, {entry('require', '1')}), "
+            f"transform(dev, {entry('require-dev', '1 + size(required)')}))"
+        ).alias("packages"),
     )
 
 
+def manifest_packages(manifests: DataFrame) -> DataFrame:
+    """One row per manifest entry: ``require`` entries in order, then ``require-dev`` entries."""
+    return parsed_manifests(manifests).select("project_id", F.inline("packages"))
+
+
 def all_packages(packages: DataFrame) -> DataFrame:
     """Required packages, then development packages, in manifest order; duplicates are kept."""
     return packages.filter(F.col("section").isin("require", "require-dev")).select(
@@ -100,9 +109,9 @@ def all_packages(packages: DataFrame) -> DataFrame:
     )
 
 
-def with_manifest_flag(projects: DataFrame, manifests: DataFrame) -> DataFrame:
+def with_manifest_flag(projects: DataFrame, parsed: DataFrame) -> DataFrame:
     """A missing manifest differs from an empty one, so the flag stays on the project row."""
-    known = parsed_manifests(manifests).select("project_id", F.lit(True).alias("found"))
+    known = parsed.select("project_id", F.lit(True).alias("found"))
     return projects.join(known, "project_id", "left").select(
         "project_id", F.coalesce("found", F.lit(False)).alias("has_manifest")
     )

@@ -38,8 +38,11 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession) -> DataFrame:
-    rows = [(fw, n, path) for n, fw in enumerate(fixed.FRAMEWORKS) for path in fixed.FINGERPRINTS[fw]]
-    return small(spark, rows, "framework string, fw_ord int, fingerprint string")
+    """Known paths; ``path_bit`` numbers the paths of a framework by powers of two."""
+    rows = [
+        (fw, n, path, 1 << i) for n, fw in enumerate(fixed.FRAMEWORKS) for i, path in enumerate(fixed.FINGERPRINTS[fw])
+    ]
+    return small(spark, rows, "framework string, fw_ord int, fingerprint string, path_bit int")
 
 
 def fingerprint_depth() -> int:
