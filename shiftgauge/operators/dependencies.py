@@ -29,11 +29,12 @@ def version_parts(packages: DataFrame) -> DataFrame:
 
 
 def version_order(registry: DataFrame) -> DataFrame:
-    """Releases of every package in version order, oldest first.
+    """Distinct releases of every package in version order, oldest first.
 
     The sort is global by range, so a package with very many releases spreads over tasks.
     """
-    return registry.distinct().orderBy("name", version_key(F.col("version")), "version")
+    keyed = registry.distinct().select("name", "version", version_key("version").alias("version_key"))
+    return keyed.orderBy("name", "version_key", "version")
 
 
 def prefix_package_match(packages: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def dependency_registry_join(packages: DataFrame, latest: DataFrame) -> DataFram
 def outdated_dependencies(joined: DataFrame) -> DataFrame:
     """Required packages that are older than their newest release."""
     current, latest = F.col("version_string"), F.col("latest_version")
-    return joined.filter(version_key(current) < version_key(latest)).select(
+    return joined.filter(version_key("version_string") < version_key("latest_version")).select(
         "project_id",
         "name",
         current.alias("current_version"),

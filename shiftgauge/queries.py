@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgauge.functions.versions import version_key
 from shiftgauge.operators import dependencies, detection, features, files, inventories, rewrites, schema_graph, scoring
 from shiftgauge.operators.files import ScanConfig
 from shiftgauge.plans import migration, report_rows, upgrade
@@ -78,7 +77,7 @@ def _registry_join(c: Corpus) -> DataFrame:
 
 def _version_order(c: Corpus) -> DataFrame:
     return dependencies.version_order(c.registry).select(
-        "name", "version", F.array_join(version_key(F.col("version")), ".").alias("version_key")
+        "name", "version", F.array_join("version_key", ".").alias("version_key")
     )
 
 

@@ -142,13 +142,13 @@ def registry_latest(registry: DataFrame) -> DataFrame:
     return (
         registry.filter(~F.contains("name", F.lit("ext")))
         .groupBy("name")
-        .agg(F.max_by("version", version_key(F.col("version"))).alias("latest_version"))
+        .agg(F.max_by("version", version_key("version")).alias("latest_version"))
     )
 
 
 def latest_runtime(releases: DataFrame) -> DataFrame:
     """One row: the newest runtime release."""
-    return releases.agg(F.max_by("version", version_key(F.col("version"))).alias("latest_php"))
+    return releases.agg(F.max_by("version", version_key("version")).alias("latest_php"))
 
 
 def schema_columns(columns: DataFrame) -> DataFrame:

@@ -253,13 +253,21 @@ TABLES = {
 }
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Put a table with fewer splits than cores on all cores; a table of any size is left alone."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, table.columns[0])
+
+
 def load_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """The derived corpus; each table is defined when it is first used."""
 
     @cache
     def table(name: str) -> DataFrame:
         if name in TABLES:
-            return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+            return spread(spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet"))
         query = FIXTURES[name]
         used = {t: table(t) for t in (*TABLES, *FIXTURES) if re.search(rf"\bFROM {t}\b", query)}
         return spark.sql(_bind(query, used), **used)
