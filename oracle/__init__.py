@@ -1 +1 @@
-"""Reference results as SQL, written apart from the Spark code."""
+"""Expected results as SQL, written apart from the Spark code."""

@@ -325,7 +325,7 @@ SELECT project_id, path, r, t, unnest(range(1, len(r) + 1)) AS i FROM (
 SELECT project_id, path, regexp_extract_all(content, '{_ROUTE}', 1) AS r, regexp_extract_all(content, '{_ROUTE}', 2) AS t
 FROM code_files WHERE regexp_matches(path, '(^|/)routes[.]php$') AND {_walked('path')}))""",
     "classes": f"SELECT project_id, path, content, regexp_extract_all(content, '{_CLASS}', 1) AS found FROM php_walked",
-    "class_rows": rf"""SELECT project_id, path, pos, nullif(regexp_extract(content, '(?m)^\s*(?:<\?php\s+)?namespace\s+([\w\\]+)\s*[;{{]', 1), '') AS namespace,
+    "class_rows": rf"""SELECT project_id, path, pos, nullif(regexp_extract(content, '(?m)^[ \t]*(?:<\?php[ \t]+)?namespace[ \t]+([\w\\]+)\s*[;{{]', 1), '') AS namespace,
 class_name, {_pascal('class_name')} AS new_name FROM (
 SELECT project_id, path, content, CAST(i - 1 AS INT) AS pos, found[i] AS class_name FROM (
 SELECT *, unnest(range(1, len(found) + 1)) AS i FROM classes WHERE len(found) > 1))""",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
+from os.path import commonprefix
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +22,11 @@ def sql_literal(value: object) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
+def contains_any(text: Column, needles: Sequence[str]) -> Column:
+    """Needles with a common start are only looked for where that start occurs."""
+    found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
+    start = commonprefix(list(needles))
+    return F.contains(text, F.lit(start)) & found if len(needles) > 2 and len(start) > 2 else found
 
 
 def starts_with_any(text: Column, prefixes: Iterable[str]) -> Column:
@@ -92,37 +96,39 @@ class LiteralScanner:
     A literal that starts with a leading anchor (``extends ``) is found by listing, for every
     occurrence of the anchor, the few characters behind it; a literal that ends with a closing
     anchor (``(``) by the few characters before it. The short lists are then compared with the
-    literals. A literal without an anchor is counted on its own. Counts are exact: neither an
-    anchor nor an anchored literal can overlap itself (checked here), so every occurrence counts.
+    literals. The counts are exact: an anchor cannot overlap itself, so every occurrence is listed,
+    and neither can most literals, so every listed occurrence counts. A literal that can overlap
+    itself is looked up in the list and, only where it occurs, counted in the text; so is, everywhere,
+    one without an anchor.
     """
 
     LEADING = ("use ", "extends ", "$this->", "defined(", "get_instance", "Yii::")
     CLOSING = ("(", "::")
 
-    def __init__(self, literals: Iterable[str], prefix: str = "scan"):
-        self._prefix = prefix
+    def __init__(self, literals: Iterable[str], text: str = "content", prefix: str = "scan"):
+        self._text = text
         self._groups: dict[tuple[str, str], list[str]] = {}
-        self._single: list[str] = []
-        for literal in dict.fromkeys(literals):
-            key = self._anchor(literal)
-            if key is None:
-                self._single.append(literal)
-            else:
+        self._anchor_of: dict[str, tuple[str, str] | None] = {}
+        for literal in literals:
+            key = self._anchor_of[literal] = self._anchor(literal)
+            if key is not None:
                 self._groups.setdefault(key, []).append(literal)
         self._names = {key: f"{prefix}_{i}" for i, key in enumerate(self._groups)}
 
     def _anchor(self, literal: str) -> tuple[str, str] | None:
-        if _overlaps_itself(literal):
-            return None
         for anchor in self.LEADING:
-            if literal.startswith(anchor) and not _overlaps_itself(anchor):
+            if literal.startswith(anchor):
                 return ("leading", anchor)
         for anchor in self.CLOSING:
             if literal.endswith(anchor) and literal.count(anchor) == 1 and len(literal) > len(anchor):
                 return ("closing", anchor)
         return None
 
-    def columns(self, text: str, only_if: str = "true") -> list[Column]:
+    @property
+    def names(self) -> list[str]:
+        return list(self._names.values())
+
+    def columns(self, only_if: str = "true") -> list[Column]:
         """First projection: the short lists. ``only_if`` skips rows whose text need not be read."""
         out = []
         for (side, anchor), literals in self._groups.items():
@@ -130,30 +136,45 @@ class LiteralScanner:
             quoted = re.escape(anchor)
             if side == "leading":
                 pattern = sql_literal(f"(?s){quoted}(?=(.{{0,{width}}}))")
-                found = f"regexp_extract_all({text}, {pattern}, 1)"
+                found = f"regexp_extract_all({self._text}, {pattern}, 1)"
             else:
-                # The last part has no anchor behind it.
-                parts = f"split({text}, {sql_literal(quoted)})"
-                found = f"transform(slice({parts}, 1, size({parts}) - 1), part -> right(part, {width}))"
+                found = f"transform(split({self._text}, {sql_literal(quoted)}), part -> right(part, {width}))"
             out.append(F.expr(f"if({only_if}, {found}, null)").alias(self._names[(side, anchor)]))
-        if self._single:
-            counts = F.array(*[occurrences(F.col(text), x) for x in self._single])
-            out.append(F.when(F.expr(only_if), counts).alias(f"{self._prefix}_single"))
         return out
 
     def count(self, literals: Iterable[str]) -> Column:
-        """Second projection: total count of some of the scanner's literals, from its columns."""
-        wanted = list(literals)
-        terms = []
-        for (side, anchor), known in self._groups.items():
-            rests = [x[len(anchor):] if side == "leading" else x[: -len(anchor)] for x in wanted if x in known]
-            if rests:
-                matches = "startswith" if side == "leading" else "endswith"
-                hits = " + ".join(f"int({matches}(part, {sql_literal(rest)}))" for rest in rests)
-                terms.append(f"aggregate({self._names[(side, anchor)]}, 0, (n, part) -> n + {hits})")
-        terms += [
-            f"element_at({self._prefix}_single, {position})"
-            for position, literal in enumerate(self._single, 1)
-            if literal in wanted
-        ]
+        """Second projection: total count of some of the scanner's literals.
+
+        It needs the columns of the first projection and the text itself.
+        """
+        wanted: dict[tuple[str, str] | None, list[str]] = {}
+        for literal in literals:
+            wanted.setdefault(self._anchor_of[literal], []).append(literal)
+        terms = [self._in_text(x) for x in wanted.pop(None, [])]
+        for key, found in wanted.items():
+            plain = [x for x in found if not _overlaps_itself(x)]
+            if plain:
+                hits = " + ".join(f"int({self._match(key, x)})" for x in plain)
+                terms.append(f"aggregate({self._listed(key)}, 0, (n, part) -> n + {hits})")
+            terms += [
+                f"if(exists({self._listed(key)}, part -> {self._match(key, x)}), {self._in_text(x)}, 0)"
+                for x in found
+                if _overlaps_itself(x)
+            ]
         return F.expr(" + ".join(terms) or "0")
+
+    def _listed(self, key: tuple[str, str]) -> str:
+        name = self._names[key]
+        # The last part of a split has no anchor behind it.
+        return name if key[0] == "leading" else f"slice({name}, 1, size({name}) - 1)"
+
+    def _match(self, key: tuple[str, str], literal: str) -> str:
+        side, anchor = key
+        if side == "leading":
+            return f"startswith(part, {sql_literal(literal[len(anchor):])})"
+        return f"endswith(part, {sql_literal(literal[: -len(anchor)])})"
+
+    def _in_text(self, literal: str) -> str:
+        quoted, size = sql_literal(literal), len(literal.encode())
+        removed = f"octet_length({self._text}) - octet_length(replace({self._text}, {quoted}, ''))"
+        return f"if(contains({self._text}, {quoted}), int(({removed}) / {size}), 0)"

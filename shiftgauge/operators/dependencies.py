@@ -175,7 +175,7 @@ def dependency_registry_join(packages: DataFrame, latest: DataFrame) -> DataFram
         & F.col("version_string").isNotNull()
     )
     return (
-        salted_lookup(wanted, latest, key="name", spread="project_id")
+        salted_lookup(wanted, latest, keys=["name"], spread="project_id")
         .filter(F.col("latest_version").isNotNull())
         .select("project_id", "ord", "name", "version_string", "latest_version")
     )

@@ -48,7 +48,7 @@ def signature_counts(files: DataFrame, config: ScanConfig, signatures: Signature
     )
     return (
         files.filter(is_listed(F.col("path"), config))
-        .select("project_id", "path", *scanner.columns("content"))
+        .select("project_id", "path", "content", *scanner.columns())
         .select("project_id", "path", F.inline(hits))
     )
 
@@ -59,9 +59,7 @@ def signature_hits_by_kind(
     """The same hits, summed per project and kept apart by kind."""
     scanner = scanner_for(signatures)
     pairs = [(fw, kind) for fw in signatures for kind in signatures[fw]]
-    scanned = files.filter(is_listed(F.col("path"), config)).select(
-        "project_id", *scanner.columns("content")
-    )
+    scanned = files.filter(is_listed(F.col("path"), config)).select("project_id", "content", *scanner.columns())
     sums = scanned.groupBy("project_id").agg(
         *[F.sum(scanner.count(signatures[fw][kind])).alias(f"s{i}") for i, (fw, kind) in enumerate(pairs)]
     )
@@ -215,9 +213,10 @@ def file_features(
         F.when(is_new, database_class(content)).alias("db_class"),
         *[F.when(is_new, feature(content, path)).alias(name) for name, feature in flags.items()],
         F.when(is_template, capped_signals(content)).alias("signals"),
-        *scanner.columns("content", only_if="is_new or legacy_n > 0"),
+        "content",
+        *scanner.columns(only_if="is_new or legacy_n > 0"),
     )
-    kept = [c for c in scanned.columns if not c.startswith("scan_")]
+    kept = [c for c in scanned.columns if c not in ("content", *scanner.names)]
     return scanned.select(
         *kept,
         *[scanner.count(pack_literals(signatures, fw)).alias(f"hits_{fw}") for fw in signatures],

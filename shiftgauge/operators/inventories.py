@@ -11,7 +11,8 @@ from shiftgauge.operators.files import ScanConfig, is_php, is_walked
 
 ROUTE = r"\$route\['([^\n]*?)'\] = '([^\n]*?)'"
 CLASS = word("class") + rf"\s+(\w+)\s*(?:extends{WORD_END}|implements{WORD_END}|\{{)"
-NAMESPACE = r"(?m)^\s*(?:<\?php\s+)?namespace\s+([\w\\]+)\s*[;{]"
+# Blanks only at the line start: line breaks there would make long runs of empty lines slow.
+NAMESPACE = r"(?m)^[ \t]*(?:<\?php[ \t]+)?namespace[ \t]+([\w\\]+)\s*[;{]"
 # One level of nested parentheses; the body starts with neither a brace nor a colon. It is only
 # looked at, because it may be the next statement that counts.
 BRACELESS_IF = word("if") + r"\s*\((?:[^()]|\([^()]*\))*+\)\s*+(?=[^\s{:])"

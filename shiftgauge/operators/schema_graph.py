@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftgauge.operators.joins import salted_lookup
 from shiftgauge.sources.corpus import schema_columns
 
 
@@ -32,11 +33,14 @@ def schema_tables(columns: DataFrame) -> DataFrame:
 
 
 def foreign_key_edges(columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
-    """One edge per foreign key; a key to an unknown table is flagged, not dropped."""
+    """One edge per foreign key; a key to an unknown table is flagged, not dropped.
+
+    A table that very many keys point to is a hot key, so the look-up is salted.
+    """
     targets = schema_tables(columns).select(
         "project_id", F.col("table_name").alias("foreign_table"), F.lit(True).alias("known")
     )
-    return foreign_keys.join(targets, ["project_id", "foreign_table"], "left").select(
+    return salted_lookup(foreign_keys, targets, keys=["project_id", "foreign_table"], spread="table_name").select(
         "project_id", "table_name", "fk_name", "foreign_table", F.col("known").isNull().alias("missing_target")
     )
 

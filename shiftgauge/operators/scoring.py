@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.operators.dependencies import clamp, round2
 
 
-def by_framework(framework: str, column: str) -> Column:
+Frameworks = Iterable[str]
+
+
+def by_framework(framework: str, column: str, known: Frameworks = fixed.FRAMEWORKS) -> Column:
     """The tally of the framework that a row's scenario names; null for an unknown framework."""
-    branches = " ".join(f"when '{fw}' then {column}_{fw}" for fw in fixed.FRAMEWORKS)
+    branches = " ".join(f"when '{fw}' then {column}_{fw}" for fw in known)
     return F.expr(f"case {framework} {branches} end")
 
 
@@ -22,22 +27,26 @@ def coupling_score(total: Column, coupled: Column, heavy: Column, source: Column
     return F.when(irrelevant, F.lit(100.0)).otherwise(round2(clamp(F.exp(impact * -4.0) * 100.0)))
 
 
-def framework_coupling_score() -> Column:
-    source, target = F.col("source_framework"), F.col("target_framework")
+def framework_coupling_score(known: Frameworks = fixed.FRAMEWORKS) -> Column:
+    source = "source_framework"
     return coupling_score(
-        F.col("file_count"), by_framework("source_framework", "coupled"), by_framework("source_framework", "heavy"), source, target
+        F.col("file_count"),
+        by_framework(source, "coupled", known),
+        by_framework(source, "heavy", known),
+        F.col(source),
+        F.col("target_framework"),
     )
 
 
-def legacy_coupling_score() -> Column:
+def legacy_coupling_score(known: Frameworks = fixed.FRAMEWORKS) -> Column:
     """The same score over the legacy files; null without any."""
-    source, target = F.col("source_framework"), F.col("target_framework")
+    source = "source_framework"
     score = coupling_score(
         F.col("legacy_count"),
-        by_framework("source_framework", "legacy_coupled"),
-        by_framework("source_framework", "legacy_heavy"),
-        source,
-        target,
+        by_framework(source, "legacy_coupled", known),
+        by_framework(source, "legacy_heavy", known),
+        F.col(source),
+        F.col("target_framework"),
     )
     return F.when(F.col("legacy_count") > 0, score)
 

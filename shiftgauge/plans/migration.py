@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.functions.bands import legacy_label, migration_band
 from shiftgauge.operators import dependencies, detection, features, scoring
 from shiftgauge.operators.files import ScanConfig
@@ -16,8 +17,10 @@ from shiftgauge.sources.corpus import Corpus
 Pairs = list[tuple[str | None, str | None]]
 
 
-def tallies(corpus: Corpus, config: ScanConfig) -> DataFrame:
-    counted = features.project_tallies(features.file_features(corpus.files, config))
+def tallies(
+    corpus: Corpus, config: ScanConfig, signatures: features.Signatures = fixed.SIGNATURES
+) -> DataFrame:
+    counted = features.project_tallies(features.file_features(corpus.files, config, signatures), signatures)
     return features.complete_tallies(corpus.projects, counted)
 
 
@@ -46,19 +49,21 @@ def scored(
     pairs: Pairs,
     include_templating: bool = True,
     extra_scores: Mapping[str, Callable[[], Column]] | None = None,
+    signatures: features.Signatures = fixed.SIGNATURES,
 ) -> DataFrame:
     """All component scores, total and band per project and scenario.
 
     Everything is joined at one row per project; the scenarios then multiply finished rows, and
     their scores are expressions on them.
     """
-    per_project = with_engines(corpus, config, with_manifests(corpus, scoring.project_scores(tallies(corpus, config))))
+    scored_projects = scoring.project_scores(tallies(corpus, config, signatures))
+    per_project = with_engines(corpus, config, with_manifests(corpus, scored_projects))
     per_scenario = dependencies.with_dependency_scores(scenarios(corpus, pairs, per_project))
     with_templates = F.lit(include_templating) & (F.col("template_count") > 0)
     scores = per_scenario.withColumns(
         {
-            "framework_coupling": scoring.framework_coupling_score(),
-            "legacy_coupling": scoring.legacy_coupling_score(),
+            "framework_coupling": scoring.framework_coupling_score(signatures),
+            "legacy_coupling": scoring.legacy_coupling_score(signatures),
             "includes_templating": with_templates,
             "templating": F.when(with_templates, scoring.template_score()),
             **{name: build() for name, build in (extra_scores or {}).items()},

@@ -155,21 +155,35 @@ UNION ALL
 SELECT concat('lib-', CAST(s_suppkey AS STRING)) AS project_id, CAST(s_suppkey AS INT) + 7000 AS pidx FROM supplier"""
 
 
+# Which entries a project has, and with which version.
+_PRESENT = "(p.pidx * 5 + e.entry_no * 3) % 7 < 3"
+_VERSION = (
+    "CASE (p.pidx + e.entry_no) % 6 WHEN 0 THEN e.v0 WHEN 1 THEN e.v1 WHEN 2 THEN e.v0 "
+    "WHEN 3 THEN 'dev-main' WHEN 4 THEN '*' ELSE NULL END"
+)
+
+
+def _entry_values() -> str:
+    return f"(VALUES {_values([(i, *entry) for i, entry in enumerate(MANIFEST_ENTRIES, 1)])}) " + (
+        "e(entry_no, section, name, v0, v1)"
+    )
+
+
 def packages_sql() -> str:
     """The manifest entries as rows."""
-    entries = [(i, *entry) for i, entry in enumerate(MANIFEST_ENTRIES, 1)]
     return f"""
-SELECT p.project_id, e.entry_no, e.section, e.name,
-  CASE (p.pidx + e.entry_no) % 6 WHEN 0 THEN e.v0 WHEN 1 THEN e.v1 WHEN 2 THEN e.v0
-    WHEN 3 THEN 'dev-main' WHEN 4 THEN '*' ELSE NULL END AS version_string
-FROM projects p CROSS JOIN (VALUES {_values(entries)}) e(entry_no, section, name, v0, v1)
-WHERE p.pidx % 7 <> 0 AND p.pidx % 13 <> 5 AND p.pidx % 13 <> 8 AND (p.pidx * 5 + e.entry_no * 3) % 7 < 3"""
+SELECT p.project_id, e.entry_no, e.section, e.name, {_VERSION} AS version_string
+FROM projects p CROSS JOIN {_entry_values()}
+WHERE p.pidx % 7 <> 0 AND p.pidx % 13 <> 5 AND p.pidx % 13 <> 8 AND {_PRESENT}"""
 
 
 def _manifests_sql() -> str:
+    """The same entries as JSON, with unreadable, empty and missing manifests among them."""
+    entry = f"concat('\"', e.name, '\":', coalesce(concat('\"', {_VERSION}, '\"'), 'null'))"
+
     def section(name: str) -> str:
         return (
-            f"coalesce(listagg(CASE WHEN e.section = '{name}' THEN e.entry END, ',') "
+            f"coalesce(listagg(CASE WHEN e.section = '{name}' AND {_PRESENT} THEN {entry} END, ',') "
             f"WITHIN GROUP (ORDER BY e.entry_no), '')"
         )
 
@@ -178,10 +192,7 @@ SELECT p.project_id, 'composer.json' AS path,
   CASE WHEN p.pidx % 13 = 5 THEN 'not json {{' WHEN p.pidx % 13 = 8 THEN '{{}}'
   ELSE concat('{{"name":"acme/', p.project_id, '","require":{{', {section('require')},
     '}},"require-dev":{{', {section('require-dev')}, '}}}}') END AS content
-FROM projects p LEFT JOIN (
-  SELECT project_id, entry_no, section,
-    concat('"', name, '":', coalesce(concat('"', version_string, '"'), 'null')) AS entry
-  FROM packages) e ON p.project_id = e.project_id
+FROM projects p CROSS JOIN {_entry_values()}
 WHERE p.pidx % 7 <> 0
 GROUP BY p.project_id, p.pidx"""
 
@@ -261,15 +272,20 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores, table.columns[0])
 
 
+# Fixtures that do enough work per row to be worth spreading their input.
+SPREAD = {"code_files", "registry"}
+
+
 def load_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """The derived corpus; each table is defined when it is first used."""
 
     @cache
     def table(name: str) -> DataFrame:
         if name in TABLES:
-            return spread(spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet"))
+            return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
         query = FIXTURES[name]
-        used = {t: table(t) for t in (*TABLES, *FIXTURES) if re.search(rf"\bFROM {t}\b", query)}
+        wide = name in SPREAD
+        used = {t: spread(table(t)) if wide and t in TABLES else table(t) for t in (*TABLES, *FIXTURES) if re.search(rf"\bFROM {t}\b", query)}
         return spark.sql(_bind(query, used), **used)
 
     return Corpus(

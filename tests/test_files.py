@@ -1,11 +1,12 @@
-from shiftgauge.operators import features, files, inventories, rewrites
+from shiftgauge.operators import features, inventories, rewrites
+from shiftgauge.operators import files as listings
 from shiftgauge.operators.files import ScanConfig
 
 CONFIG = ScanConfig(exclude=("vendor", "a/b"), legacy_dirs=("old", "old/cms"))
 
 
 def listing(files_df, config=CONFIG):
-    rows = files.legacy_split(files_df, config).collect()
+    rows = listings.legacy_split(files_df, config).collect()
     return sorted((r.path, r.legacy_dir or "") for r in rows)
 
 
@@ -31,16 +32,10 @@ def test_excludes_apply_below_the_legacy_directory(files):
 
 def test_template_lists(files):
     df = files([("p", p, "") for p in ("views/a.php", "x/Views/a.php", "x/view/a.blade.php", "a.twig", "vendor/a.tpl")])
-    rows = files_module_rows(df)
+    rows = sorted((r.path, r.list_no) for r in listings.template_files(df, CONFIG).collect())
     assert rows == [("a.twig", 0), ("x/Views/a.php", 1), ("x/view/a.blade.php", 0), ("x/view/a.blade.php", 1)]
 
 
-def files_module_rows(df):
-    from shiftgauge.operators.files import template_files
-
-    return sorted((r.path, r.list_no) for r in template_files(df, CONFIG).collect())
-
-
 def test_tallies_count_files_once_per_listing(files):
     model = "<?php use Illuminate\\X; class A extends Model { function f() { return app(1); } }"
     df = files([("p", "a.php", model), ("p", "old/cms/b.php", model), ("p", "x/views/c.blade.php", "<?php ?>")])
@@ -127,3 +122,17 @@ def test_directory_plans(files, spark):
     assert capital == {"my-dir/sub_dir": "my-dir/Sub_Dir", "ok/x": "ok/X"}
     spaces = {r.namespace: r.path for r in inventories.namespace_map(df, CONFIG).collect()}
     assert spaces["my-dir\\sub_dir"] == "my-dir/sub_dir"
+
+
+def test_own_signatures(files):
+    from shiftgauge.operators import scoring
+    from pyspark.sql import functions as F
+
+    packs = {"wordpress": {"helper": ["add_action(", "get_post_meta("], "facade": ["WP_Query"]}}
+    df = files([("p", "a.php", "add_action(1); add_action(2); new WP_Query; get_post_meta(1);"), ("p", "b.php", "x")])
+    row = features.project_tallies(features.file_features(df, CONFIG, packs), packs).select(
+        "coupled_wordpress", "heavy_wordpress", "file_count",
+        F.lit("wordpress").alias("source_framework"), F.lit("symfony").alias("target_framework"),
+    )
+    assert row.first()[:3] == (1, 1, 2)
+    assert row.select(scoring.framework_coupling_score(packs)).first()[0] == 13.53

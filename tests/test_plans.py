@@ -46,8 +46,10 @@ NO_CONTENT_OUT = [
 
 @pytest.mark.parametrize("name", NO_CONTENT_OUT)
 def test_content_is_never_shuffled(stored, name):
-    for block in exchanges(OPERATORS[name](stored)):
+    df = OPERATORS[name](stored)
+    for block in exchanges(df):
         assert not re.search(r"\bcontent#", block), block
+    assert "CartesianProduct" not in plan_of(df)
 
 
 @pytest.mark.parametrize("name", ["short_tag_rewrite", "rewritten_files", "class_name_sync"])
@@ -86,12 +88,6 @@ def test_manifest_features_need_no_shuffle(stored, spark):
     assert exchanges(package_catalogue_join(parsed)) == []
 
 
-@pytest.mark.parametrize("name", list(OPERATORS))
-def test_no_cartesian_product_of_large_sides(stored, name):
-    plan = plan_of(OPERATORS[name](stored))
-    assert "CartesianProduct" not in plan
-
-
 def test_a_hot_split_target_is_matched_on_a_unique_key(stored):
     plan = plan_of(inventories.class_split_plan(stored.files, CONFIG))
     join = [b for b in plan.split("\n\n") if re.search(r"Left keys.*path#.*pos#", b)]

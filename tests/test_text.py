@@ -62,17 +62,17 @@ def test_scanner_equals_plain_counts(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choices(pieces, k=rng.randint(0, 60))) for _ in range(200)]
     scanner = scanner_for(fixed.SIGNATURES)
-    scanned = values(spark, texts).select("i", *scanner.columns("text"))
+    scanned = values(spark, texts).withColumnRenamed("text", "content").select("i", "content", *scanner.columns())
     for fw in fixed.SIGNATURES:
         wanted = pack_literals(fixed.SIGNATURES, fw)
         assert column(scanned, scanner.count(wanted)) == [sum(t.count(x) for x in wanted) for t in texts], fw
 
 
-@pytest.mark.parametrize("literal", ["aba(", "extends extends ", "((", "::a::", "use use ", "x'y\\(", "plain"])
+@pytest.mark.parametrize("literal", ["aba(", "extends extends ", "((", "::a::", "use use ", "x'y\\(", "plain", "extends Middleware", "extends "])
 def test_scanner_with_awkward_literals(spark, literal):
     texts = [literal * 3, literal + literal[1:], literal[:-1] * 2 + literal, "", "x" + literal + "y" + literal]
-    scanner = LiteralScanner([literal])
-    scanned = values(spark, texts).select("i", *scanner.columns("text"))
+    scanner = LiteralScanner([literal], text="text")
+    scanned = values(spark, texts).select("i", "text", *scanner.columns())
     assert column(scanned, scanner.count([literal])) == [t.count(literal) for t in texts]
 
 
