@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
-from os.path import commonprefix
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,11 +21,18 @@ def sql_literal(value: object) -> str:
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _shared_part(needles: Sequence[str]) -> str:
+    """The longest text that all needles contain."""
+    first, *others = needles
+    parts = (first[i:j] for i in range(len(first)) for j in range(i + 1, len(first) + 1))
+    return max((x for x in parts if all(x in other for other in others)), key=len, default="")
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    """Needles with a common start are only looked for where that start occurs."""
+    """Needles that share a part are only looked for where that part occurs."""
     found = reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
-    start = commonprefix(list(needles))
-    return F.contains(text, F.lit(start)) & found if len(needles) > 2 and len(start) > 2 else found
+    shared = _shared_part(needles)
+    return F.contains(text, F.lit(shared)) & found if len(needles) > 1 and len(shared) > 2 else found
 
 
 def starts_with_any(text: Column, prefixes: Iterable[str]) -> Column:
@@ -129,7 +135,7 @@ class LiteralScanner:
         return list(self._names.values())
 
     def columns(self, only_if: str = "true") -> list[Column]:
-        """First projection: the short lists. ``only_if`` skips rows whose text need not be read."""
+        """First projection: the short lists, or null. ``only_if`` skips rows not to be read."""
         out = []
         for (side, anchor), literals in self._groups.items():
             width = max(len(x) for x in literals) - len(anchor)
@@ -139,7 +145,10 @@ class LiteralScanner:
                 found = f"regexp_extract_all({self._text}, {pattern}, 1)"
             else:
                 found = f"transform(split({self._text}, {sql_literal(quoted)}), part -> right(part, {width}))"
-            out.append(F.expr(f"if({only_if}, {found}, null)").alias(self._names[(side, anchor)]))
+            # The search for the anchor stops at its first occurrence, and saves the costlier pass
+            # where there is none.
+            present = f"{only_if} and contains({self._text}, {sql_literal(anchor)})"
+            out.append(F.expr(f"if({present}, {found}, null)").alias(self._names[(side, anchor)]))
         return out
 
     def count(self, literals: Iterable[str]) -> Column:
@@ -155,7 +164,7 @@ class LiteralScanner:
             plain = [x for x in found if not _overlaps_itself(x)]
             if plain:
                 hits = " + ".join(f"int({self._match(key, x)})" for x in plain)
-                terms.append(f"aggregate({self._listed(key)}, 0, (n, part) -> n + {hits})")
+                terms.append(f"coalesce(aggregate({self._listed(key)}, 0, (n, part) -> n + {hits}), 0)")
             terms += [
                 f"if(exists({self._listed(key)}, part -> {self._match(key, x)}), {self._in_text(x)}, 0)"
                 for x in found

@@ -90,10 +90,12 @@ def _rooted(path: Column) -> Column:
 
 
 def is_service(content: Column, path: Column) -> Column:
-    return (
-        F.contains(_rooted(path), F.lit("/service"))
-        | F.contains(content, F.lit("Phalcon\\Di\\Injectable"))
-        | F.rlike(content, F.lit(word("extends") + r"\s+Injectable" + WORD_END))
+    return F.contains(_rooted(path), F.lit("/service")) | (
+        F.contains(content, F.lit("Injectable"))
+        & (
+            F.contains(content, F.lit("Phalcon\\Di\\Injectable"))
+            | F.rlike(content, F.lit(word("extends") + r"\s+Injectable" + WORD_END))
+        )
     )
 
 
@@ -107,11 +109,13 @@ def has_interface(content: Column, path: Column) -> Column:
 
 def has_injection(content: Column, path: Column) -> Column:
     constructor = r"public\s+function\s+__construct\s*\([^)]*[A-Z][a-zA-Z\\]+\s+\$"
-    return F.rlike(content, F.lit(constructor)) | contains_any(content, ("->getDI()", "getDI()->get("))
+    by_type = F.contains(content, F.lit("__construct")) & F.rlike(content, F.lit(constructor))
+    return by_type | contains_any(content, ("->getDI()", "getDI()->get("))
 
 
 def is_orm_entity(content: Column, path: Column) -> Column:
-    return contains_any(content, (*fixed.DOCTRINE_MARKERS, "Phalcon\\Mvc\\Model")) | (
+    mapped = contains_any(content, fixed.DOCTRINE_MARKERS) | F.contains(content, F.lit("Phalcon\\Mvc\\Model"))
+    return mapped | (
         F.contains(_rooted(path), F.lit("/model"))
         & F.rlike(content, F.lit(word("extends") + r"\s+\w*Model" + WORD_END))
     )
@@ -214,7 +218,7 @@ def file_features(
         *[F.when(is_new, feature(content, path)).alias(name) for name, feature in flags.items()],
         F.when(is_template, capped_signals(content)).alias("signals"),
         "content",
-        *scanner.columns(only_if="is_new or legacy_n > 0"),
+        *scanner.columns(only_if="(is_new or legacy_n > 0)"),
     )
     kept = [c for c in scanned.columns if c not in ("content", *scanner.names)]
     return scanned.select(
