@@ -9,6 +9,7 @@ since merges must not cross them; decoding maps ids back to bytes.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from itertools import chain
 from pathlib import Path
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 
 #: The character of byte b is chr(FIRST_CHARACTER + b).
 FIRST_CHARACTER = 0x100
-#: Distinct pre-tokens that a worker remembers; beyond it the memory is cleared, results stay the same.
+#: White space other than single spaces and line feeds; where there is some, each place is looked at.
+PAIRS = ("  ", " \n", "\n ")
+other_space = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+#: Distinct pieces of text that a worker remembers; beyond it the memory is cleared, results stay the same.
 REMEMBERED = 200_000
-#: Longer pre-tokens are not remembered.
-REMEMBERED_BYTES = 64
+#: Longer pieces are not remembered.
+REMEMBERED_CHARACTERS = 64
 
 # Fields and types of the sentencepiece model format.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -85,6 +89,24 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(_bytes(_PIECES, p) for p in pieces) + _bytes(_TRAINER, trainer) + _bytes(_NORMALIZER, normalizer)
 
 
+def cut(text: str) -> list[str]:
+    """Pieces that start at a space between two characters that are no white space.
+
+    No match of a pattern that takes white space only before or without other characters reaches across
+    such a place, so the matches of the pieces are those of the text.
+    """
+    parts = text.split(" ")
+    if parts[0] and parts[-1] and not any(map(text.__contains__, PAIRS)) and not other_space(text):
+        return [parts[0], *[" " + p for p in parts[1:]]]
+    pieces = [parts[0]]
+    for part in parts[1:]:
+        if part and not part[0].isspace() and pieces[-1] and not pieces[-1][-1].isspace():
+            pieces.append(" " + part)
+        else:
+            pieces[-1] += " " + part
+    return pieces
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary, made once per worker."""
 
@@ -96,26 +118,32 @@ class ByteBpe:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.known: dict[str, bytes] = {}
+        self.known_tokens: dict[str, bytes] = {}
         self.to_characters = {b: FIRST_CHARACTER + b for b in range(256)}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens as packed int32."""
-        mapped = [p.encode().decode("latin-1").translate(self.to_characters) for p in pieces]
+        """Ids of pieces as packed int32, each of their pre-tokens encoded by itself."""
+        found = [self.find(p) for p in pieces]
+        if len(self.known_tokens) > REMEMBERED:
+            self.known_tokens.clear()
+        tokens = list(set(chain.from_iterable(found)).difference(self.known_tokens))
+        mapped = [t.encode().decode("latin-1").translate(self.to_characters) for t in tokens]
         ids = self.processor.encode(mapped, num_threads=1)
-        return {p: np.array(i, dtype="<i4").tobytes() for p, i in zip(pieces, ids, strict=True)}
+        known = self.known_tokens
+        known |= {t: struct.pack(f"<{len(i)}i", *i) for t, i in zip(tokens, ids, strict=True)}
+        return {p: b"".join(map(known.__getitem__, f)) for p, f in zip(pieces, found, strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed int32 ids of whole texts; null and empty texts have none."""
-        found = [self.find(text) if text else [] for text in texts]
+        found = [cut(text) if text else [] for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = set(chain.from_iterable(found)).difference(self.known)
         learned = self._learn(list(new)) if new else {}
-        short = {p: i for p, i in learned.items() if len(p) <= REMEMBERED_BYTES}
+        short = {p: i for p, i in learned.items() if len(p) <= REMEMBERED_CHARACTERS}
         self.known |= short
         if len(short) < len(learned):
-            rest = {p: i for p, i in learned.items() if p not in short}
-            return [b"".join([rest.get(p) or self.known[p] for p in pieces]) for pieces in found]
+            return [b"".join([learned[p] if p in learned else self.known[p] for p in pieces]) for pieces in found]
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in found]
 
@@ -170,7 +198,10 @@ def decode_ids(ids: str | Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         coder = _coder(path, pattern)
-        return pa.array([None if not i.is_valid else coder.decode(i.values.to_pylist()) for i in lists], pa.binary())
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy()]))
+        valid = lists.is_valid().to_pylist()
+        out = [coder.decode(flat[a:b].tolist()) if v else None for a, b, v in zip(ends[:-1], ends[1:], valid, strict=True)]
+        return pa.array(out, pa.binary())
 
     return decode(ids)
 
