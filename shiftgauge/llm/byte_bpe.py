@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftgauge.llm.common import BLOCK_CHARACTERS, blocks
+
 #: The character of byte b is chr(FIRST_CHARACTER + b).
 FIRST_CHARACTER = 0x100
 #: White space other than single spaces and line feeds; where there is some, each place is looked at.
 PAIRS = ("  ", " \n", "\n ")
 other_space = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-#: Distinct pieces of text that a worker remembers; beyond it the memory is cleared, results stay the same.
-REMEMBERED = 200_000
+#: Distinct pieces of text and pre-tokens that a worker remembers; beyond it the memory is cleared, results stay the same.
+REMEMBERED, REMEMBERED_TOKENS = 200_000, 600_000
 #: Longer pieces are not remembered.
 REMEMBERED_CHARACTERS = 64
 
@@ -124,7 +126,7 @@ class ByteBpe:
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces as packed int32, each of their pre-tokens encoded by itself."""
         found = [self.find(p) for p in pieces]
-        if len(self.known_tokens) > REMEMBERED:
+        if len(self.known_tokens) > REMEMBERED_TOKENS:
             self.known_tokens.clear()
         tokens = list(set(chain.from_iterable(found)).difference(self.known_tokens))
         mapped = [t.encode().decode("latin-1").translate(self.to_characters) for t in tokens]
@@ -160,22 +162,6 @@ def _coder(path: str, pattern: str) -> ByteBpe:
     return _LOADED[path, pattern]
 
 
-def _blocks(lengths: np.ndarray, most: int):
-    """Ranges of rows whose lengths add up to about `most`, one row at least."""
-    start, total = 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += int(n)
-    if start < len(lengths):
-        yield start, len(lengths)
-
-
-#: Characters that are split into pre-tokens at a time.
-BLOCK_CHARACTERS = 2_000_000
-
-
 def encode_ids(text: str | Column, path: str, pattern: str) -> Column:
     """Ids of whole texts as array<int>, one rank per token; null and empty texts give an empty array."""
 
@@ -184,7 +170,7 @@ def encode_ids(text: str | Column, path: str, pattern: str) -> Column:
         coder = _coder(path, pattern)
         values = texts.to_pylist()
         packed: list[bytes] = []
-        for start, stop in _blocks(np.array([len(v or "") for v in values]), BLOCK_CHARACTERS):
+        for start, stop in blocks([len(v or "") for v in values], BLOCK_CHARACTERS):
             packed += coder.encode(values[start:stop])
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of characters that are no ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Characters that a task works on at a time, one text at least.
+BLOCK_CHARACTERS = 2_000_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -46,7 +49,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def binary_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Only the named columns, under new names, cast to the given types: {new: "old type"}; extra columns go."""
-    pairs = {new: spec.split() for new, spec in columns.items()}
-    return df.select(*[df[old].cast(kind).alias(new) for new, (old, kind) in pairs.items()])
+def blocks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths add up to `most` or less, one row at least."""
+    start, total = 0, 0
+    for i, n in enumerate(lengths):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)

@@ -10,22 +10,25 @@ on. There is no table of 64-bit offsets.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftgauge.llm.common import partitions, shared_folder, stored
+from shiftgauge.llm.common import BLOCK_CHARACTERS, blocks, partitions, shared_folder, stored
 
 MAGIC = b"EFTOK001"
 #: Ones between two samples of the select structure.
 SAMPLE = 256
-#: Whitespace-free pieces that a worker remembers; beyond it the memory is cleared, results stay the same.
-REMEMBERED = 200_000
+#: Pieces without white space, and their parts, that a worker remembers; beyond it the memory is cleared,
+#: results stay the same.
+REMEMBERED, REMEMBERED_PARTS = 200_000, 1_000_000
 REMEMBERED_CHARACTERS = 64
 #: Ids that the reader holds at a time, one document at least.
 READ_IDS = 2_000_000
@@ -88,8 +91,18 @@ class EliasFano:
         return int(self.values(i, i + 1)[0])
 
 
+#: Letters, then marks: neither an apostrophe nor what special tokens are made of, so that the vocabulary's
+#: rules cut such a piece between both, and nowhere else.
+_simple = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*)([!-&(-;=?@\[-`{}~]*)").fullmatch
+_digits = re.compile("[0-9]").search
+
+
 class Encoder:
-    """A tokenizers vocabulary; texts are cut at spaces and line feeds, where no token can cross."""
+    """A tokenizers vocabulary that drops white space and cuts letters from marks, such as word_bpe_49k.json.
+
+    Texts are cut at spaces and line feeds, and simple pieces into letters and marks, places that no token
+    crosses; what is new goes through the library, what is known is looked up.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core already
@@ -97,23 +110,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        learned = {p: np.array(e.ids, dtype=self.kind).tobytes() for p, e in zip(new, encoded, strict=True)}
-        out = b"".join([known[p] if p in known else learned[p] for p in pieces])
-        if len(known) > REMEMBERED:
-            known.clear()
-        known |= {p: i for p, i in learned.items() if len(p) <= REMEMBERED_CHARACTERS}
-        return out
+        self.known_parts: dict[str, bytes] = {"": b""}
+
+    def _whole(self, pieces: list[str]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return {p: np.array(e.ids, dtype=self.kind).tobytes() for p, e in zip(pieces, encoded, strict=True)}
+
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that are one word of the vocabulary's rules each, all encoded as one text."""
+        encoded = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        owners = np.array(encoded.word_ids, dtype=np.int64)
+        firsts = np.flatnonzero(np.diff(owners, prepend=-1))
+        if len(firsts) != len(parts):  # a rule has cut a part further
+            return self._whole(parts)
+        data, cuts = np.array(encoded.ids, dtype=self.kind).tobytes(), [int(c) * self.width for c in firsts]
+        return {p: data[a:b] for p, a, b in zip(parts, cuts, [*cuts[1:], len(data)], strict=True)}
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        if len(self.known_parts) > REMEMBERED_PARTS:
+            self.known_parts = {"": b""}
+        split, rest = {}, []
+        for p in pieces:
+            found = _simple(p)
+            if found and not _digits(p):
+                letters, marks = found.groups()
+                split[p] = (letters.lower(), marks)
+            else:
+                rest.append(p)
+        known = self.known_parts
+        new = list({part for pair in split.values() for part in pair}.difference(known))
+        if new:
+            known |= self._parts(new)
+        return {p: known[a] + known[b] for p, (a, b) in split.items()} | (self._whole(rest) if rest else {})
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of whole texts."""
+        found = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = set(chain.from_iterable(found)).difference(self.known)
+        learned = self._learn(list(new)) if new else {}
+        short = {p: i for p, i in learned.items() if len(p) <= REMEMBERED_CHARACTERS}
+        self.known |= short
+        if len(short) < len(learned):
+            return [b"".join([learned[p] if p in learned else self.known[p] for p in pieces]) for pieces in found]
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in found]
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -187,11 +231,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
             if out is None:
                 files.create_dir(f"{root}/_attempts", recursive=True)
                 out = files.open_output_stream(f"{attempt}.ids")
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
-                ids = (encoder.encode(text) if text else b"") + end
-                out.write(ids)
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(ids) // width)
+            texts = list(batch["text"])
+            for start, stop in blocks([len(t or "") for t in texts], BLOCK_CHARACTERS):
+                for ids in encoder.encode(texts[start:stop]):
+                    out.write(ids + end)
+                    lengths.append(len(ids) // width + 1)
+            doc_ids += [None if pd.isna(d) else int(d) for d in batch["doc_id"].astype(object)]
         if out is None:
             return
         out.close()
