@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgauge.llm import byte_bpe, quality_rules, token_files, warc_archive
+from shiftgauge.llm import byte_bpe, ordinal_quality, quality_rules, token_files, toxicity, warc_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -29,6 +33,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,9 @@ FROM p LEFT JOIN r ON d = payload_digest AND payload_bytes >= 1000
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_byte_bpe": op2_byte_bpe,
+        "op6_ordinal_quality": op6_ordinal_quality,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_files": op9_token_files,
         "op10_warc_archive": op10_warc_archive,

@@ -12,9 +12,9 @@ far, and of other texts both the highest and some at random.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -439,16 +439,20 @@ def fit_calibrated(texts: list[str], labels: list[int], sizes: dict[int, int]) -
     return calibrated(net, part(texts, rest), part(labels, rest), {k: sizes[k] / taken[k] for k in sizes})
 
 
+#: The scorer of this worker, which keeps its words from task to task.
+_SCORERS: dict[str, Scorer] = {}
+
+
 def score_column(net: Network, text: Column) -> Column:
     """Scores of whole texts, 0 to 1; null and empty texts and those without a word get 0."""
-    shared: list[Scorer] = []
+    name = hashlib.sha256(b"".join(net.w[k].tobytes() for k in sorted(net.w))).hexdigest()
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not shared:
-            shared.append(Scorer(net))
-        for batch in batches:
-            yield pd.Series(shared[0].score(list(batch)))
+    def score(texts: pd.Series) -> pd.Series:
+        if name not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[name] = Scorer(net)
+        return pd.Series(_SCORERS[name].score(list(texts)))
 
     return score(text)
 
