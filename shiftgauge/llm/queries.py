@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgauge.llm import byte_bpe, ordinal_quality, quality_rules, token_files, toxicity, warc_archive
+from shiftgauge.llm import byte_bpe, near_dedup, ordinal_quality, quality_rules, token_files, toxicity, warc_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), n=2)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op2_byte_bpe": op2_byte_bpe,
         "op6_ordinal_quality": op6_ordinal_quality,
+        "op7_near_dedup": op7_near_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_files": op9_token_files,
         "op10_warc_archive": op10_warc_archive,
