@@ -27,7 +27,7 @@ FIRST_CHARACTER = 0x100
 PAIRS = ("  ", " \n", "\n ")
 other_space = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Distinct pieces of text and pre-tokens that a worker remembers; beyond it the memory is cleared, results stay the same.
-REMEMBERED, REMEMBERED_TOKENS = 200_000, 600_000
+REMEMBERED = 800_000
 #: Longer pieces are not remembered.
 REMEMBERED_CHARACTERS = 64
 
@@ -120,20 +120,23 @@ class ByteBpe:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.known: dict[str, bytes] = {}
-        self.known_tokens: dict[str, bytes] = {}
         self.to_characters = {b: FIRST_CHARACTER + b for b in range(256)}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces as packed int32, each of their pre-tokens encoded by itself."""
-        found = [self.find(p) for p in pieces]
-        if len(self.known_tokens) > REMEMBERED_TOKENS:
-            self.known_tokens.clear()
-        tokens = list(set(chain.from_iterable(found)).difference(self.known_tokens))
+        """Ids of pieces as packed int32, each of their pre-tokens encoded by itself.
+
+        Letters, with a space before them or none, are one pre-token; other pieces are cut by the pattern.
+        """
+        found = {p: self.find(p) for p in pieces if not (p.isalpha() or p[:1] == " " and p[1:].isalpha())}
+        tokens = [p for p in pieces if p not in found]
+        tokens += set(chain.from_iterable(found.values())).difference(self.known, tokens)
         mapped = [t.encode().decode("latin-1").translate(self.to_characters) for t in tokens]
         ids = self.processor.encode(mapped, num_threads=1)
-        known = self.known_tokens
-        known |= {t: struct.pack(f"<{len(i)}i", *i) for t, i in zip(tokens, ids, strict=True)}
-        return {p: b"".join(map(known.__getitem__, f)) for p, f in zip(pieces, found, strict=True)}
+        learned = {t: struct.pack(f"<{len(i)}i", *i) for t, i in zip(tokens, ids, strict=True)}
+        known = self.known
+        for piece, parts in found.items():
+            learned[piece] = b"".join([learned[t] if t in learned else known[t] for t in parts])
+        return learned
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed int32 ids of whole texts; null and empty texts have none."""
