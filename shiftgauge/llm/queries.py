@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgauge.llm import byte_bpe, near_dedup, ordinal_quality, quality_rules, token_files, toxicity, warc_archive
+import corpus_pipeline
+from shiftgauge.llm import (
+    byte_bpe,
+    decontamination,
+    licences,
+    near_dedup,
+    ordinal_quality,
+    quality_rules,
+    quote_links,
+    token_files,
+    toxicity,
+    warc_archive,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +45,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.quote_links(table(spark, sf_dir, "conversations"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.ordinal_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,11 +94,15 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_licences": op3_licences,
+        "op4_quote_links": op4_quote_links,
+        "op5_decontamination": op5_decontamination,
         "op6_ordinal_quality": op6_ordinal_quality,
         "op7_near_dedup": op7_near_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_token_files": op9_token_files,
         "op10_warc_archive": op10_warc_archive,
+        "pipeline": corpus_pipeline.run,
     }
 
 
