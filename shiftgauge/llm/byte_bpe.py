@@ -27,7 +27,7 @@ FIRST_CHARACTER = 0x100
 PAIRS = ("  ", " \n", "\n ")
 other_space = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 #: Distinct pieces of text and pre-tokens that a worker remembers; beyond it the memory is cleared, results stay the same.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Longer pieces are not remembered.
 REMEMBERED_CHARACTERS = 64
 

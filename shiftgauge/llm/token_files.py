@@ -28,7 +28,7 @@ MAGIC = b"EFTOK001"
 SAMPLE = 256
 #: Pieces without white space, and their parts, that a worker remembers; beyond it the memory is cleared,
 #: results stay the same.
-REMEMBERED, REMEMBERED_PARTS = 200_000, 1_000_000
+REMEMBERED, REMEMBERED_PARTS = 150_000, 400_000
 REMEMBERED_CHARACTERS = 64
 #: Ids that the reader holds at a time, one document at least.
 READ_IDS = 2_000_000
