@@ -91,10 +91,12 @@ class EliasFano:
         return int(self.values(i, i + 1)[0])
 
 
-#: Letters, then marks: neither an apostrophe nor what special tokens are made of, so that the vocabulary's
-#: rules cut such a piece between both, and nowhere else.
-_simple = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*)([!-&(-;=?@\[-`{}~]*)").fullmatch
-_digits = re.compile("[0-9]").search
+#: Marks that may follow letters in a piece that is cut in two: neither apostrophes nor what special tokens are
+#: made of, so that the vocabulary's rules cut such a piece between both, and nowhere else.
+MARKS = ".,!?;:#$%&*()-="
+_latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+").fullmatch
+#: Parts that are handed to the library as one text.
+JOINED = 1000
 
 
 class Encoder:
@@ -111,6 +113,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {"": b""}
 
@@ -119,24 +124,24 @@ class Encoder:
         return {p: np.array(e.ids, dtype=self.kind).tobytes() for p, e in zip(pieces, encoded, strict=True)}
 
     def _parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts that are one word of the vocabulary's rules each, all encoded as one text."""
-        encoded = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        owners = np.array(encoded.word_ids, dtype=np.int64)
-        firsts = np.flatnonzero(np.diff(owners, prepend=-1))
-        if len(firsts) != len(parts):  # a rule has cut a part further
+        """Ids of parts that are one word of the vocabulary's rules each, encoded as texts of many words."""
+        texts = [" ".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int64)
+        lasts = np.flatnonzero(self.ends_word[ids])
+        if len(lasts) != len(parts):  # a rule has cut a part further
             return self._whole(parts)
-        data, cuts = np.array(encoded.ids, dtype=self.kind).tobytes(), [int(c) * self.width for c in firsts]
-        return {p: data[a:b] for p, a, b in zip(parts, cuts, [*cuts[1:], len(data)], strict=True)}
+        data, cuts = ids.astype(self.kind).tobytes(), ((lasts + 1) * self.width).tolist()
+        return {p: data[a:b] for p, a, b in zip(parts, [0, *cuts[:-1]], cuts, strict=True)}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         if len(self.known_parts) > REMEMBERED_PARTS:
             self.known_parts = {"": b""}
         split, rest = {}, []
         for p in pieces:
-            found = _simple(p)
-            if found and not _digits(p):
-                letters, marks = found.groups()
-                split[p] = (letters.lower(), marks)
+            letters = p.rstrip(MARKS)
+            if letters.isalpha() and (letters.isascii() or _latin(letters)):
+                split[p] = (letters.lower(), p[len(letters) :])
             else:
                 rest.append(p)
         known = self.known_parts
