@@ -6,8 +6,8 @@ so a neighbourhood reaches few levels deep where documents are few, and as deep
 alike. Neighbours whose sketches agree are candidates, and links are confirmed on full sets.
 
 The work stays linear in groups of copies: equal sets are one document from the start; a document takes its
-few best neighbours first; and only documents that are still in different components are then compared with
-all others of their region, whatever its size.
+few best neighbours first; and documents of one region that are still in different components are then paired
+by an exact prefix filter, whatever the size of the region.
 """
 
 from __future__ import annotations
@@ -174,10 +174,10 @@ def regions(paths: np.ndarray, start: int, stop: int, depth: int = REGION_LEVELS
 
 
 def across(ordered: DataFrame) -> DataFrame:
-    """a, b, agree: all pairs of a region that are in different components and whose sketches agree.
+    """id, minor: documents of a region whose sketch agrees with one of another component.
 
-    Documents of the region's largest component are not compared among themselves; every other document is
-    compared with all that are not in its own.
+    minor: of every pair of such documents at least one is outside the largest component of its region, and
+    minor. So many rows as documents come out, not as pairs.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,20 +187,55 @@ def across(ordered: DataFrame) -> DataFrame:
             return
         paths, sketches, ids = _arrays(rows)
         owners = rows["component"].to_numpy(np.int64)
+        met, minor = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
         for start, stop in regions(paths, 0, len(rows)):
             own = owners[start:stop]
             names, counts = np.unique(own, return_counts=True)
             if len(names) < 2:
                 continue
-            largest = names[counts.argmax()]
-            for i in np.flatnonzero(own != largest):
-                others = np.flatnonzero((own != own[i]) & ((own == largest) | (np.arange(len(own)) > i)))
-                agree = (sketches[start + others] == sketches[start + i]).sum(axis=1)
-                found = agree >= AGREE
-                if found.any():
-                    yield _pairs(np.full(found.sum(), ids[start + i]), ids[start + others[found]], agree[found])
+            for i in np.flatnonzero(own != names[counts.argmax()]):
+                others = np.flatnonzero(own != own[i])
+                agree = (sketches[start + others] == sketches[start + i]).sum(axis=1) >= AGREE
+                if agree.any():
+                    met[start + others[agree]] = True
+                    met[start + i] = minor[start + i] = True
+        yield pd.DataFrame({"id": ids[met], "minor": minor[met]})
 
-    return ordered.mapInPandas(look, "a long, b long, agree int")
+    return ordered.mapInPandas(look, "id long, minor boolean")
+
+
+def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: pairs of contested documents (id, component, minor) of different components, one of them minor,
+    that may be similar.
+
+    Sets that share enough also share one of the rarest shingles of both: of a set of k, those that are left
+    when ceil(percent * k / 100) - 1 of the most frequent go. So no similar pair is lost, and copies of one text that differ
+    too much hardly meet, as their rarest shingles are their own.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                rows = batch.iloc[start : start + 500]
+                sets = [shingle_set(t, n) for t in rows["text"]]
+                sizes = np.array([len(s) for s in sets])
+                out = rows[["id", "component", "minor"]].loc[rows.index.repeat(sizes)]
+                yield out.assign(size=np.repeat(sizes, sizes), shingle=np.concatenate(sets).view(np.int64))
+
+    rows = contested.join(texts, "id").mapInPandas(
+        cut, "id long, component long, minor boolean, size int, shingle long"
+    )
+    cut_rows = stored(rows, "shingles")
+    shared = cut_rows.groupBy("shingle").agg(F.count("*").alias("documents"))
+    known = cut_rows.join(shared, "shingle")
+    left = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
+    rare = Window.partitionBy("id").orderBy("documents", "shingle")
+    prefix = known.withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= left)
+    prefix = stored(prefix.filter("documents > 1").select("id", "component", "minor", "size", "shingle"), "prefixes")
+    minor = prefix.filter("minor").select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("id", "component", "size")])
+    alike = (100 * F.least("size", "m_size") >= percent * F.greatest("size", "m_size")) & (F.col("component") != F.col("m_component"))
+    met = prefix.join(minor, "shingle").filter(alike)
+    return met.select(F.greatest("id", "m_id").alias("a"), F.least("id", "m_id").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -248,8 +283,10 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = SIMILAR) -> DataFrame
 
     labelled = sets.join(members, "id").join(owners.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
-    rest = across(in_orders(labelled, "component")).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    more = confirmed(rest, texts, n, percent)
+    labelled = stored(labelled, "labelled")
+    met = across(in_orders(labelled, "component")).groupBy("id").agg(F.max("minor").alias("minor"))
+    contested = met.join(labelled.select("id", "component").distinct(), "id")
+    more = confirmed(prefix_pairs(contested, texts, n, percent), texts, n, percent)
     of = owners.select(F.col("node"), F.col("component"))
     joined = (
         more.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left")
