@@ -30,13 +30,19 @@ def places(words: Column, n: int) -> Column:
     return F.when(F.size(words) > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
-def shingle(words: str, at: Column, n: int) -> Column:
-    return F.array_join(F.slice(words, at, n), " ")
+def with_words(rows: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns and `words`. The generator keeps Spark from splitting the text again for each use."""
+    return rows.select(*kept, F.explode(F.array(text_words(F.col("text")))).alias("words"))
 
 
-def shingles(words: str, n: int) -> Column:
-    """Distinct shingles of an array of words, as strings."""
-    return F.array_distinct(F.transform(places(F.col(words), n), lambda at: shingle(words, at, n)))
+def hashes(n: int) -> Column:
+    """A hash of each shingle of the column words, as an array."""
+    return F.transform(places(F.col("words"), n), lambda at: F.xxhash64(F.slice("words", at, n)))
+
+
+def shingles(n: int) -> Column:
+    """Distinct shingles of the column words, as strings."""
+    return F.array_distinct(F.transform(places(F.col("words"), n), lambda at: F.array_join(F.slice("words", at, n), " ")))
 
 
 def needed(n: Column, percent: int) -> Column:
@@ -50,19 +56,18 @@ def signed_items(items: DataFrame, n: int, percent: int) -> DataFrame:
     minima: the smallest hashes of the item's shingles. In the class of sizes 2^c ... 2^(c+1) - 1 there are as
     many as the largest size of the class may miss, and one more.
     """
-    words = items.select(items["item_id"].cast("long").alias("item_id"), text_words(items["text"]).alias("words"))
-    cut = words.withColumn("found", shingles("words", n)).filter("item_id is not null and size(found) > 0")
+    rows = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
+    cut = with_words(rows.filter("item_id is not null"), "item_id").withColumn("found", shingles(n)).filter("size(found) > 0")
     sized = cut.withColumn("item_shingles", F.size("found"))
     sized = sized.withColumn("size_class", F.length(F.bin("item_shingles")) - 1)
     largest = F.pow(F.lit(2), F.col("size_class") + 1).cast("int") - 1
     most = largest - needed(largest, percent) + 1
-    hashes = F.array_sort(F.transform("found", lambda s: F.xxhash64(s)))
     return sized.select(
         "item_id",
         "item_shingles",
         needed(F.col("item_shingles"), percent).alias("needed"),
         "size_class",
-        F.slice(hashes, F.lit(1), most).alias("minima"),
+        F.slice(F.array_sort(F.array_distinct(hashes(n))), F.lit(1), most).alias("minima"),
         "found",
     )
 
@@ -70,10 +75,8 @@ def signed_items(items: DataFrame, n: int, percent: int) -> DataFrame:
 def candidates(docs: DataFrame, signed: DataFrame, n: int) -> DataFrame:
     """doc_id, item_id: documents that hold a minimum of an item and are not too small for it."""
     minima = stored(signed.select("item_id", "needed", F.explode("minima").alias("hash")), "minima")
-    words = docs.select("doc_id", text_words(F.col("text")).alias("words"))
-    at = words.select("doc_id", "words", F.explode(places(F.col("words"), n)).alias("at"))
     size = F.greatest(F.size("words") - n, F.lit(0)) + 1
-    hashed = at.select("doc_id", size.alias("size"), F.xxhash64(shingle("words", F.col("at"), n)).alias("hash"))
+    hashed = with_words(docs, "doc_id").select("doc_id", size.alias("size"), F.explode(hashes(n)).alias("hash"))
     found = hashed.join(minima, "hash").filter(F.col("size") >= F.col("needed"))
     return found.select("doc_id", "item_id").distinct()
 
@@ -91,7 +94,7 @@ def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, percent: int =
     pairs = stored(candidates(rows, signed, n), "pairs")
     named = pairs.join(signed.select("item_id", "item_shingles", "needed", "found"), "item_id")
     texts = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    cut = texts.select("doc_id", shingles_of_text(n).alias("held"))
+    cut = with_words(texts, "doc_id").select("doc_id", shingles(n).alias("held"))
     shared = F.size(F.array_intersect("held", "found"))
     verified = cut.join(named, "doc_id").withColumn("shared", shared).filter(F.col("shared") >= F.col("needed"))
     return verified.groupBy("doc_id", "item_id").agg(
@@ -100,12 +103,6 @@ def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, percent: int =
     )
 
 
-def shingles_of_text(n: int) -> Column:
-    """Distinct shingles of the column text."""
-    words = text_words(F.col("text"))
-    return F.array_distinct(F.transform(places(words, n), lambda at: F.array_join(F.slice(words, at, n), " ")))
-
-
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Documents, all columns, without those that contain an item. Rows without doc_id stay."""
     found = stored(contained(docs, items, n, percent).select("doc_id").distinct(), "contaminated")

@@ -195,15 +195,16 @@ def template_table(spark: SparkSession, model: LicenceModel) -> DataFrame:
 def matched_grams(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """doc_id, paragraph, gram, weights: the distinct n-grams of paragraphs that have weights."""
     spark = docs.sparkSession
-    words = paragraphs(docs).select("doc_id", "paragraph", licence_words(F.col("text")).alias("words"))
-    at = words.select("doc_id", "paragraph", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at"))
-    fits = lambda n: F.col("at") + (n - 1) <= F.size("words")
-    grams = F.array(*[F.when(fits(n), F.array_join(F.slice("words", F.col("at"), n), " ")) for n in ORDERS])
-    # The first word decides whether the longer ones can match, so most places end at a look-up of one word.
+    # The first word decides whether an n-gram can match, so most places end at a look-up of one word.
     firsts = sorted({g.split(" ")[0] for g, w in zip(model.grams, model.weights, strict=True) if np.any(w)})
-    likely = at.filter(F.element_at("words", F.col("at")).isin(firsts))
+    words = paragraphs(docs).select("doc_id", "paragraph", F.explode(F.array(licence_words(F.col("text")))).alias("words"))
+    numbered = F.transform("words", lambda word, at: F.when(word.isin(firsts), at + 1))
+    grams = F.flatten(F.transform(F.array_compact(numbered), lambda at: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(max(ORDERS)), F.size("words") - at + 1)),
+        lambda n: F.array_join(F.slice("words", at, n), " "),
+    )))
     return (
-        likely.select("doc_id", "paragraph", F.explode(grams).alias("gram"))
+        words.select("doc_id", "paragraph", F.explode(grams).alias("gram"))
         .join(F.broadcast(weight_table(spark, model)), "gram")
         .distinct()
     )
