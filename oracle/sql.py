@@ -93,6 +93,9 @@ _STEM = "regexp_replace(regexp_replace({p}, '^.*/', ''), '[.][^.]*$', '')"
 _CLASS = r"\bclass\s+(\w+)\s*(?:extends\b|implements\b|\{)"
 _ROUTE = r"\$route\[''([^\n]*?)''\] = ''([^\n]*?)''"
 _UP = "'/' || lower(path)"
+_NESTED = r"[^()]"
+for _ in range(8):  # deeper than any condition of the fixtures
+    _NESTED = rf"(?:[^()]|\({_NESTED}*\))"
 
 
 def _parent(p: str) -> str:
@@ -266,9 +269,9 @@ LEFT JOIN (SELECT project_id, COUNT(*) AS total FROM pk GROUP BY project_id) n O
 LEFT JOIN (SELECT project_id, source_framework, target_framework, COUNT(*) AS bad FROM incompatible GROUP BY ALL) i
   ON i.project_id = s.project_id AND i.source_framework = s.source_framework AND i.target_framework = s.target_framework""",
     "newest": f"""SELECT name, version AS latest_version FROM (
-SELECT name, version, row_number() OVER (PARTITION BY name ORDER BY {_key('version')} DESC) AS rn
+SELECT name, version, row_number() OVER (PARTITION BY name ORDER BY {_key('version')} DESC, version DESC) AS rn
 FROM registry WHERE NOT contains(name, 'ext')) WHERE rn = 1""",
-    "newest_php": f"SELECT version AS latest_php FROM releases ORDER BY {_key('version')} DESC LIMIT 1",
+    "newest_php": f"SELECT version AS latest_php FROM releases ORDER BY {_key('version')} DESC, version DESC LIMIT 1",
     "with_latest": """SELECT p.project_id, p.ord, p.name, p.version_string, n.latest_version FROM pk p JOIN newest n ON n.name = p.name
 WHERE p.section = 'require' AND NOT contains('php', p.name) AND p.version_string IS NOT NULL""",
     "outdated": f"""SELECT project_id, name, version_string AS current_version, latest_version,
@@ -343,12 +346,18 @@ SELECT project_id, dir, regexp_replace(dir, '^.*/', '') AS old_name,
     "long_tagged": """SELECT project_id, path, content AS old, CASE WHEN starts_with(content, '<?php') OR starts_with(content, '<?xml') THEN content
 ELSE replace(replace(replace(replace(replace(content, '<?php', chr(1)), '<?xml', chr(2)), '<?', '<?php '), chr(1), '<?php'), chr(2), '<?xml')
 END AS content FROM code_files WHERE ends_with(path, '.php')""",
+    "judged": """SELECT r.*, r.new_name = '' OR row_number() OVER (PARTITION BY r.project_id, r.new_dir ORDER BY r.dir) > 1
+  OR EXISTS (SELECT 1 FROM path_dirs d WHERE d.project_id = r.project_id AND d.dir = r.new_dir) AS conflict FROM renames r""",
+    "titled": rf"""SELECT project_id, dir, CAST(len(string_split(dir, '/')) AS INT) AS depth, {_parent('dir')} || '/' || array_to_string(list_transform(
+regexp_extract_all(regexp_replace(dir, '^.*/', ''), '\pL[\pL.:''`^]*|[^\pL]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS new_dir
+FROM path_dirs WHERE contains(dir, '/') AND NOT regexp_matches(dir, '(^|/)[.]')
+AND NOT regexp_matches('/' || dir || '/', '/({_SKIPPED})/')""",
     "schema_tables": "SELECT DISTINCT project_id, table_name FROM columns_extract",
     "edges": """SELECT k.project_id, k.table_name, k.fk_name, k.foreign_table, t.table_name IS NULL AS missing_target
 FROM foreign_keys k LEFT JOIN schema_tables t ON t.project_id = k.project_id AND t.table_name = k.foreign_table""",
-    "bound_columns": """SELECT project_id, table_name, ordinal, column_name, type, CASE type WHEN 'int' THEN 'INTEGER' WHEN 'integer' THEN 'INTEGER'
-WHEN 'smallint' THEN 'INTEGER' WHEN 'boolean' THEN 'BOOLEAN' WHEN 'blob' THEN 'LARGE_OBJECT' WHEN 'binary' THEN 'BINARY'
-ELSE 'STRING' END AS binding_type FROM columns_extract""",
+    "bound_columns": rf"""SELECT project_id, table_name, ordinal, column_name, type, coalesce(b.bound, 'STRING') AS binding_type
+FROM columns_extract c LEFT JOIN {_rows(list(fixed.BINDING_TYPES.items()))} b(kind, bound) ON b.kind = CASE
+WHEN starts_with(lower(c.type), 'tinyint(1)') THEN 'boolean' ELSE regexp_replace(lower(c.type), '[(].*', '') END""",
 }
 
 _SCEN = "project_id, source_choice, source_framework, target_framework"
@@ -456,7 +465,7 @@ FROM projects p LEFT JOIN detected d ON d.project_id = p.project_id GROUP BY p.p
     "primary_framework": "SELECT project_id, framework AS primary_framework, name, version_string, certainty FROM primary_fw",
     "representative_package": "SELECT * FROM representative",
     "first_php_package": "SELECT * FROM first_php",
-    "version_order": f"SELECT DISTINCT name, version, array_to_string({_key('version')}, '.') AS version_key FROM registry",
+    "version_order": f"SELECT name, version, array_to_string({_key('version')}, '.') AS version_key FROM registry",
     "all_packages": "SELECT project_id, ord, section, name, version_string FROM pk",
     "directory_order": "SELECT project_id, dir, CAST(len(string_split(dir, '/')) AS INT) AS depth FROM php_dirs",
     "routes": "SELECT * FROM route_rows",
@@ -470,20 +479,19 @@ FROM class_targets c""",
     "class_name_sync": rf"""SELECT project_id, path, class_name, new_name, regexp_replace(content, '\bclass\s+\w+', 'class ' || new_name) AS content
 FROM (SELECT *, regexp_extract(content, '\bclass\s+(\w+)', 1) AS class_name, {_STEM.format(p='path')} AS new_name FROM php_walked)
 WHERE class_name NOT IN ('', new_name)""",
-    "braceless_if_census": r"""SELECT project_id, path, CAST(len(regexp_extract_all(content,
-'\bif\s*\((?:[^()]|\([^()]*\))*\)\s*[^\s{:]')) AS INT) AS braceless_ifs FROM code_files
+    "braceless_if_census": rf"""SELECT project_id, path, CAST(len(regexp_extract_all(content,
+'\bif\s*\({_NESTED}*\)\s*[^\s{{:]')) AS INT) AS braceless_ifs FROM code_files
 WHERE ends_with(path, '.php') AND NOT regexp_matches(path, '(^|/)[.]')""",
-    "directory_rename_plan": f"""SELECT r.project_id, r.dir, CAST(len(string_split(r.dir, '/')) AS INT) AS depth, r.new_dir,
-array_to_string(list_transform(string_split(r.dir, '/'), lambda s: {_pascal('s')}), '/') AS final_dir,
-lower(r.old_name) = lower(r.new_name) AS case_only,
-r.new_name = '' OR row_number() OVER (PARTITION BY r.project_id, r.new_dir ORDER BY r.dir) > 1
-  OR EXISTS (SELECT 1 FROM path_dirs d WHERE d.project_id = r.project_id AND d.dir = r.new_dir) AS conflict
-FROM renames r""",
-    "directory_capitalise_plan": rf"""SELECT project_id, dir, depth, new_dir, new_dir <> dir AS changed FROM (
-SELECT project_id, dir, CAST(len(string_split(dir, '/')) AS INT) AS depth, {_parent('dir')} || '/' || array_to_string(list_transform(
-regexp_extract_all(regexp_replace(dir, '^.*/', ''), '\pL[\pL.:''`^]*|[^\pL]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS new_dir
-FROM file_dirs WHERE contains(dir, '/') AND NOT regexp_matches(dir, '(^|/)[.]')
-AND NOT regexp_matches('/' || dir || '/', '/({'|'.join(CONFIG.exclude)})/'))""",
+    "directory_rename_plan": """SELECT r.project_id, r.dir, CAST(len(string_split(r.dir, '/')) AS INT) AS depth, r.new_dir,
+(SELECT string_agg(coalesce(k.new_name, regexp_replace(array_to_string(string_split(r.dir, '/')[:i], '/'), '^.*/', '')), '/' ORDER BY i)
+ FROM range(1, 40) g(i) LEFT JOIN judged k ON NOT k.conflict AND k.project_id = r.project_id AND k.dir = array_to_string(string_split(r.dir, '/')[:i], '/')
+ WHERE i <= len(string_split(r.dir, '/'))) AS final_dir,
+lower(r.old_name) = lower(r.new_name) AS case_only, r.conflict
+FROM judged r""",
+    "directory_capitalise_plan": """SELECT t.project_id, t.dir, t.depth, t.new_dir, t.new_dir <> t.dir AS changed, t.new_dir <> t.dir AND (
+EXISTS (SELECT 1 FROM path_dirs d WHERE d.project_id = t.project_id AND d.dir = t.new_dir)
+OR EXISTS (SELECT 1 FROM titled o WHERE o.project_id = t.project_id AND o.new_dir = t.new_dir AND o.new_dir <> o.dir AND o.dir < t.dir)) AS conflict
+FROM titled t""",
     "camel_case": f"""SELECT kind, name, {_camel('name')} AS camel_name, {_pascal('name')} AS pascal_name, {_pascal('name')} <> name AS changed FROM (
 SELECT 'file' AS kind, {_STEM.format(p='path')} AS name FROM php_walked
 UNION SELECT 'directory', unnest(string_split(path, '/')[:-2]) FROM php_walked

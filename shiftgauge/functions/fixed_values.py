@@ -238,12 +238,33 @@ TEMPLATE_DIRS = r"(?i)/(views?|templates?|pages?|partials?|layouts?)/"
 # (those that start with a dot are left out as hidden).
 VCS_DIRS = ("_svn", "CVS", "_darcs")
 
-# How a database driver binds each column type; anything else binds as STRING.
+# How a database driver binds each column type, under the names of common databases; anything
+# else binds as STRING.
 BINDING_TYPES = {
     "int": "INTEGER",
     "integer": "INTEGER",
     "smallint": "INTEGER",
+    "tinyint": "INTEGER",
+    "mediumint": "INTEGER",
+    "int2": "INTEGER",
+    "int4": "INTEGER",
+    "serial": "INTEGER",
+    "smallserial": "INTEGER",
     "boolean": "BOOLEAN",
+    "bool": "BOOLEAN",
     "blob": "LARGE_OBJECT",
+    "tinyblob": "LARGE_OBJECT",
+    "mediumblob": "LARGE_OBJECT",
+    "longblob": "LARGE_OBJECT",
+    "bytea": "LARGE_OBJECT",
     "binary": "BINARY",
+    "varbinary": "BINARY",
 }
+
+# A route definition, and a line up to the last place where one can end.
+ROUTE = r"\$route\['([^\n]*?)'\] = '([^\n]*?)'"
+ROUTE_END = r"^[^\n]*'\] = '[^'\n]*'"
+
+# A constructor with a parameter whose type begins with a capital. Each run of letters is tried
+# once, from its start.
+CONSTRUCTOR = r"public\s+function\s+__construct\s*\([^)]*?(?<![a-zA-Z\\])[a-z\\]*+[A-Z][a-zA-Z\\]++\s++\$"

@@ -29,36 +29,46 @@ def version_parts(packages: DataFrame) -> DataFrame:
 
 
 def version_order(registry: DataFrame) -> DataFrame:
-    """Distinct releases of every package in version order, oldest first.
+    """All releases of every package in version order, oldest first; repeated ones stay.
 
     The sort is global by range, so a package with very many releases spreads over tasks.
     """
-    keyed = registry.distinct().select("name", "version", version_key("version").alias("version_key"))
+    keyed = registry.select("name", "version", version_key("version").alias("version_key"))
     return keyed.orderBy("name", "version_key", "version")
 
 
+def _owners(name: str) -> str:
+    """SQL for the frameworks that own a package name, as an array."""
+    terms = []
+    for fw in fixed.FRAMEWORKS:
+        owned = " or ".join(f"startswith({name}, {sql_literal(x)})" for x in fixed.PACKAGE_PREFIXES[fw])
+        terms.append(f"if({owned}, '{fw}', null)")
+    return f"array_compact(array({', '.join(terms)}))"
+
+
 def prefix_package_match(packages: DataFrame) -> DataFrame:
-    """Manifest entries that belong to a framework by a name prefix.
+    """Manifest entries that belong to a framework by a name prefix, decided inside the entry's row."""
+    return packages.select("project_id", "ord", "name", F.explode(F.expr(_owners("name"))).alias("framework"))
 
-    The prefixes are a broadcast dimension, so this is a nested-loop join on the map side; an entry
-    that matches several prefixes of a framework is still one row.
-    """
-    owned = dims.prefix_sets(packages.sparkSession)
-    return packages.join(owned, F.exists("prefixes", lambda prefix: F.startswith("name", prefix))).select(
-        "project_id", "ord", "name", "framework"
-    )
 
+def incompatible_packages(parsed: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Entries that belong to the source framework and not to the target.
 
-def incompatible_packages(matches: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Entries that belong to the source framework and not to the target."""
-    source = scenarios.select("project_id", F.col("source_framework").alias("framework"), "target_framework").distinct()
-    target = matches.select("project_id", "ord", F.col("framework").alias("target_framework"))
+    The entries of a manifest stay in its row until a scenario of the project has picked its own.
+    """
+    owned = parsed.select(
+        "project_id",
+        F.expr(f"transform(packages, p -> struct(p.ord as ord, p.name as name, {_owners('p.name')} as owners))").alias("entries"),
+    )
+    pairs = scenarios.select("project_id", "source_framework", "target_framework").distinct()
+    picked = F.expr(
+        "filter(entries, e -> array_contains(e.owners, source_framework)"
+        " and not coalesce(array_contains(e.owners, target_framework), false))"
+    )
     return (
-        matches.join(source, ["project_id", "framework"])
-        .join(target, ["project_id", "ord", "target_framework"], "left_anti")
-        .select(
-            "project_id", F.col("framework").alias("source_framework"), "target_framework", "ord", "name"
-        )
+        pairs.join(owned, "project_id")
+        .select("project_id", "source_framework", "target_framework", F.explode(picked).alias("e"))
+        .select("project_id", "source_framework", "target_framework", "e.ord", "e.name")
     )
 
 
@@ -164,10 +174,11 @@ def with_dependency_scores(scenarios: DataFrame) -> DataFrame:
     ).drop("min_major", "min_minor")
 
 
-def dependency_registry_join(packages: DataFrame, latest: DataFrame) -> DataFrame:
+def dependency_registry_join(packages: DataFrame, latest: DataFrame, salts: int | None = None) -> DataFrame:
     """Required packages with their newest release.
 
-    A name that is itself a part of ``php`` is skipped, as are entries without a version.
+    A name that is itself a part of ``php`` is skipped, as are entries without a version. A hot package is
+    spread over ``salts`` tasks, as many as there are shuffle partitions by default.
     """
     wanted = packages.filter(
         (F.col("section") == "require")
@@ -175,7 +186,7 @@ def dependency_registry_join(packages: DataFrame, latest: DataFrame) -> DataFram
         & F.col("version_string").isNotNull()
     )
     return (
-        salted_lookup(wanted, latest, keys=["name"], spread="project_id")
+        salted_lookup(wanted, latest, keys=["name"], spread="project_id", salts=salts)
         .filter(F.col("latest_version").isNotNull())
         .select("project_id", "ord", "name", "version_string", "latest_version")
     )

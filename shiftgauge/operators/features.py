@@ -108,8 +108,7 @@ def has_interface(content: Column, path: Column) -> Column:
 
 
 def has_injection(content: Column, path: Column) -> Column:
-    constructor = r"public\s+function\s+__construct\s*\([^)]*[A-Z][a-zA-Z\\]+\s+\$"
-    by_type = F.contains(content, F.lit("__construct")) & F.rlike(content, F.lit(constructor))
+    by_type = F.contains(content, F.lit("__construct")) & F.rlike(content, F.lit(fixed.CONSTRUCTOR))
     return by_type | contains_any(content, ("->getDI()", "getDI()->get("))
 
 

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.functions.paths import ancestors, base_name, below_any, depth, directory, is_hidden, join_path, stem
 from shiftgauge.functions.text import WORD_END, camel_case, pascal_case, title_case, word
 from shiftgauge.operators.files import ScanConfig, is_php, is_walked
 
-ROUTE = r"\$route\['([^\n]*?)'\] = '([^\n]*?)'"
 CLASS = word("class") + rf"\s+(\w+)\s*(?:extends{WORD_END}|implements{WORD_END}|\{{)"
 # Blanks only at the line start: line breaks there would make long runs of empty lines slow.
 NAMESPACE = r"(?m)^[ \t]*(?:<\?php[ \t]+)?namespace[ \t]+([\w\\]+)\s*[;{]"
-# One level of nested parentheses; the body starts with neither a brace nor a colon. It is only
-# looked at, because it may be the next statement that counts.
-BRACELESS_IF = word("if") + r"\s*\((?:[^()]|\([^()]*\))*+\)\s*+(?=[^\s{:])"
+IF_HEAD = word("if") + r"\s*\z"
+IF_BODY = r"^\s*[^\s{:]"
 
 
 def routes(files: DataFrame, config: ScanConfig) -> DataFrame:
     """Route definitions of every ``routes.php``, in order."""
-    path, content = F.col("path"), F.col("content")
+    path = F.col("path")
+    lines = F.filter(
+        F.split("content", "\n"), lambda x: F.contains(x, F.lit("$route['")) & F.contains(x, F.lit("'] = '"))
+    )
+    # Up to the last place where a definition can end, so that no start is tried in vain.
+    cut = F.transform(lines, lambda x: F.regexp_extract(x, fixed.ROUTE_END, 0))
+    text = F.array_join(cut, "\n")
     found = F.arrays_zip(
-        F.regexp_extract_all(content, F.lit(ROUTE), F.lit(1)).alias("route"),
-        F.regexp_extract_all(content, F.lit(ROUTE), F.lit(2)).alias("target"),
+        F.regexp_extract_all("text", F.lit(fixed.ROUTE), F.lit(1)).alias("route"),
+        F.regexp_extract_all("text", F.lit(fixed.ROUTE), F.lit(2)).alias("target"),
     )
     return (
         files.filter((base_name(path) == "routes.php") & is_walked(path, config))
+        .select("project_id", "path", F.explode(F.array(text)).alias("text"))
         .select("project_id", "path", F.posexplode(found).alias("pos", "r"))
         .select("project_id", "path", "pos", F.col("r.route").alias("route"), F.col("r.target").alias("target"))
     )
@@ -43,9 +49,19 @@ def routes_dump(found: DataFrame) -> DataFrame:
     )
 
 
-def write_routes(found: DataFrame, location: str) -> None:
-    """Write the route maps, one directory per project."""
-    routes_dump(found).write.mode("overwrite").partitionBy("project_id").json(location)
+def write_routes(found: DataFrame, location: str, buckets: int = 64) -> None:
+    """Write the route maps into a directory for each bucket of projects, one file per bucket and task.
+
+    A project is in one file, its routes in order.
+    """
+    bucket = F.pmod(F.xxhash64("project_id"), F.lit(buckets)).cast("int")
+    (
+        routes_dump(found)
+        .withColumn("bucket", bucket)
+        .repartition("bucket", "project_id")
+        .sortWithinPartitions("bucket", "project_id", "route")
+        .write.mode("overwrite").partitionBy("bucket").json(location)
+    )
 
 
 def class_names(files: DataFrame, config: ScanConfig) -> DataFrame:
@@ -67,8 +83,8 @@ def class_split_plan(files: DataFrame, config: ScanConfig) -> DataFrame:
     """One row per class of a file with several: its new name and file, and whether it is written.
 
     An existing file is kept, and of several classes with one target only the first is written.
-    The winners are found by aggregation and matched back on (path, position), which is unique, so
-    a target that very many classes share does not gather in one task.
+    The narrow class rows are dealt by target once and numbered as they stream past, so content is read once
+    and nothing is gathered.
     """
     path = F.col("path")
     classes = (
@@ -83,27 +99,50 @@ def class_split_plan(files: DataFrame, config: ScanConfig) -> DataFrame:
         .withColumn("new_name", pascal_case(F.col("class_name")))
         .withColumn("target_path", join_path(directory(path), F.concat("new_name", F.lit(".php"))))
     )
-    winners = (
-        classes.groupBy("project_id", "target_path")
-        .agg(F.min(F.struct("path", "pos")).alias("w"))
-        .join(
-            files.select("project_id", F.col("path").alias("target_path")),
-            ["project_id", "target_path"],
-            "left_anti",
+    target = Window.partitionBy("project_id", "target_path").orderBy("path", "pos")
+    existing = files.select("project_id", F.col("path").alias("target_path"), F.lit(True).alias("exists")).distinct()
+    return (
+        classes.withColumn("claim", F.row_number().over(target))
+        .join(existing, ["project_id", "target_path"], "left")
+        .select(
+            "project_id", "path", "pos", "namespace", "class_name", "new_name", "target_path",
+            ((F.col("claim") == 1) & F.col("exists").isNull()).alias("written"),
+        )
+    )
+
+
+def _braceless_ifs(content: F.Column) -> F.Column:
+    """Conditions of any depth, in one pass over the text between parentheses.
+
+    The text is cut behind every parenthesis. The fold keeps the depth, the depths at which an ``if`` has opened
+    its condition, and whether the last cut closed one, in which case the next piece tells if a body follows.
+    """
+    pieces = F.split(content, r"(?<=[()])")
+
+    def step(state: F.Column, piece: F.Column) -> F.Column:
+        n, opened = state["n"], state["opened"]
+        body = F.rlike(F.regexp_replace(piece, r"[()]\z", "("), F.lit(IF_BODY))
+        n = n + (state["closed"] & body).cast("int")
+        head = F.rlike(F.regexp_replace(piece, r"\(\z", ""), F.lit(IF_HEAD))
+        opens, closes = F.endswith(piece, F.lit("(")), F.endswith(piece, F.lit(")"))
+        top = F.get(opened, F.size(opened) - 1)
+        rest = F.slice(opened, F.lit(1), F.greatest(F.size(opened) - 1, F.lit(0)))
+        return F.struct(
+            n.alias("n"),
+            F.when(opens, F.concat(opened, F.array(head))).when(closes, rest).otherwise(opened).alias("opened"),
+            (closes & F.coalesce(top, F.lit(False))).alias("closed"),
         )
-        .select("project_id", "w.path", "w.pos", F.lit(True).alias("written"))
-    )
-    return classes.join(winners, ["project_id", "path", "pos"], "left").select(
-        "project_id", "path", "pos", "namespace", "class_name", "new_name", "target_path",
-        F.coalesce("written", F.lit(False)).alias("written"),
-    )
+
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("opened"), F.lit(False).alias("closed"))
+    return F.aggregate(pieces, start, step, lambda state: state["n"])
 
 
 def braceless_if_census(files: DataFrame) -> DataFrame:
     """Single-statement ``if`` without braces, per source file."""
     path = F.col("path")
+    has_if = F.rlike("content", F.lit(word("if") + r"\s*\("))
     return files.filter(is_php(path) & ~is_hidden(path)).select(
-        "project_id", "path", F.regexp_count("content", F.lit(BRACELESS_IF)).alias("braceless_ifs")
+        "project_id", "path", F.when(has_if, _braceless_ifs(F.col("content"))).otherwise(0).alias("braceless_ifs")
     )
 
 
@@ -172,7 +211,8 @@ def directory_rename_plan(files: DataFrame, paths: DataFrame, config: ScanConfig
     """Renames of source directories to Pascal case.
 
     A rename is in conflict when its target exists or an earlier sibling claims it. As children
-    are renamed first, ``new_dir`` still has the old parent; ``final_dir`` has every segment renamed.
+    are renamed first, ``new_dir`` still has the old parent; ``final_dir`` has the new names of all
+    directories on the way that are renamed, and the old ones of those in conflict.
     """
     name = base_name(F.col("dir"))
     plan = (
@@ -188,24 +228,47 @@ def directory_rename_plan(files: DataFrame, paths: DataFrame, config: ScanConfig
         .join(all_directories(paths).withColumnRenamed("dir", "new_dir"), ["project_id", "new_dir"], "left_anti")
         .select("project_id", "dir", F.lit(True).alias("free"))
     )
-    return plan.join(winners, ["project_id", "dir"], "left").select(
+    judged = plan.join(winners, ["project_id", "dir"], "left")
+    renamed = judged.filter("free").select("project_id", F.col("dir").alias("above"), F.col("new_name").alias("renamed"))
+    way = F.concat(ancestors(F.col("dir")), F.array("dir"))
+    final = (
+        plan.select("project_id", "dir", F.posexplode(way).alias("place", "above"))
+        .join(renamed, ["project_id", "above"], "left")
+        .groupBy("project_id", "dir")
+        .agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("renamed", base_name(F.col("above"))).alias("name")))).alias("way"))
+        .select("project_id", "dir", F.array_join("way.name", "/").alias("final_dir"))
+    )
+    return judged.join(final, ["project_id", "dir"]).select(
         "project_id",
         "dir",
         depth(F.col("dir")).alias("depth"),
         "new_dir",
-        F.array_join(F.transform(F.split("dir", "/"), pascal_case), "/").alias("final_dir"),
+        "final_dir",
         (F.lower("old_name") == F.lower("new_name")).alias("case_only"),
         F.col("free").isNull().alias("conflict"),
     )
 
 
-def directory_capitalise_plan(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """Title-case names for the directories below the top level."""
+def directory_capitalise_plan(paths: DataFrame, config: ScanConfig) -> DataFrame:
+    """Title-case names for the directories below the top level, with or without source files.
+
+    A change is in conflict when its target exists or an earlier sibling claims it.
+    """
     current = F.col("dir")
     new = join_path(directory(current), title_case(base_name(current)))
-    return (
-        all_directories(files)
-        .filter((depth(current) >= 2) & ~is_hidden(current))
-        .filter(~below_any(F.concat(current, F.lit("/")), config.exclude))
+    every = all_directories(paths)
+    plan = (
+        every.filter((depth(current) >= 2) & ~is_hidden(current))
+        .filter(~below_any(F.concat(current, F.lit("/")), (*config.exclude, *fixed.VCS_DIRS)))
         .select("project_id", "dir", depth(current).alias("depth"), new.alias("new_dir"), (new != current).alias("changed"))
     )
+    winners = (
+        plan.filter("changed")
+        .groupBy("project_id", "new_dir")
+        .agg(F.min("dir").alias("dir"))
+        .join(every.withColumnRenamed("dir", "new_dir"), ["project_id", "new_dir"], "left_anti")
+        .select("project_id", "dir", F.lit(True).alias("free"))
+    )
+    return plan.join(winners, ["project_id", "dir"], "left").select(
+        "project_id", "dir", "depth", "new_dir", "changed", (F.col("changed") & F.col("free").isNull()).alias("conflict")
+    )

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
-
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, salts: int = SALTS) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, salts: int | None = None) -> DataFrame:
     """Left join to a lookup that has one narrow row per key but may be too large to broadcast.
 
     A hot key would send its rows to one task, so they are spread by the hash of another column
     and the lookup row is repeated once per salt. If the lookup turns out small at run time,
     adaptive execution broadcasts it instead.
     """
+    if salts is None:
+        salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], "left").drop("_salt")

@@ -82,8 +82,7 @@ def _version_order(c: Corpus) -> DataFrame:
 
 
 def _incompatible(c: Corpus) -> DataFrame:
-    matches = dependencies.prefix_package_match(_packages(c))
-    return dependencies.incompatible_packages(matches, migration.scenarios(c, PAIRS))
+    return dependencies.incompatible_packages(_parsed(c), migration.scenarios(c, PAIRS))
 
 
 def _migration_report(c: Corpus) -> DataFrame:
@@ -168,7 +167,7 @@ OPERATORS: dict[str, Callable[[Corpus], DataFrame]] = {
     "class_name_sync": lambda c: rewrites.class_name_sync(c.files, PLAIN),
     "braceless_if_census": lambda c: inventories.braceless_if_census(c.files),
     "directory_rename_plan": lambda c: inventories.directory_rename_plan(c.files, c.paths, PLAIN),
-    "directory_capitalise_plan": lambda c: inventories.directory_capitalise_plan(c.files, PLAIN),
+    "directory_capitalise_plan": lambda c: inventories.directory_capitalise_plan(c.paths, PLAIN),
     "camel_case": lambda c: inventories.names(c.files, PLAIN),
     "namespace_map": lambda c: inventories.namespace_map(c.files, PLAIN),
     "schema_nodes": lambda c: schema_graph.schema_nodes(c.columns),

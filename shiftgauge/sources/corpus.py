@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.functions.versions import version_key
 
-MANIFEST_SCHEMA = "require map<string,string>, `require-dev` map<string,string>, _corrupt_record string"
+MANIFEST_SCHEMA = "require string, `require-dev` string, _corrupt_record string"
+ROOT_MANIFEST = "composer.json"
 
 
 class Corpus:
@@ -61,26 +62,38 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
+def root_manifests(manifests: DataFrame) -> DataFrame:
+    """One manifest per project: the root one where paths are known, which are unique; else the first by content."""
+    rows = manifests.filter(F.col("content").isNotNull())
+    if "path" in manifests.columns:
+        return rows.filter(F.ltrim("path", F.lit("/")) == ROOT_MANIFEST).select("project_id", "content")
+    return rows.groupBy("project_id").agg(F.min("content").alias("content"))
+
+
 def parsed_manifests(manifests: DataFrame) -> DataFrame:
-    """One row per readable manifest: its entries as an array, required ones first, in order.
+    """One row per project with a readable manifest: its entries as an array, required ones first, in order.
 
     Most questions about a manifest are answered inside this row, without a shuffle. ``inline``
-    keeps the text from being parsed more than once.
+    keeps the text from being parsed more than once. A section that is no object, such as the ``[]``
+    that stands for an empty one, has no entries; only text that is no JSON counts as missing.
     """
     parsed = F.from_json(
         "content", MANIFEST_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    no_entries = "cast(map() as map<string,string>)"
+
+    def entries(section: str) -> F.Column:
+        is_object = F.startswith(F.ltrim(section), F.lit("{"))
+        fields = F.from_json(F.when(is_object, F.col(section)), "map<string,string>")
+        return F.map_entries(F.coalesce(fields, F.expr("cast(map() as map<string,string>)")))
+
     sections = (
-        manifests.filter(F.col("content").isNotNull())
+        root_manifests(manifests)
         .select("project_id", F.inline(F.array(parsed)))
         .filter(F.col("_corrupt_record").isNull())
-        .select(
-            "project_id",
-            F.expr(f"map_entries(coalesce(require, {no_entries}))").alias("required"),
-            F.expr(f"map_entries(coalesce(`require-dev`, {no_entries}))").alias("dev"),
-        )
-    )
+        .select("project_id", F.inline(F.array(F.struct(
+            entries("require").alias("required"), entries("require-dev").alias("dev"),
+        ))))
+    )
 
     def entry(section: str, first: str) -> str:
         return (
@@ -138,22 +151,33 @@ def releases_from_json(documents: DataFrame) -> DataFrame:
 
 
 def registry_latest(registry: DataFrame) -> DataFrame:
-    """Newest release per package. Pre-releases count; names with ``ext`` are not looked up."""
+    """Newest release per package; of equal versions the last by text. Pre-releases count; names with ``ext`` are not looked up."""
     return (
         registry.filter(~F.contains("name", F.lit("ext")))
         .groupBy("name")
-        .agg(F.max_by("version", version_key("version")).alias("latest_version"))
+        .agg(F.max_by("version", F.struct(version_key("version").alias("key"), "version")).alias("latest_version"))
     )
 
 
 def latest_runtime(releases: DataFrame) -> DataFrame:
     """One row: the newest runtime release."""
-    return releases.agg(F.max_by("version", version_key("version")).alias("latest_php"))
+    newest = F.struct(version_key("version").alias("key"), "version")
+    return releases.agg(F.max_by("version", newest).alias("latest_php"))
 
 
 def schema_columns(columns: DataFrame) -> DataFrame:
-    """Columns of every table with the type that a database driver binds them as."""
+    """Columns of every table with the type that a database driver binds them as.
+
+    Types are compared in lower case, without lengths and without words such as ``unsigned``; only
+    ``tinyint(1)`` is told from other lengths, because it stands for a boolean.
+    """
+    written = F.trim(F.lower(F.col("type")))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(written, r"\s*\([^)]*\)", ""), r"\b(unsigned|signed|zerofill)\b", ""))
+    kind = F.when(written.startswith("tinyint(1)"), F.lit("boolean")).otherwise(plain)
+    bound = {}
+    for name, target in fixed.BINDING_TYPES.items():
+        bound.setdefault(target, []).append(name)
     binding = F.lit("STRING")
-    for kind, bound in fixed.BINDING_TYPES.items():
-        binding = F.when(F.col("type") == kind, F.lit(bound)).otherwise(binding)
+    for target, kinds in bound.items():
+        binding = F.when(kind.isin(kinds), F.lit(target)).otherwise(binding)
     return columns.select("project_id", "table_name", "ordinal", "column_name", "type", binding.alias("binding_type"))

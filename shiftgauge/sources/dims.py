@@ -1,6 +1,6 @@
 """The fixed values as small DataFrames.
 
-Every dimension is built from a Python constant, so its row count is known when it is built. That
+Every dimension is built from a Python constant or list, so its row count is known when it is built. That
 is the size check behind each ``broadcast`` of one.
 """
 
@@ -16,14 +16,13 @@ MAX_BROADCAST_ROWS = 100_000
 
 
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A broadcast-marked local relation of known size."""
-    if len(rows) > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many to broadcast")
+    """A local relation of known size, marked for broadcast up to MAX_BROADCAST_ROWS rows."""
     fields = [field.split() for field in schema.split(",")]
     values = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
     casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
     names = ", ".join(name for name, _ in fields)
-    return F.broadcast(spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})"))
+    table = spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_ROWS else table
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -49,13 +48,6 @@ def fingerprint_depth() -> int:
     return max(path.count("/") + 1 for paths in fixed.FINGERPRINTS.values() for path in paths)
 
 
-def prefix_sets(spark: SparkSession) -> DataFrame:
-    """One row per framework, with its package prefixes as an array."""
-    rows = [(fw, " ".join(fixed.PACKAGE_PREFIXES[fw])) for fw in fixed.FRAMEWORKS]
-    listed = small(spark, rows, "framework string, joined string")
-    return F.broadcast(listed.select("framework", F.split("joined", " ").alias("prefixes")))
-
-
 def target_versions(spark: SparkSession) -> DataFrame:
     rows = [
         (fw, runtime, version)

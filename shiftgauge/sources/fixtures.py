@@ -28,7 +28,7 @@ FILE_KINDS = [
      "<?php defined(^BASEPATH^) or die;`class m extends CI_Model { function g() { $this->db->where(1); return $this->db->get(2); } }`"),
     ("lib/db/q_#.php", "<?php`$s = $pdo->prepare(1); $r = $pdo->query(2);`"),
     ("tests/Feature/F#Test.php", "<?php`use Tests~TestCase;`class F extends TestCase {}`"),
-    ("src/unit/u_#test.php", "<?php`class u { function t() { if (1) echo 2; if (f(g)) { h(); } elseif (2) i(); } }`"),
+    ("src/unit/u_#test.php", "<?php`class u { function t() { if (1) echo 2; if (f(g)) { h(); } elseif (2) i(); if (a(b(c(d(e(f(1)))))) and (2)) j(); } }`"),
     ("resources/views/v_#.blade.php", "{{ title }}`"),
     ("app/views/p_#.php", "<?php if ($_GET[^q^]) { ?><b><?php echo new Foo(); } ?>`"),
     ("application/config/r_#/routes.php",
@@ -95,9 +95,9 @@ MARKER_PATHS = [
 SCHEMA_TABLES = {
     "region": ["r_regionkey bigint", "r_name varchar"],
     "nation": ["n_nationkey bigint", "n_name varchar", "n_regionkey bigint"],
-    "customer": ["c_custkey int", "c_name varchar", "c_nationkey bigint", "c_active boolean"],
-    "supplier": ["s_suppkey int", "s_name varchar", "s_nationkey bigint", "s_photo blob"],
-    "part": ["p_partkey int", "p_size smallint", "p_hash binary"],
+    "customer": ["c_custkey INTEGER", "c_name varchar(25)", "c_nationkey bigint", "c_active bool", "c_vip tinyint(1)", "c_age tinyint(3)", "c_key bytea"],
+    "supplier": ["s_suppkey int(11)", "s_name varchar", "s_nationkey bigint", "s_photo longblob", "s_scan mediumblob", "s_rank mediumint"],
+    "part": ["p_partkey int4", "p_size smallint", "p_hash varbinary(16)", "p_code binary(8)", "p_flag boolean", "p_no serial", "p_thumb blob"],
     "orders": ["o_orderkey bigint", "o_custkey int", "o_orderdate timestamp", "o_totalprice double"],
     "lineitem": ["l_orderkey bigint", "l_partkey int", "l_suppkey int", "l_linenumber int"],
 }
@@ -174,7 +174,8 @@ def packages_sql() -> str:
     return f"""
 SELECT p.project_id, e.entry_no, e.section, e.name, {_VERSION} AS version_string
 FROM projects p CROSS JOIN {_entry_values()}
-WHERE p.pidx % 7 <> 0 AND p.pidx % 13 <> 5 AND p.pidx % 13 <> 8 AND {_PRESENT}"""
+WHERE p.pidx % 7 <> 0 AND p.pidx % 13 <> 5 AND p.pidx % 13 <> 8 AND {_PRESENT}
+  AND NOT (p.pidx % 13 = 2 AND e.section = 'require-dev')"""
 
 
 def _manifests_sql() -> str:
@@ -188,13 +189,14 @@ def _manifests_sql() -> str:
         )
 
     return f"""
-SELECT p.project_id, 'composer.json' AS path,
-  CASE WHEN p.pidx % 13 = 5 THEN 'not json {{' WHEN p.pidx % 13 = 8 THEN '{{}}'
+SELECT p.project_id, CASE WHEN n.nested THEN 'packages/inner/composer.json' ELSE 'composer.json' END AS path,
+  CASE WHEN n.nested THEN '{{"require":{{"php":"^5.6","laravel/framework":"5.0"}}}}'
+  WHEN p.pidx % 13 = 2 THEN concat('{{"require":{{', {section('require')}, '}},"require-dev":[]}}') WHEN p.pidx % 13 = 5 THEN 'not json {{' WHEN p.pidx % 13 = 8 THEN '{{}}'
   ELSE concat('{{"name":"acme/', p.project_id, '","require":{{', {section('require')},
     '}},"require-dev":{{', {section('require-dev')}, '}}}}') END AS content
-FROM projects p CROSS JOIN {_entry_values()}
-WHERE p.pidx % 7 <> 0
-GROUP BY p.project_id, p.pidx"""
+FROM projects p CROSS JOIN {_entry_values()} CROSS JOIN (VALUES (false), (true)) n(nested)
+WHERE p.pidx % 7 <> 0 AND (NOT n.nested OR p.pidx % 5 = 1)
+GROUP BY p.project_id, p.pidx, n.nested"""
 
 
 def _paths_sql() -> str:
@@ -213,7 +215,7 @@ SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'symfony/console' ELSE n.name END AS na
   concat(CAST(l_partkey % 12 AS STRING), '.', CAST(l_suppkey % 50 AS STRING), '.',
     CAST(l_orderkey % 30 AS STRING), '.0',
     CASE l_orderkey % 11 WHEN 0 THEN concat('-RC', CAST(l_linenumber AS STRING))
-      WHEN 1 THEN concat('-beta', CAST(l_linenumber AS STRING)) WHEN 2 THEN '-alpha1'
+      WHEN 1 THEN concat('-beta', CAST(l_linenumber AS STRING)) WHEN 2 THEN CASE WHEN l_linenumber % 2 = 0 THEN '-alpha1' ELSE '-a1' END
       WHEN 3 THEN '-dev' WHEN 4 THEN concat('-patch', CAST(l_linenumber AS STRING)) ELSE '' END) AS version
 FROM lineitem JOIN (VALUES {_values(names)}) n(i, name) ON l_partkey % {len(REGISTRY_NAMES)} = n.i"""
 
@@ -265,11 +267,8 @@ TABLES = {
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Put a table with fewer splits than cores on all cores; a table of any size is left alone."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores, table.columns[0])
+    """Deal a table over all cores by its id. Test tables have one row group each; stored corpora need no such step."""
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism, table.columns[0])
 
 
 # Fixtures that do enough work per row to be worth spreading their input.

@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 from conftest import TESTDATA
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from oracle.sql import oracle_queries as oracle_sql
+from shiftgauge.queries import queries
 
 SF_DIR = TESTDATA / "sf0.001"
 TABLES = (

@@ -35,8 +35,10 @@ def exchanges(df):
     return [b for b in blocks if re.match(r"\n*\(\d+\) Exchange", b)]
 
 
-def read_schemas(df):
-    return re.findall(r"ReadSchema: (.*)", plan_of(df))
+def content_scans(df):
+    """Scans of the files table that read content; manifests have a content of their own."""
+    scans = [b for b in plan_of(df).split("\n\n") if "ReadSchema" in b and re.search(r"Location: .*/files\]", b)]
+    return [b for b in scans if "content" in re.search(r"ReadSchema: (.*)", b)[1]]
 
 
 NO_CONTENT_OUT = [
@@ -62,14 +64,11 @@ def test_rewrites_do_not_shuffle_at_all(stored, name):
              "template_count", "fingerprint_match", "directory_order", "namespace_map", "upgrade_report"],
 )
 def test_listings_do_not_read_content(stored, name):
-    for schema in read_schemas(OPERATORS[name](stored)):
-        assert not ("path" in schema and "content" in schema), schema
+    assert content_scans(OPERATORS[name](stored)) == []
 
 
 def test_the_report_reads_content_once(stored):
-    df = migration.migration_report(stored, CONFIG, PAIRS)
-    with_content = [s for s in read_schemas(df) if "path" in s and "content" in s]
-    assert len(with_content) == 1
+    assert len(content_scans(migration.migration_report(stored, CONFIG, PAIRS))) == 1
 
 
 def test_tallies_use_hash_aggregates(stored):
@@ -88,10 +87,63 @@ def test_manifest_features_need_no_shuffle(stored, spark):
     assert exchanges(package_catalogue_join(parsed)) == []
 
 
-def test_a_hot_split_target_is_matched_on_a_unique_key(stored):
-    plan = plan_of(inventories.class_split_plan(stored.files, CONFIG))
-    join = [b for b in plan.split("\n\n") if re.search(r"Left keys.*path#.*pos#", b)]
-    assert join
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_the_split_plan_reads_content_once(stored, spark, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert len(content_scans(inventories.class_split_plan(stored.files, CONFIG))) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_prefixes_are_matched_without_a_nested_loop(stored):
+    for name in ("prefix_package_match", "incompatible_packages"):
+        plan = plan_of(OPERATORS[name](stored))
+        assert "prefixes" not in plan and not re.search(r"NestedLoopJoin (Inner|Cross)[^\n]*\n[^\n]*startswith", plan, re.I)
+
+
+def test_a_long_constructor_and_a_long_route_line_are_fast(spark):
+    import time
+
+    letters = "<?php public function __construct(" + "a" * 1_000_000
+    routes = "<?php " + "$route['" * 100_000 + "'] = 'x"
+    df = spark.createDataFrame(
+        [("p", "src/a.php", letters), ("p", "src/routes.php", routes)], "project_id string, path string, content string"
+    )
+    began = time.perf_counter()
+    assert not any(r[0] for r in df.select(features.has_injection(F.col("content"), F.col("path"))).collect())
+    assert inventories.routes(df, CONFIG).collect() == []
+    assert time.perf_counter() - began < 20
+
+
+def test_manifest_rows_never_multiply_projects(spark):
+    from shiftgauge.sources.corpus import manifest_packages, parsed_manifests
+
+    rows = [("p", "composer.json", '{"require":{"php":"^8.1"},"require-dev":[]}'), ("p", "lib/composer.json", '{"require":{"x/y":"1"}}')]
+    named = spark.createDataFrame(rows, "project_id string, path string, content string")
+    assert [(r["name"], r["version_string"]) for r in manifest_packages(named).collect()] == [("php", "^8.1")]
+    assert parsed_manifests(named.drop("path")).count() == 1
+
+
+def test_renames_below_a_conflict_keep_the_old_parent(spark):
+    found = ["my-dir/sub_dir/a.php", "MyDir/b.php", "lib/foo/a.php", "lib/Foo/b.php", "CVS/old/c.php", "a/_svn/d.txt"]
+    df = spark.createDataFrame([("p", x, "") for x in found], "project_id string, path string, content string")
+    plan = {r["dir"]: r for r in inventories.directory_rename_plan(df, df, CONFIG).collect()}
+    assert plan["my-dir"]["conflict"] and plan["my-dir/sub_dir"]["final_dir"] == "my-dir/SubDir"
+    titled = {r["dir"]: r for r in inventories.directory_capitalise_plan(df, CONFIG).collect()}
+    assert titled["lib/foo"]["conflict"] and not titled["lib/Foo"]["changed"]
+    assert not {"CVS/old", "a/_svn"} & set(titled)
+
+
+def test_conditions_of_any_depth_count(spark):
+    texts = {
+        "if (a(b(c(d(e(f(g(1))))))) and (2)) j();": 1, "if (a) { b(); } if (c): d(); endif; if(e) f(); else if (g) h();": 2,
+        "xif (a) b(); $if (a) c();": 1, "if (a": 0, "if (a))) if (b) c(": 2, "": 0, "((if(x) y())": 1,
+    }
+    df = spark.createDataFrame([("p", f"f{i}.php", t) for i, t in enumerate(texts)], "project_id string, path string, content string")
+    got = {r["path"]: r["braceless_ifs"] for r in inventories.braceless_if_census(df).collect()}
+    assert got == {f"f{i}.php": n for i, n in enumerate(texts.values())}
 
 
 def test_lists_add_up(stored):
