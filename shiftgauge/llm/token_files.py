@@ -216,7 +216,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
     """Write shards of all documents in ascending doc_id order; return their list.
 
     The list has shard, n_docs and n_ids, in the order of the documents. Null texts are empty: their only
-    id is the end id. Null doc_ids come first; rows with equal doc_id follow each other by text. Empty
+    id is the end id. Null doc_ids come first; rows with equal doc_id follow each other by a
+    hash of their text. Empty
     tables give no shard. Extra columns are left out. A repeated task writes the same files again.
     """
 
@@ -253,8 +254,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
 
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "text")
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Bounds of ranges are sampled to the driver, so texts stand in them by their hash.
+    keys = (F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions(spark), *keys)
+    ordered = dealt.sortWithinPartitions(*keys, "text").drop("tie")
     return stored(ordered.mapInPandas(write, "shard string, n_docs long, n_ids long"), "shards")
 
 
