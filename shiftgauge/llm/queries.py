@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,24 @@ from shiftgauge.llm import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Where this package lies; tasks import it from there when nothing else installs it for them.
+HOME = str(Path(__file__).resolve().parents[2])
+
+
+def importable(query: Query) -> Query:
+    """The query with HOME on the path of the tasks' Python, which need not start in the folder of the driver."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+        if HOME not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
+        return query(spark, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -104,7 +125,7 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 
 
 def queries() -> dict[str, Query]:
-    return {
+    found: dict[str, Query] = {
         "op1_toxicity": op1_toxicity,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_licences": op3_licences,
@@ -117,6 +138,7 @@ def queries() -> dict[str, Query]:
         "op10_warc_archive": op10_warc_archive,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: importable(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
