@@ -16,12 +16,17 @@ BLOCK_CHARACTERS = 2_000_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: The folder of sessions without spark.checkpoint.dir.
+_OWN: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, as a full URI; that setting is made where it is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, as a full URI; where that is unset, as in tests, below one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="shared-"))
+        root = _OWN[0]
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
