@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "unknown"
-#: Paragraphs of other text that the fit sees at most, and characters of each.
-FIT_PARAGRAPHS, FIT_CHARACTERS = 2000, 2000
+#: Paragraphs of other text that the fit sees at most, characters of each, and documents that they come from.
+FIT_PARAGRAPHS, FIT_CHARACTERS, FIT_DOCUMENTS = 2000, 2000, 500
 #: A family is predicted from this probability on; templates must be covered to this share.
 LEAST_PROBABILITY, LEAST_COVER = 0.5, 0.6
 #: N-grams that a larger share of other paragraphs holds say nothing, and have no weight.
@@ -166,10 +166,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def other_paragraphs(docs: DataFrame, most: int = FIT_PARAGRAPHS) -> list[str]:
-    """At most `most` paragraphs in the order of a hash, without those that speak of licences."""
-    some = paragraphs(docs).filter(~F.lower("text").rlike("licen|copyright|permission|redistribut|public domain"))
-    short = some.select(F.substring("text", 1, FIT_CHARACTERS).alias("text")).groupBy("text").count()
-    return [r["text"] for r in short.orderBy(F.xxhash64("text"), "text").limit(most).select("text").collect()]
+    """At most `most` paragraphs, without those that speak of licences, of FIT_DOCUMENTS documents.
+
+    Documents are taken in the order of a hash of their id, paragraphs in that of a hash of their text.
+    """
+    ids = docs.select(docs["doc_id"].cast("long").alias("taken")).orderBy(F.xxhash64("taken"), "taken").limit(FIT_DOCUMENTS)
+    # At most FIT_DOCUMENTS rows of one number.
+    some = docs.join(F.broadcast(ids.distinct()), docs["doc_id"].cast("long").eqNullSafe(F.col("taken")), "left_semi")
+    plain = paragraphs(some).filter(~F.lower("text").rlike("licen|copyright|permission|redistribut|public domain"))
+    short = plain.select(F.substring("text", 1, FIT_CHARACTERS).alias("text")).distinct()
+    return [r["text"] for r in short.orderBy(F.xxhash64("text"), "text").limit(most).collect()]
 
 
 def weight_table(spark: SparkSession, model: LicenceModel) -> DataFrame:
