@@ -53,20 +53,28 @@ def parents(links: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """conv_id, turn, root_turn, depth of messages (conv_id, turn, parent_turn), by doubling of steps upwards."""
-    known = replies.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"),
-                           F.col("parent_turn").isNotNull().cast("long").alias("depth"))
+    """conv_id, turn, root_turn, depth of messages (conv_id, turn, parent_turn), by doubling of steps upwards.
+
+    A message leaves the rounds when it has reached the root of its thread, so only long threads take many.
+    """
+    first = replies.select(
+        "conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"),
+        F.col("parent_turn").isNotNull().cast("long").alias("depth"), F.col("parent_turn").isNotNull().alias("moved"),
+    )
+    step = stored(first, "steps")
+    done = step.filter("not moved").drop("moved")
     while True:
-        known = stored(known, "steps")
+        moving = step.filter("moved").drop("moved")
+        known = done.unionByName(moving)
         above = known.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"), F.col("depth").alias("more"))
-        moved = known.join(above, ["conv_id", "root_turn"]).select(
+        risen = moving.join(above, ["conv_id", "root_turn"]).select(
             "conv_id", "turn", F.col("higher").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"),
             (F.col("more") > 0).alias("moved"),
         )
-        step = stored(moved, "moved")
-        known = step.drop("moved")
+        step = stored(risen, "steps")
+        done = done.unionByName(step.filter("not moved").drop("moved"))
         if not step.filter("moved").limit(1).count():
-            return known
+            return done
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
