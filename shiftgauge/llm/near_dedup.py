@@ -7,7 +7,8 @@ alike. Neighbours whose sketches agree are candidates, and links are confirmed o
 
 The work stays linear in groups of copies: equal sets are one document from the start; a document takes its
 few best neighbours first; and documents of one region that are still in different components are then paired
-by an exact prefix filter, whatever the size of the region.
+by an exact prefix filter, whatever the size of the region. Orders are cut into tasks anywhere: rows at the ends of
+a task and regions that reach one are compared again by keys, so results do not depend on the number of tasks.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ SKETCH, AGREE = 32, 14
 SHALLOW, LOOK_BACK, TAKEN = 2, 32, 3
 #: Best neighbours of a document that are confirmed before components are formed.
 BEST = 2
-#: A region starts at REGION_LEVELS common levels and is cut deeper while it has more rows than REGION_ROWS.
+#: A region has REGION_LEVELS common levels, whatever its size; runs for other uses are cut deeper above REGION_ROWS.
 REGION_LEVELS, REGION_ROWS = 3, 512
+#: Rows of a region, and rows outside its largest component, that one task compares at a time.
+TILE_ROWS = 4096
 
 # Odd 64-bit multipliers that mix hashes.
 MIX_A, MIX_B, MIX_C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -133,75 +136,157 @@ def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def neighbours(ordered: DataFrame) -> DataFrame:
     """a, b, agree: the TAKEN nearest of the LOOK_BACK rows before each row that share SHALLOW levels and whose
-    sketches agree."""
+    sketches agree.
+
+    A task sees its own rows only, so it also hands out its first and last LOOK_BACK rows; those of one place meet in
+    a second pass. They are as many as there are tasks, times 2 LOOK_BACK at most.
+    """
+    edge = ["place", "label", "id", "sketch"]
+    schema = "a long, b long, agree int, place int, label binary, id long, sketch binary"
+    pairs_or_edges = ordered.select(*edge).mapInPandas(_look, schema).filter("a is null or a <> b")
+    once = stored(pairs_or_edges.groupBy("a", "b", *edge).agg(F.max("agree").alias("agree")), "neighbours")
+    edges = once.filter("a is null").select(*edge)
+    met = edges.repartition(partitions(ordered.sparkSession), "place").sortWithinPartitions("place", "label", "id")
+    again = met.mapInPandas(_look, schema).filter("a <> b")
+    return once.filter("a is not null").unionByName(again.select(*once.columns)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of neighbours of one task, and its first and last rows."""
+    before, first = None, 0
+    for batch in batches:
+        if first < LOOK_BACK and len(batch):
+            yield _edges(batch.iloc[: LOOK_BACK - first])
+            first += min(len(batch), LOOK_BACK - first)
+        rows = batch if before is None else pd.concat([before, batch], ignore_index=True)
+        skip = 0 if before is None else len(before)
+        paths, sketches, ids = _arrays(rows)
+        taken = np.zeros(len(rows), np.int64)
+        for lag in range(1, min(LOOK_BACK, len(rows) - 1) + 1):
+            shared = (paths[lag:, : SHALLOW + 1] == paths[:-lag, : SHALLOW + 1]).all(axis=1)
+            shared[: max(0, skip - lag)] = False
+            at = np.flatnonzero(shared & (taken[lag:] < TAKEN)) + lag
+            if not len(at):
+                continue
+            agree = (sketches[at] == sketches[at - lag]).sum(axis=1)
+            at, agree = at[agree >= AGREE], agree[agree >= AGREE]
+            taken[at] += 1
+            if len(at):
+                yield _pairs(ids[at], ids[at - lag], agree).assign(place=None, label=None, id=None, sketch=None)
+        before = rows.iloc[-LOOK_BACK:].reset_index(drop=True)
+    if before is not None and len(before):
+        yield _edges(before)
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = None
-        for batch in batches:
-            rows = batch if before is None else pd.concat([before, batch], ignore_index=True)
-            skip = 0 if before is None else len(before)
-            paths, sketches, ids = _arrays(rows)
-            taken = np.zeros(len(rows), np.int64)
-            for lag in range(1, min(LOOK_BACK, len(rows) - 1) + 1):
-                shared = (paths[lag:, : SHALLOW + 1] == paths[:-lag, : SHALLOW + 1]).all(axis=1)
-                shared[: max(0, skip - lag)] = False
-                at = np.flatnonzero(shared & (taken[lag:] < TAKEN)) + lag
-                if not len(at):
-                    continue
-                agree = (sketches[at] == sketches[at - lag]).sum(axis=1)
-                at, agree = at[agree >= AGREE], agree[agree >= AGREE]
-                taken[at] += 1
-                if len(at):
-                    yield _pairs(ids[at], ids[at - lag], agree)
-            before = rows.iloc[-LOOK_BACK:].reset_index(drop=True)
 
-    return ordered.mapInPandas(look, "a long, b long, agree int").filter("a <> b")
+def _edges(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows[["place", "label", "id", "sketch"]].assign(a=None, b=None, agree=None)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "agree": agree.astype(np.int32)})
 
 
-def regions(paths: np.ndarray, start: int, stop: int, depth: int = REGION_LEVELS) -> Iterator[tuple[int, int]]:
-    """Runs of rows with `depth` common levels, cut at deeper levels while they have more than REGION_ROWS rows."""
+def regions(
+    paths: np.ndarray, start: int, stop: int, depth: int = REGION_LEVELS, most: int = REGION_ROWS
+) -> Iterator[tuple[int, int]]:
+    """Runs of rows with `depth` common levels, cut at deeper levels while they have more than `most` rows."""
     changed = (paths[start + 1 : stop, : depth + 1] != paths[start : stop - 1, : depth + 1]).any(axis=1)
     cuts = [start, *(np.flatnonzero(changed) + start + 1).tolist(), stop]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a > REGION_ROWS and depth < LEVELS:
-            yield from regions(paths, a, b, depth + 1)
+        if b - a > most and depth < LEVELS:
+            yield from regions(paths, a, b, depth + 1, most)
         elif b - a > 1:
             yield a, b
 
 
+def meet(sketches: np.ndarray, owners: np.ndarray, minors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows agree with one of another component, and which of them are among `minors`, whose rows meet all."""
+    met, minor = np.zeros(len(owners), bool), np.zeros(len(owners), bool)
+    for i in minors:
+        others = np.flatnonzero(owners != owners[i])
+        agree = (sketches[others] == sketches[i]).sum(axis=1) >= AGREE
+        if agree.any():
+            met[others[agree]] = True
+            met[i] = minor[i] = True
+    return met, minor
+
+
 def across(ordered: DataFrame) -> DataFrame:
     """id, minor: documents of a region whose sketch agrees with one of another component.
 
     minor: of every pair of such documents at least one is outside the largest component of its region, and
-    minor. So many rows as documents come out, not as pairs.
+    minor. So many rows as documents come out, not as pairs. A task compares the regions that lie within it; those
+    that reach its first or last row, or have more than TILE_ROWS rows, are put together by their key.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
-        if len(rows) < 2:
+        parts = [batch for batch in batches if len(batch)]
+        if not parts:
             return
+        rows = pd.concat(parts, ignore_index=True)
         paths, sketches, ids = _arrays(rows)
         owners = rows["component"].to_numpy(np.int64)
-        met, minor = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-        for start, stop in regions(paths, 0, len(rows)):
+        met, minor, later = (np.zeros(len(rows), bool) for _ in range(3))
+        key = paths[:, : REGION_LEVELS + 1]
+        later[(key == key[0]).all(axis=1) | (key == key[-1]).all(axis=1)] = True
+        for start, stop in regions(paths, 0, len(rows), most=len(rows)):
+            if later[start]:
+                continue
             own = owners[start:stop]
             names, counts = np.unique(own, return_counts=True)
             if len(names) < 2:
                 continue
-            for i in np.flatnonzero(own != names[counts.argmax()]):
-                others = np.flatnonzero(own != own[i])
-                agree = (sketches[start + others] == sketches[start + i]).sum(axis=1) >= AGREE
-                if agree.any():
-                    met[start + others[agree]] = True
-                    met[start + i] = minor[start + i] = True
-        yield pd.DataFrame({"id": ids[met], "minor": minor[met]})
-
-    return ordered.mapInPandas(look, "id long, minor boolean")
+            if stop - start > TILE_ROWS:
+                later[start:stop] = True
+                continue
+            minors = np.flatnonzero(own != names[counts.argmax()])
+            met[start:stop], minor[start:stop] = meet(sketches[start:stop], own, minors)
+        yield pd.DataFrame({"id": ids[met], "minor": minor[met]}).assign(place=None, region=None, sketch=None, component=None)
+        left = rows[later]
+        region = [label[: 2 * REGION_LEVELS] for label in left["label"]]
+        yield left[["id", "place", "sketch", "component"]].assign(minor=None, region=region)
+
+    schema = "id long, minor boolean, place int, region binary, sketch binary, component long"
+    found = stored(ordered.mapInPandas(look, schema), "regions")
+    later = found.filter("region is not null").drop("minor")
+    return found.filter("region is null").select("id", "minor").unionByName(_across_tiles(later)).groupBy("id").agg(
+        F.max("minor").alias("minor")
+    )
+
+
+def _across_tiles(rows: DataFrame) -> DataFrame:
+    """id, minor as of across, from the rows (id, place, region, sketch, component) of whole regions.
+
+    The rows outside the largest component, in tiles, meet all rows, in tiles: every tile of one meets every tile of
+    the other in a group of its own.
+    """
+    key = ["place", "region"]
+    counted = rows.groupBy(*key, "component").agg(F.count("*").alias("n"))
+    known = counted.groupBy(*key).agg(
+        F.sum("n").alias("n"), F.count("*").alias("owners"), F.max(F.struct("n", "component")).alias("top")
+    )
+    tiles = lambda n: F.ceil(n / F.lit(TILE_ROWS)).cast("int")
+    known = known.filter("owners > 1").select(
+        *key, F.col("top.component").alias("major"), tiles(F.col("n")).alias("tiles"),
+        tiles(F.col("n") - F.col("top.n")).alias("minor_tiles"),
+    )
+    dealt = rows.join(known, key).withColumn("dealt", F.xxhash64("id", "sketch"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_row = dealt.select(
+        *key, "id", "sketch", "component", F.lit(False).alias("seeks"),
+        F.pmod("dealt", "tiles").cast("int").alias("tile"), F.explode(upto("minor_tiles")).alias("minor_tile"),
+    )
+    as_minor = dealt.filter("component <> major").select(
+        *key, "id", "sketch", "component", F.lit(True).alias("seeks"),
+        F.explode(upto("tiles")).alias("tile"), F.pmod("dealt", "minor_tiles").cast("int").alias("minor_tile"),
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), SKETCH)
+        met, minor = meet(sketches, group["component"].to_numpy(np.int64), np.flatnonzero(group["seeks"].to_numpy(bool)))
+        return pd.DataFrame({"id": group["id"].to_numpy(np.int64)[met], "minor": minor[met]})
+
+    return as_row.unionByName(as_minor).groupBy(*key, "tile", "minor_tile").applyInPandas(compare, "id long, minor boolean")
 
 
 def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -271,8 +356,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = SIMILAR) -> DataFrame
     sets = worded.join(smallest.select("set_key", F.col("id").alias("doc_id")), ["doc_id", "set_key"], "left_semi")
     sets = sets.select(F.col("doc_id").alias("id"), "levels", "sketch").distinct()
 
-    found = neighbours(in_orders(sets)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    candidates = stored(found, "candidates")
+    candidates = stored(neighbours(in_orders(sets)), "candidates")
     members = stored(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
     texts = rows.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text")
     texts = stored(texts, "texts")
@@ -284,7 +368,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = SIMILAR) -> DataFrame
     labelled = sets.join(members, "id").join(owners.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     labelled = stored(labelled, "labelled")
-    met = across(in_orders(labelled, "component")).groupBy("id").agg(F.max("minor").alias("minor"))
+    met = across(in_orders(labelled, "component"))
     contested = met.join(labelled.select("id", "component").distinct(), "id")
     more = confirmed(prefix_pairs(contested, texts, n, percent), texts, n, percent)
     of = owners.select(F.col("node"), F.col("component"))

@@ -96,6 +96,30 @@ def test_far_documents_of_a_crowded_region_are_compared(spark):
     assert sorted(map(tuple, near_dedup.across(ordered).collect())) == [(1, True), (900, True)]
 
 
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_near_copies_with_more_partitions_than_rows(spark, many_partitions):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*words[:k], f"x{i}", *words[k:]])) for i, k in enumerate((10, 40))] + [(9, "quite another text")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = near_dedup.near_dedup(df, n=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: c for i, (_, c) in true_components(docs, 2).items()}
+    assert sum(r["kept"] for r in rows) == 2
+
+
+def test_regions_that_cross_partitions_are_whole(spark):
+    near, far = bytes(32), bytes([1] * 32)
+    rows = [(0, bytes(16), 1, far, 1)] + [(0, bytes(16), i, near, 2) for i in range(2, 900)] + [(0, bytes(16), 900, far, 900)]
+    ordered = spark.createDataFrame(rows, "place int, label binary, id long, sketch binary, component long").repartitionByRange(9, "id")
+    assert sorted(map(tuple, near_dedup.across(ordered).collect())) == [(1, True), (900, True)]
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(10, 60)] + [(5, 5), (7, 8), (8, 9), (9, 7), (300, 7), (8, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
