@@ -289,6 +289,26 @@ def _across_tiles(rows: DataFrame) -> DataFrame:
     return as_row.unionByName(as_minor).groupBy(*key, "tile", "minor_tile").applyInPandas(compare, "id long, minor boolean")
 
 
+def undecided(candidates: DataFrame, owners: DataFrame) -> DataFrame:
+    """id, minor: both ends of every candidate (a, b) whose components still differ; minor is the end of the smaller one.
+
+    owners: id, component.
+    """
+    sizes = owners.groupBy("component").agg(F.count("*").alias("n"))
+    known = owners.join(sizes, "component").select("id", F.struct("n", "component").alias("of"))
+    both = (
+        candidates.select("a", "b")
+        .join(known.select(F.col("id").alias("a"), F.col("of").alias("of_a")), "a")
+        .join(known.select(F.col("id").alias("b"), F.col("of").alias("of_b")), "b")
+        .filter("of_a.component <> of_b.component")
+    )
+    ends = F.array(
+        F.struct(F.col("a").alias("id"), (F.col("of_a") < F.col("of_b")).alias("minor")),
+        F.struct(F.col("b").alias("id"), (F.col("of_b") < F.col("of_a")).alias("minor")),
+    )
+    return both.select(F.inline(ends)).groupBy("id").agg(F.max("minor").alias("minor"))
+
+
 def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: pairs of contested documents (id, component, minor) of different components, one of them minor,
     that may be similar.
@@ -368,8 +388,9 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = SIMILAR) -> DataFrame
     labelled = sets.join(members, "id").join(owners.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     labelled = stored(labelled, "labelled")
-    met = across(in_orders(labelled, "component"))
-    contested = met.join(labelled.select("id", "component").distinct(), "id")
+    belongs = labelled.select("id", "component").distinct()
+    met = across(in_orders(labelled, "component")).unionByName(undecided(candidates, belongs))
+    contested = met.groupBy("id").agg(F.max("minor").alias("minor")).join(belongs, "id")
     more = confirmed(prefix_pairs(contested, texts, n, percent), texts, n, percent)
     of = owners.select(F.col("node"), F.col("component"))
     joined = (

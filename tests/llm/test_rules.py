@@ -120,6 +120,20 @@ def test_regions_that_cross_partitions_are_whole(spark):
     assert sorted(map(tuple, near_dedup.across(ordered).collect())) == [(1, True), (900, True)]
 
 
+def test_crowded_regions_are_not_cut(spark):
+    """Rows that agree on three levels meet, though 900 rows stand in their region and their further levels differ."""
+    near, far = bytes(32), bytes([1] * 32)
+    rows = [(0, bytes(16), 1, far, 1)] + [(0, bytes(16), i, near, 2) for i in range(2, 900)] + [(0, bytes(8) + b"\1" * 8, 900, far, 900)]
+    ordered = spark.createDataFrame(rows, "place int, label binary, id long, sketch binary, component long").coalesce(1)
+    assert sorted(map(tuple, near_dedup.across(ordered).collect())) == [(1, True), (900, True)]
+
+
+def test_ends_of_candidates_that_were_not_confirmed_are_contested(spark):
+    candidates = spark.createDataFrame([(2, 1, 20), (9, 1, 20), (9, 8, 15), (4, 3, 20)], "a long, b long, agree int")
+    owners = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 8), (9, 9)], "id long, component long")
+    assert sorted(map(tuple, near_dedup.undecided(candidates, owners).collect())) == [(1, False), (8, True), (9, True)]
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(10, 60)] + [(5, 5), (7, 8), (8, 9), (9, 7), (300, 7), (8, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
