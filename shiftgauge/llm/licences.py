@@ -1,4 +1,4 @@
-"""Licence statements, paragraph by paragraph.
+"""Licence statements, paragraph by paragraph; a paragraph is a run of lines without a blank one.
 
 A sparse logistic regression on word n-grams, one class for each licence family and one for other text, is
 fitted on templates and a bounded sample of paragraphs. Only n-grams of templates have weights, so the table
@@ -14,7 +14,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,9 @@ LEAST_PROBABILITY, LEAST_COVER = 0.5, 0.6
 #: N-grams that a larger share of other paragraphs holds say nothing, and have no weight.
 MOST_COMMON = 0.01
 STEPS, RATE, SPARSE = 300, 0.3, 1e-4
+#: A statement begins its last line within so many words, twice those of the longest template; in as many lines at most.
+STATEMENT_WORDS = 42
+BLANK_LINE = r"\n[ \t\r]*(\n|\z)"
 
 # Phrases by which licences are stated.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -198,35 +201,95 @@ def template_table(spark: SparkSession, model: LicenceModel) -> DataFrame:
     return spark.createDataFrame(rows, "family string, template int, gram string, template_grams int")
 
 
-def matched_grams(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """doc_id, paragraph, gram, weights: the distinct n-grams of paragraphs that have weights."""
-    spark = docs.sparkSession
+def word_grams(words: str, firsts: list[str]) -> Column:
+    """The n-grams of a column of words that begin with one of `firsts`."""
     # The first word decides whether an n-gram can match, so most places end at a look-up of one word.
-    firsts = sorted({g.split(" ")[0] for g, w in zip(model.grams, model.weights, strict=True) if np.any(w)})
-    words = paragraphs(docs).select("doc_id", "paragraph", F.explode(F.array(licence_words(F.col("text")))).alias("words"))
-    numbered = F.transform("words", lambda word, at: F.when(word.isin(firsts), at + 1))
-    grams = F.flatten(F.transform(F.array_compact(numbered), lambda at: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max(ORDERS)), F.size("words") - at + 1)),
-        lambda n: F.array_join(F.slice("words", at, n), " "),
+    numbered = F.transform(words, lambda word, at: F.when(word.isin(firsts), at + 1))
+    return F.flatten(F.transform(F.array_compact(numbered), lambda at: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(max(ORDERS)), F.size(words) - at + 1)),
+        lambda n: F.array_join(F.slice(words, at, n), " "),
     )))
+
+
+def statement_windows(rows: DataFrame) -> DataFrame:
+    """doc_id, paragraph, last, part, words: runs of lines of one paragraph, by the numbers of the first and the last.
+
+    A run takes further lines while it has fewer than STATEMENT_WORDS words. Longer runs are cut into parts of twice
+    STATEMENT_WORDS words that overlap by half.
+    """
+    lines = rows.select("doc_id", F.split("text", "\n").alias("lines"))
+    begun = lines.select("doc_id", "lines", F.posexplode("lines").alias("paragraph", "line")).filter(F.col("line").rlike("[^ \\t\\r]"))
+    ahead = F.array_join(F.slice("lines", F.col("paragraph") + 1, STATEMENT_WORDS), "\n")
+    run = F.split(F.split(ahead, BLANK_LINE, 2)[0], "\n")
+    cut = begun.select("doc_id", "paragraph", F.explode(F.array(F.transform(run, lambda x: F.filter(licence_words(x), lambda w: w != "")))).alias("run"))
+    before = lambda more: F.size(F.flatten(F.slice("run", 1, more)))
+    wide = cut.select("*", F.explode(F.sequence(F.lit(0), F.size("run") - 1)).alias("more")).filter(
+        before(F.col("more")) < STATEMENT_WORDS
+    )
+    runs = wide.select(
+        "doc_id", "paragraph", (F.col("paragraph") + F.col("more")).alias("last"),
+        F.flatten(F.slice("run", 1, F.col("more") + 1)).alias("whole"),
+    )
+    starts = F.sequence(F.lit(1), F.greatest(F.size("whole") - STATEMENT_WORDS, F.lit(1)), F.lit(STATEMENT_WORDS))
+    parts = runs.select("doc_id", "paragraph", "last", "whole", F.posexplode(starts).alias("part", "start"))
+    return parts.select("doc_id", "paragraph", "last", "part", F.slice("whole", F.col("start"), 2 * STATEMENT_WORDS).alias("words"))
+
+
+def matched_grams(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """doc_id, paragraph, last, part, gram, weights: the distinct n-grams of windows that have weights.
+
+    Texts none of whose templates is covered even by all their n-grams have no rows.
+    """
+    spark = docs.sparkSession
+    weighted = {g for g, w in zip(model.grams, model.weights, strict=True) if np.any(w)}
+    firsts = sorted({g.split(" ")[0] for g in weighted})
+    strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    words = rows.select("doc_id", "text", F.explode(F.array(licence_words(F.col("text")))).alias("words"))
+    known = F.array_intersect(word_grams("words", firsts), strings(sorted(weighted)))
+    held = words.select("doc_id", "text", F.explode(F.array(known)).alias("known"))
+    covered = F.lit(False)
+    for template in sorted({t for texts in TEMPLATES.values() for t in texts}):
+        grams = sorted(python_grams(python_words(template)) & weighted)
+        if grams:
+            covered |= F.size(F.array_intersect("known", strings(grams))) >= LEAST_COVER * len(grams)
+    stating = held.filter((F.size("known") > 0) & covered).select("doc_id", "text")
     return (
-        words.select("doc_id", "paragraph", F.explode(grams).alias("gram"))
+        statement_windows(stating)
+        .select("doc_id", "paragraph", "last", "part", F.explode(word_grams("words", firsts)).alias("gram"))
         .join(F.broadcast(weight_table(spark, model)), "gram")
         .distinct()
     )
 
 
+def smallest_windows(stated: DataFrame) -> DataFrame:
+    """Of windows of one document and family that lie in or overlap one another, the smallest, or the first of these."""
+    first = stated.groupBy("doc_id", "paragraph", "family").agg(
+        F.min(F.struct("last", (-F.col("cover")).alias("least"), (-F.col("probability")).alias("chance"))).alias("w")
+    )
+    of = Window.partitionBy("doc_id", "family").orderBy("paragraph")
+    ends = first.select(
+        "doc_id", "paragraph", "family", F.col("w.last").alias("last"),
+        (-F.col("w.chance")).alias("probability"), (-F.col("w.least")).alias("cover"),
+    )
+    inner = F.min("last").over(of.rowsBetween(1, Window.unboundedFollowing))
+    least = ends.withColumn("inner", inner).filter(F.col("inner").isNull() | (F.col("inner") > F.col("last")))
+    before = F.lag("last").over(of)
+    return least.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") < F.col("paragraph")))
+
+
 def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """doc_id, paragraph, family, probability, cover of every paragraph that states a licence.
 
     `family` is predicted with LEAST_PROBABILITY or more, and one of its templates has LEAST_COVER or more of its
     n-grams in the paragraph; `cover` is the best such share. Other paragraphs are of the unknown class and have no
-    row. Null and empty texts have no paragraphs. Null doc_ids count as one document, and repeated rows of a doc_id
-    as one with all their n-grams. Extra columns are left out; empty tables give no rows.
+    row. `paragraph` is the number, from 0, of the line in which the statement begins; a statement may go over several
+    lines, up to a blank one. Null and empty texts have no paragraphs. Null doc_ids count as one document, and repeated
+    rows of a doc_id as one. Extra columns are left out; empty tables give no rows.
     """
     model = model or fit(other_paragraphs(docs))
     found = matched_grams(docs, model)
-    keys = ("doc_id", "paragraph")
+    keys = ("doc_id", "paragraph", "last", "part")
     sums = [
         (F.sum(F.col("weights")[i]) + F.lit(float(model.bias[i]))).alias(f"score_{i}") for i in range(len(model.families))
     ]
@@ -243,9 +306,11 @@ def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     hits = found.select(*keys, "gram").join(F.broadcast(template_table(docs.sparkSession, model)), "gram")
     covers = hits.groupBy(*keys, "family", "template").agg((F.count("*") / F.max("template_grams")).alias("cover"))
     best = covers.groupBy(*keys, "family").agg(F.max("cover").alias("cover")).filter(F.col("cover") >= LEAST_COVER)
-    of = best.select(F.col("doc_id").alias("d"), F.col("paragraph").alias("p"), F.col("family").alias("f"), "cover")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("paragraph") == F.col("p")) & (F.col("family") == F.col("f"))
-    return predicted.join(of, same).select(
+    of = best.select(*[F.col(k).alias(f"of_{k}") for k in (*keys, "family")], "cover")
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id"))
+    for k in (*keys[1:], "family"):
+        same &= F.col(k) == F.col(f"of_{k}")
+    return smallest_windows(predicted.join(of, same)).select(
         "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family",
         F.round("probability", 4).alias("probability"), F.round("cover", 4).alias("cover"),
     )

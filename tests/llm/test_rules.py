@@ -262,6 +262,18 @@ def test_licences_by_brute_force(spark):
     assert licences.licences(df.limit(0), model).count() == 0
 
 
+def test_licences_over_several_lines(spark):
+    others = ["the quick brown fox of the house", "version two of that is for you", "a license to drive is not needed here"] * 20
+    model = licences.fit(others)
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# someone."
+    mit = "Title\n\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy\nof this software and files"
+    bsd = " * Redistribution and use in source and binary forms, with or\r\n * without modification, are permitted provided that\r\n"
+    long = "plain words go on " * 200 + "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license " + "and on " * 300
+    apart = gpl.replace("modify\n", "modify\n \n")
+    df = spark.createDataFrame(list(enumerate([gpl, mit, bsd, long, apart])), "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in licences.licences(df, model).collect()) == [(0, 0, "gpl"), (1, 2, "mit"), (2, 0, "bsd"), (3, 0, "gpl")]
+
+
 def test_quotes_link_to_originals(spark):
     rows = [
         (1, 0, "user", "Shall we meet?\nOn Monday at  noon."),
