@@ -33,8 +33,9 @@ FIT_ROWS, FIT_CHARACTERS = 2000, 50_000
 EPOCHS, BATCH, RATE = 12, 256, 0.01
 #: Windows of a text that the fit looks at; the share of words that it takes as unknown; doubt about rare ones.
 TOXIC_WINDOWS, CLEAN_WINDOWS, UNKNOWN_WORDS, RARE = 400, 24, 0.3, 3
-#: Characters of a word that count; longer runs are mostly no words.
-WORD_CHARACTERS = 40
+#: Longer runs, as in scripts without spaces, are several words of so many characters, which overlap by OVERLAP: a
+#: character n-gram less one, so that none is lost.
+WORD_CHARACTERS, OVERLAP = 40, max(GRAMS) - 1
 TOXIC_FROM = 0.3
 #: Words that a worker remembers, windows that it scores at a time, and words that it cuts at a time.
 REMEMBERED, SCORED_WINDOWS, CUT_WORDS = 200_000, 2048, 500_000
@@ -43,12 +44,20 @@ _words = re.compile(r"\w+").findall
 
 
 def text_words(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
+    found = _words(text.lower()) if text else []
+    if not found or max(map(len, found)) <= WORD_CHARACTERS:
+        return found
+    return [piece for word in found for piece in pieces(word)]
+
+
+def pieces(word: str) -> list[str]:
+    if len(word) <= WORD_CHARACTERS:
+        return [word]
+    return [word[i : i + WORD_CHARACTERS] for i in range(0, len(word) - OVERLAP, WORD_CHARACTERS - OVERLAP)]
 
 
 def word_features(word: str) -> tuple[int, list[int]]:
     """The word's bucket and those of its character n-grams."""
-    word = word[:WORD_CHARACTERS]
     data = f"^{word}$"
     grams = [zlib.crc32(data[i : i + n].encode()) % CHARACTER_BUCKETS for n in GRAMS for i in range(len(data) - n + 1)]
     return zlib.crc32(word.encode()) % WORD_BUCKETS, grams or [zlib.crc32(data.encode()) % CHARACTER_BUCKETS]

@@ -74,6 +74,18 @@ def test_toxic_words_are_found_anywhere_in_unseen_texts():
     assert late[1] > late[0]
 
 
+def test_long_runs_count_whole():
+    run = "".join(chr(0x4E00 + i) for i in range(1001))
+    cut = toxicity.text_words(f"one {run} two")
+    assert cut[0] == "one" and cut[-1] == "two" and max(map(len, cut)) == 40
+    assert all(any(run[i : i + 5] in piece for piece in cut) for i in range(len(run) - 4))
+    texts, labels = made_texts(500)
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels))
+    clean = "_".join(f"word{i}" for i in range(60))
+    scores = scorer.score([clean, f"{clean}_grubazo_{clean}"])
+    assert scores[1] > scores[0]
+
+
 def test_scores_do_not_depend_on_the_batch():
     texts, labels = made_texts(120)
     scorer = toxicity.Scorer(toxicity.fit(texts, labels, epochs=2))
