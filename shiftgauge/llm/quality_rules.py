@@ -2,8 +2,9 @@
 
 Each measure of a document falls into a bucket: numbers up to 64 exactly, larger ones by their highest
 six bits, so a bucket is at most 1/32 of its numbers wide. The count of each bucket for each language and
-source is a quantile sketch of bounded size; sketches merge by adding counts, which is how the smaller
-groups get theirs: from their language, or from all documents. Fences come from the quartiles, and the
+source is a quantile sketch of bounded size; sketches merge by adding counts. To its own counts a group adds
+those of its language, and a language those of all documents, scaled to a fixed number of documents: the
+larger a group is, the more its own count, and no size is a switch. Fences come from the quartiles, and the
 filter is a join of documents with the fences of their group.
 """
 
@@ -42,7 +43,7 @@ FENCES = (
     Fence("repeat_rate", least=100),
     Fence("word_length", least=100, lower=True),
 )
-#: Groups with fewer documents take the sketch of their language, and small languages that of all documents.
+#: So many documents a language's sketch counts as in those of its groups, and that of all documents in a language's.
 LEAST_GROUP = 200
 #: Lines added to every text's, so that one repeated line of a few weighs little.
 SHORT_TEXT_LINES = 5
@@ -135,22 +136,31 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
     group = Window.partitionBy(*keys, "measure")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = sketch.withColumns({"upto": upto, "size": F.sum("n").over(group)})
-    at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("size"), F.col("bucket")))
+    # Sums of shares depend on the order of rows: rounding hides that.
+    left = lambda quarter: F.round(4 * F.col("upto") - quarter * F.col("size"), 6)
+    at = lambda quarter: F.min(F.when(left(quarter) >= 0, F.col("bucket")))
     return ranked.groupBy(*keys, "measure").agg(F.max("size").alias("size"), at(1).alias("q1"), at(3).alias("q3"))
 
 
+def blended(sketch: DataFrame, keys: tuple[str, ...], prior: DataFrame, prior_keys: tuple[str, ...], weight: int) -> DataFrame:
+    """Sketches of groups by keys, with the prior of each one's prior_keys added as `weight` documents."""
+    groups = sketch.select(*keys, "measure").distinct()
+    whole = F.sum("n").over(Window.partitionBy(*prior_keys, "measure"))
+    shares = prior.withColumn("n", F.round(weight * F.col("n") / whole, 9)).withColumnsRenamed(
+        {k: f"prior_{k}" for k in (*prior_keys, "measure")}
+    )
+    same = F.col("measure") == F.col("prior_measure")
+    for k in prior_keys:
+        same &= F.col(k).eqNullSafe(F.col(f"prior_{k}"))
+    columns = [*keys, "measure", "bucket", F.col("n").cast("double").alias("n")]
+    return merged(sketch.select(*columns).unionByName(groups.join(shares, same).select(*columns)), *keys)
+
+
 def thresholds(sketch: DataFrame, fences: tuple[Fence, ...] = FENCES, least_group: int = LEAST_GROUP) -> DataFrame:
     """One row per language and source: MEASURE_low and MEASURE_high, null where nothing bounds."""
-    whole = quartiles(merged(sketch), *()).select("measure", F.struct("size", "q1", "q3").alias("whole"))
-    by_lang = quartiles(merged(sketch, "lang"), "lang").select(
-        F.col("lang").alias("of"), "measure", F.struct("size", "q1", "q3").alias("by_lang")
-    )
-    own = quartiles(sketch, "lang", "source").select("lang", "source", "measure", F.struct("size", "q1", "q3").alias("own"))
-    joined = own.join(whole, "measure").join(
-        by_lang.withColumnRenamed("measure", "m"), F.col("lang").eqNullSafe(F.col("of")) & (F.col("measure") == F.col("m"))
-    )
-    large = lambda name: F.when(F.col(f"{name}.size") >= least_group, F.col(name))
-    taken = joined.withColumn("taken", F.coalesce(large("own"), large("by_lang"), F.col("whole")))
+    by_lang = blended(merged(sketch, "lang"), ("lang",), merged(sketch), (), least_group)
+    own = blended(sketch, ("lang", "source"), by_lang, ("lang",), least_group)
+    taken = quartiles(own, "lang", "source").withColumn("taken", F.struct("q1", "q3"))
     columns = []
     for f in fences:
         of = F.when(F.col("measure") == f.measure, F.col("taken"))

@@ -202,6 +202,17 @@ def test_rules_follow_language_and_source(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def test_no_number_of_documents_switches_fences(spark):
+    """A source of unusual documents is judged mostly by its own, and one document more or less changes nothing."""
+    plain, marked = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}#" for i in range(80))
+    for size in (150, 199, 200):
+        rows = [(i, plain, "en", "a") for i in range(1000)] + [(1000 + i, marked, "en", "b") for i in range(size)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        fences = quality_rules.thresholds(quality_rules.sketches(quality_rules.measures(df))).collect()
+        highs = {r["source"]: r["symbol_rate_high"] for r in fences}
+        assert highs["b"] > 250 and highs["a"] < 250, (size, highs)
+
+
 def test_buckets_are_narrow(spark):
     got = spark.range(100_000).select("id", quality_rules.bucket(quality_rules.F.col("id")).alias("b")).collect()
     assert all(r["b"] <= r["id"] <= r["b"] * 33 / 32 for r in got)
