@@ -310,6 +310,19 @@ def test_quotes_link_to_originals(spark):
     assert quote_links.quote_links(df.limit(0)).count() == 0
 
 
+def test_quotes_that_were_wrapped_again_link(spark):
+    long = "The committee will meet on the second Monday of every month in the small hall behind the old library."
+    rows = [
+        (1, 0, "user", f"Yes.\n{long}"), (1, 1, "user", "Yes."), (1, 2, "user", "Something else\nYes."),
+        (1, 3, "user", "> The committee will meet on the second\n> Monday of every month in the small hall\n> behind the old library.\nGood."),
+        (1, 4, "user", "> Yes.\nWhy?"),
+        (1, 5, "user", ">> The committee will meet on the second Monday\n>> of every month in the small hall behind\n> Good.\nNo."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: (r["parent_turn"], r["quoted_lines"], r["linked_lines"]) for r in quote_links.quote_links(df).collect()}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 0), 2: (1, 0, 0), 3: (0, 3, 3), 4: (3, 1, 0), 5: (3, 3, 3)}
+
+
 def test_long_threads_end(spark):
     df = spark.createDataFrame([(1, i, "user", "x") for i in range(100)], "conv_id long, turn long, role string, text string")
     got = quote_links.quote_links(df).collect()
