@@ -15,8 +15,12 @@ import corpus_pipeline
 from shiftgauge.llm import (
     byte_bpe,
     decontamination,
+    html_text,
+    lexical_tree,
     licences,
+    merkle_manifest,
     near_dedup,
+    oracle,
     ordinal_quality,
     quality_rules,
     quote_links,
@@ -101,6 +105,18 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
 r AS (SELECT payload_digest AS d, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
@@ -136,13 +152,21 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_token_files": op9_token_files,
         "op10_warc_archive": op10_warc_archive,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_html_text": op12_html_text,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
     return {name: importable(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op5_decontamination": DECONTAMINATION_SQL, "op10_warc_archive": WARC_SQL}
+    found = {
+        "op5_decontamination": DECONTAMINATION_SQL,
+        "op10_warc_archive": WARC_SQL,
+        "op11_merkle_manifest": oracle.MERKLE_SQL,
+        "op13_lexical_search": oracle.LEXICAL_SQL,
+    }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
