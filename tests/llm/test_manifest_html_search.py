@@ -82,7 +82,7 @@ def test_proofs_with_odd_rows(spark):
     check_proofs(spark, rows)
 
 
-@pytest.mark.parametrize("n", [1, 3, 65])
+@pytest.mark.parametrize("n", [1, 3, 513])
 def test_proofs_of_trees_of_any_size(spark, n):
     check_proofs(spark, [(i * 3, "s", "en", i, "x") for i in range(n)])
 
