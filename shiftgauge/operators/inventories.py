@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.functions.paths import ancestors, base_name, below_any, depth, directory, is_hidden, join_path, stem
+from shiftgauge.functions.source import code_only
 from shiftgauge.functions.text import WORD_END, camel_case, pascal_case, title_case, word
 from shiftgauge.operators.files import ScanConfig, is_php, is_walked
 
-CLASS = word("class") + rf"\s+(\w+)\s*(?:extends{WORD_END}|implements{WORD_END}|\{{)"
+CLASS = "(?i)" + word("class") + rf"\s+(\w+)\s*(?:extends{WORD_END}|implements{WORD_END}|\{{)"
 # Blanks only at the line start: line breaks there would make long runs of empty lines slow.
-NAMESPACE = r"(?m)^[ \t]*(?:<\?php[ \t]+)?namespace[ \t]+([\w\\]+)\s*[;{]"
-IF_HEAD = word("if") + r"\s*\z"
+NAMESPACE = r"(?im)^[ \t;]*namespace[ \t]+([\w\\]+)\s*[;{]"
+# Not the name of a member.
+IF_HEAD = "(?i)" + word("if") + r"(?<!(?:->|::)if)\s*\z"
 IF_BODY = r"^\s*[^\s{:]"
+#: Tasks over which the classes that claim one target are dealt.
+CLAIM_SALTS = 64
 
 
 def routes(files: DataFrame, config: ScanConfig) -> DataFrame:
@@ -65,14 +69,21 @@ def write_routes(found: DataFrame, location: str, buckets: int = 64) -> None:
 
 
 def class_names(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """Source files, their code without comments, strings and markup, and the classes declared in it.
+
+    Only texts in which a class could be declared are read token by token; `code` of the others is null.
+    """
     path = F.col("path")
-    return files.filter(is_php(path) & is_walked(path, config)).select(
-        "project_id", "path", "content", F.regexp_extract_all("content", F.lit(CLASS), F.lit(1)).alias("classes")
+    maybe = F.rlike("content", F.lit("(?i)" + word("class") + r"\s"))
+    code = files.filter(is_php(path) & is_walked(path, config)).select(
+        "project_id", "path", F.when(maybe, code_only(F.col("content"))).alias("code")
     )
+    found = F.regexp_extract_all("code", F.lit(CLASS), F.lit(1))
+    return code.withColumn("classes", F.coalesce(found, F.array().cast("array<string>")))
 
 
 def multi_class_census(files: DataFrame, config: ScanConfig) -> DataFrame:
-    """Class declarations, and files with more than one."""
+    """Class declarations, and files with more than one. Comments, strings and markup do not count."""
     n = F.size("classes")
     return class_names(files, config).groupBy("project_id").agg(
         F.sum(n).alias("class_count"), F.count_if(n > 1).alias("multi_class_files")
@@ -82,9 +93,9 @@ def multi_class_census(files: DataFrame, config: ScanConfig) -> DataFrame:
 def class_split_plan(files: DataFrame, config: ScanConfig) -> DataFrame:
     """One row per class of a file with several: its new name and file, and whether it is written.
 
-    An existing file is kept, and of several classes with one target only the first is written.
-    The narrow class rows are dealt by target once and numbered as they stream past, so content is read once
-    and nothing is gathered.
+    An existing file is kept, and of several classes with one target only the first is written. Content is read
+    once. Classes that claim one target are dealt over CLAIM_SALTS tasks, where the first of each is found; only
+    these, and the existing file, meet in one task.
     """
     path = F.col("path")
     classes = (
@@ -93,57 +104,70 @@ def class_split_plan(files: DataFrame, config: ScanConfig) -> DataFrame:
         .select(
             "project_id",
             "path",
-            F.nullif(F.regexp_extract("content", NAMESPACE, 1), F.lit("")).alias("namespace"),
+            F.nullif(F.regexp_extract("code", NAMESPACE, 1), F.lit("")).alias("namespace"),
             F.posexplode("classes").alias("pos", "class_name"),
         )
         .withColumn("new_name", pascal_case(F.col("class_name")))
         .withColumn("target_path", join_path(directory(path), F.concat("new_name", F.lit(".php"))))
     )
-    target = Window.partitionBy("project_id", "target_path").orderBy("path", "pos")
-    existing = files.select("project_id", F.col("path").alias("target_path"), F.lit(True).alias("exists")).distinct()
+    salt = F.pmod(F.xxhash64("path"), F.lit(CLAIM_SALTS))
+    some = Window.partitionBy("project_id", "target_path", salt).orderBy("path", "pos")
+    claims = classes.withColumn("first", F.row_number().over(some) == 1).withColumn("is_class", F.lit(True))
+    existing = files.select(
+        "project_id", path.alias("target_path"), F.lit(True).alias("first"), F.lit(False).alias("is_class")
+    ).distinct()
+    every = claims.unionByName(existing, allowMissingColumns=True)
+    # Classes that lost already stand alone, under a key that no target has.
+    key = F.when(F.col("first"), F.struct(F.col("target_path").alias("name"), F.lit(-1).alias("pos"))).otherwise(
+        F.struct(path.alias("name"), "pos")
+    )
+    target = Window.partitionBy("project_id", key).orderBy("is_class", "path", "pos")
     return (
-        classes.withColumn("claim", F.row_number().over(target))
-        .join(existing, ["project_id", "target_path"], "left")
-        .select(
-            "project_id", "path", "pos", "namespace", "class_name", "new_name", "target_path",
-            ((F.col("claim") == 1) & F.col("exists").isNull()).alias("written"),
-        )
-    )
+        every.withColumn("written", F.col("first") & (F.row_number().over(target) == 1))
+        .filter("is_class")
+        .select("project_id", "path", "pos", "namespace", "class_name", "new_name", "target_path", "written")
+    )
 
 
-def _braceless_ifs(content: F.Column) -> F.Column:
-    """Conditions of any depth, in one pass over the text between parentheses.
+def _braceless_ifs(code: F.Column) -> F.Column:
+    """Conditions of any depth, in one pass over the code between parentheses.
 
     The text is cut behind every parenthesis. The fold keeps the depth, the depths at which an ``if`` has opened
     its condition, and whether the last cut closed one, in which case the next piece tells if a body follows.
+    Only an ``if`` within the condition of another makes the list of depths longer.
     """
-    pieces = F.split(content, r"(?<=[()])")
+    pieces = F.split(code, r"(?<=[()])")
 
     def step(state: F.Column, piece: F.Column) -> F.Column:
-        n, opened = state["n"], state["opened"]
+        level, opened = state["level"], state["opened"]
         body = F.rlike(F.regexp_replace(piece, r"[()]\z", "("), F.lit(IF_BODY))
-        n = n + (state["closed"] & body).cast("int")
-        head = F.rlike(F.regexp_replace(piece, r"\(\z", ""), F.lit(IF_HEAD))
         opens, closes = F.endswith(piece, F.lit("(")), F.endswith(piece, F.lit(")"))
-        top = F.get(opened, F.size(opened) - 1)
+        head = opens & F.rlike(F.regexp_replace(piece, r"\(\z", ""), F.lit(IF_HEAD))
+        ends = closes & (F.coalesce(F.get(opened, F.size(opened) - 1), F.lit(-1)) == level)
+        # A parenthesis that nothing opened leaves the outermost level.
+        moved = F.greatest(level + opens.cast("int") - closes.cast("int"), F.lit(0))
         rest = F.slice(opened, F.lit(1), F.greatest(F.size(opened) - 1, F.lit(0)))
         return F.struct(
-            n.alias("n"),
-            F.when(opens, F.concat(opened, F.array(head))).when(closes, rest).otherwise(opened).alias("opened"),
-            (closes & F.coalesce(top, F.lit(False))).alias("closed"),
+            (state["n"] + (state["closed"] & body).cast("int")).alias("n"),
+            moved.alias("level"),
+            F.when(head, F.concat(opened, F.array(moved))).when(ends, rest).otherwise(opened).alias("opened"),
+            ends.alias("closed"),
         )
 
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("opened"), F.lit(False).alias("closed"))
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(0).alias("level"), F.array().cast("array<int>").alias("opened"), F.lit(False).alias("closed")
+    )
     return F.aggregate(pieces, start, step, lambda state: state["n"])
 
 
 def braceless_if_census(files: DataFrame) -> DataFrame:
-    """Single-statement ``if`` without braces, per source file."""
+    """Single-statement ``if`` without braces, per source file; not in comments, strings and markup."""
     path = F.col("path")
-    has_if = F.rlike("content", F.lit(word("if") + r"\s*\("))
-    return files.filter(is_php(path) & ~is_hidden(path)).select(
-        "project_id", "path", F.when(has_if, _braceless_ifs(F.col("content"))).otherwise(0).alias("braceless_ifs")
+    has_if = F.rlike("content", F.lit("(?i)" + word("if") + WORD_END))
+    code = files.filter(is_php(path) & ~is_hidden(path)).select(
+        "project_id", "path", F.when(has_if, code_only(F.col("content"))).alias("code")
     )
+    return code.select("project_id", "path", F.coalesce(_braceless_ifs(F.col("code")), F.lit(0)).alias("braceless_ifs"))
 
 
 def names(files: DataFrame, config: ScanConfig) -> DataFrame:

@@ -56,6 +56,10 @@ FILE_KINDS = [
     ("tests/Browser/B#.php", "<?php`class B extends TestCase { use CreatesApplication; }`"),
     ("app/layouts/q_#.tpl", "{$title}`"),
     ("index#.php", "<?php`subclass Foo; echo Foo::class; $x = new class { }; class  Index#  extends Base { }`"),
+    ("src/Lexical/K#.php",
+     "<html> class Before { <?php`/* class InComment { */ // class InLine { if (a) b();`namespace Real~Name;`$a = ^class InString {^ . \"if (x) y ~\" class Q {\";`"
+     "CLASS Real_one { function f() { if (^)^) g(); if (1) /* c */ { } $x->if(2); $e = ^it~^s class Esc {^; } }`"
+     "$h = <<<EOT`class Here { if (1) x();`  EOT;`class second_one Extends B {} ?> class Html { if (x) y <?php IF (2) echo ^{^; /* class Open {`"),
 ]
 
 # Manifest entries: section, package and the versions that occur.
