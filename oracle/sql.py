@@ -358,8 +358,12 @@ SELECT project_id, dir, regexp_replace(dir, '^.*/', '') AS old_name,
     "long_tagged": """SELECT project_id, path, content AS old, CASE WHEN starts_with(content, '<?php') OR starts_with(content, '<?xml') THEN content
 ELSE replace(replace(replace(replace(replace(content, '<?php', chr(1)), '<?xml', chr(2)), '<?', '<?php '), chr(1), '<?php'), chr(2), '<?xml')
 END AS content FROM code_files WHERE ends_with(path, '.php')""",
-    "judged": """SELECT r.*, r.new_name = '' OR row_number() OVER (PARTITION BY r.project_id, r.new_dir ORDER BY r.dir) > 1
-  OR EXISTS (SELECT 1 FROM path_dirs d WHERE d.project_id = r.project_id AND d.dir = r.new_dir) AS conflict FROM renames r""",
+    "first_renames": """SELECT * FROM renames r WHERE new_name <> ''
+  AND NOT EXISTS (SELECT 1 FROM path_dirs d WHERE d.project_id = r.project_id AND d.dir = r.new_dir)
+  AND NOT EXISTS (SELECT 1 FROM renames o WHERE o.project_id = r.project_id AND o.new_dir = r.new_dir AND o.dir < r.dir)""",
+    "judged": """SELECT r.*, NOT (EXISTS (SELECT 1 FROM first_renames w WHERE w.project_id = r.project_id AND w.dir = r.dir)
+  OR r.new_name <> '' AND EXISTS (SELECT 1 FROM first_renames w WHERE w.project_id = r.project_id AND w.dir = r.new_dir AND w.dir < r.dir)
+    AND NOT EXISTS (SELECT 1 FROM renames o WHERE o.project_id = r.project_id AND o.new_dir = r.new_dir AND o.dir < r.dir AND o.dir > r.new_dir)) AS conflict FROM renames r""",
     "titled": rf"""SELECT project_id, dir, CAST(len(string_split(dir, '/')) AS INT) AS depth, {_parent('dir')} || '/' || array_to_string(list_transform(
 regexp_extract_all(regexp_replace(dir, '^.*/', ''), '\pL[\pL.:''`^]*|[^\pL]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS new_dir
 FROM path_dirs WHERE contains(dir, '/') AND NOT regexp_matches(dir, '(^|/)[.]')

@@ -231,45 +231,84 @@ def directory_order(files: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
-def directory_rename_plan(files: DataFrame, paths: DataFrame, config: ScanConfig) -> DataFrame:
-    """Renames of source directories to Pascal case.
+def _flagged_directories(files: DataFrame, paths: DataFrame, config: ScanConfig) -> DataFrame:
+    """All directories that exist, and whether source files are somewhere below them."""
+    path = F.col("path")
+    source = files.filter(is_php(path) & is_walked(path, config)).select("project_id", path, F.lit(True).alias("is_source"))
+    every = source.unionByName(paths.select("project_id", "path", F.lit(False).alias("is_source")))
+    return (
+        every.select("project_id", "is_source", F.explode(ancestors(path)).alias("dir"))
+        .groupBy("project_id", "dir")
+        .agg(F.max("is_source").alias("is_source"))
+    )
+
 
-    A rename is in conflict when its target exists or an earlier sibling claims it. As children
-    are renamed first, ``new_dir`` still has the old parent; ``final_dir`` has the new names of all
-    directories on the way that are renamed, and the old ones of those in conflict.
+def _renamed(current: F.Column) -> F.Column:
+    return join_path(directory(current), pascal_case(base_name(current)))
+
+
+def _rename_winners(directories: DataFrame) -> DataFrame:
+    """project_id, dir of the renames that succeed when they are done one after the other, by path.
+
+    Children go before their parents, so a rename meets its siblings only. A path that no directory has goes to its
+    first claimant. One that a directory has gets free when that directory was renamed before, and
+    then goes to the next claimant. A third turn never comes: the new name of a new name is not renamed any more,
+    so a path that got free in the second turn is wanted by nobody. Every path is one row of one aggregate.
     """
-    name = base_name(F.col("dir"))
-    plan = (
-        source_directories(files, config)
-        .select("project_id", "dir", name.alias("old_name"), pascal_case(name).alias("new_name"))
-        .filter(F.col("old_name") != F.col("new_name"))
-        .withColumn("new_dir", join_path(directory(F.col("dir")), F.col("new_name")))
+    current = F.col("dir")
+    new = _renamed(current)
+    moves = F.col("is_source") & (new != current) & (pascal_case(base_name(current)) != "")
+    roles = F.array(
+        F.struct(current.alias("at"), F.lit(None).cast("string").alias("claimant"), F.lit(True).alias("taken"), moves.alias("leaves")),
+        F.when(moves, F.struct(new.alias("at"), current.alias("claimant"), F.lit(False).alias("taken"), F.lit(False).alias("leaves"))),
     )
-    winners = (
-        plan.filter(F.col("new_name") != "")
-        .groupBy("project_id", "new_dir")
-        .agg(F.min("dir").alias("dir"))
-        .join(all_directories(paths).withColumnRenamed("dir", "new_dir"), ["project_id", "new_dir"], "left_anti")
-        .select("project_id", "dir", F.lit(True).alias("free"))
+    later = F.when(F.col("claimant") > F.col("at"), F.col("claimant"))
+    places = (
+        directories.select("project_id", F.explode(F.array_compact(roles)).alias("r"))
+        .select("project_id", "r.*")
+        .groupBy("project_id", "at")
+        .agg(F.max("taken").alias("taken"), F.max("leaves").alias("leaves"), F.min("claimant").alias("first"), F.min(later).alias("next"))
+        .filter("first is not null")
     )
-    judged = plan.join(winners, ["project_id", "dir"], "left")
-    renamed = judged.filter("free").select("project_id", F.col("dir").alias("above"), F.col("new_name").alias("renamed"))
-    way = F.concat(ancestors(F.col("dir")), F.array("dir"))
-    final = (
+    first = places.filter(~F.col("taken")).select("project_id", F.col("first").alias("dir"))
+    freed = places.filter("leaves and next is not null").select("project_id", F.col("at").alias("dir"), "next")
+    second = freed.join(first, ["project_id", "dir"]).select("project_id", F.col("next").alias("dir"))
+    return first.unionByName(second)
+
+
+def directory_rename_plan(files: DataFrame, paths: DataFrame, config: ScanConfig) -> DataFrame:
+    """Renames of source directories to Pascal case, as if done one after the other, the deepest first and then by path.
+
+    A rename is in conflict when its target exists at its turn: a directory that was there and has not been renamed
+    before, or an earlier sibling that took the name. As children are renamed first, ``new_dir`` still has the old
+    parent; ``final_dir`` has the new names of all directories on the way that are renamed, and the old ones of
+    those in conflict.
+    """
+    current = F.col("dir")
+    name = base_name(current)
+    directories = _flagged_directories(files, paths, config)
+    winners = _rename_winners(directories).withColumn("free", F.lit(True))
+    plan = directories.filter("is_source").select("project_id", "dir").filter(pascal_case(name) != name)
+    way = F.concat(ancestors(current), F.array("dir"))
+    # Each step of the way looks its directory up among the winners; the last step is the directory itself.
+    judged = (
         plan.select("project_id", "dir", F.posexplode(way).alias("place", "above"))
-        .join(renamed, ["project_id", "above"], "left")
+        .join(winners.withColumnRenamed("dir", "above"), ["project_id", "above"], "left")
         .groupBy("project_id", "dir")
-        .agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("renamed", base_name(F.col("above"))).alias("name")))).alias("way"))
-        .select("project_id", "dir", F.array_join("way.name", "/").alias("final_dir"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("place", "free", "above"))).alias("way"),
+            F.bool_or((F.col("above") == current) & F.col("free")).alias("free"),
+        )
     )
-    return judged.join(final, ["project_id", "dir"]).select(
+    step = lambda s: F.when(s["free"], pascal_case(base_name(s["above"]))).otherwise(base_name(s["above"]))
+    return judged.select(
         "project_id",
         "dir",
-        depth(F.col("dir")).alias("depth"),
-        "new_dir",
-        "final_dir",
-        (F.lower("old_name") == F.lower("new_name")).alias("case_only"),
-        F.col("free").isNull().alias("conflict"),
+        depth(current).alias("depth"),
+        _renamed(current).alias("new_dir"),
+        F.array_join(F.transform("way", step), "/").alias("final_dir"),
+        (F.lower(name) == F.lower(pascal_case(name))).alias("case_only"),
+        (~F.coalesce("free", F.lit(False))).alias("conflict"),
     )
 
 

@@ -60,6 +60,9 @@ FILE_KINDS = [
      "<html> class Before { <?php`/* class InComment { */ // class InLine { if (a) b();`namespace Real~Name;`$a = ^class InString {^ . \"if (x) y ~\" class Q {\";`"
      "CLASS Real_one { function f() { if (^)^) g(); if (1) /* c */ { } $x->if(2); $e = ^it~^s class Esc {^; } }`"
      "$h = <<<EOT`class Here { if (1) x();`  EOT;`class second_one Extends B {} ?> class Html { if (x) y <?php IF (2) echo ^{^; /* class Open {`"),
+    ("chain/x-y/Chain#.php", "<?php`$a = 1;`"),
+    ("chain/XY/Chain#.php", "<?php`$a = 2;`"),
+    ("chain/x_y/Chain#.php", "<?php`$a = 3;`"),
 ]
 
 # Manifest entries: section, package and the versions that occur.

@@ -21,10 +21,10 @@ def test_all_but_code_is_blanked(spark):
     texts = {
         "<?php a /* b 'c */ d // e 'f\ng # h\n#[I] j": "      a            d        \ng    \n#[I] j",
         r"""<?php 'a\'b' . "c\\" . `d "e` . f""": "      '    ' . '   ' . '    ' . f",
-        "x <b> 'y <?php z ?> don't <?= k ?>\n<?xml '?><?q": "             z ;              k ;\n             q",
-        "<?php // a ?> b\n<?php c": "           ;    \n      c",
+        "x <b> 'y <?php z ?> don't <?= k ?>\n<?xml '?><?q": " " * 15 + "z ;" + " " * 12 + "k ; \n" + " " * 11 + "q",
+        "<?php // a ?> b\n<?php c": "           ;   \n      c",
         "<?php $a = <<<EOT\nclass B {\n  EOT;\nc": "      $a = '     \n         \n    ';\nc",
-        "<?php <<<'Q'\nQQ\nQ . 1 << 2": "      '      \n  \n' . 1 << 2",
+        "<?php <<<'Q'\nQQ\nQ . 1 << 2": "      '     \n  \n' . 1 << 2",
         "<?php a 'never": "      a '    '",
         "<?php a /* never ?> x": "      a              ",
         "<?php a <<<X\nnever": "      a '   \n    '",
