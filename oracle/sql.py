@@ -524,6 +524,13 @@ FROM edges GROUP BY project_id) e ON e.project_id = t.project_id""",
     "upgrade_report": """SELECT project_id, target_php, has_manifest, file_count, outdated_count, framework_version, dependencies, php_version,
 codebase_size, total, band FROM upg""",
 }
+QUERIES["pack_counts"] = """SELECT f.project_id, f.path, p.framework, CAST(SUM((length(f.content) - length(replace(f.content, p.literal, ''))) // length(p.literal)) AS BIGINT) AS hits
+FROM listed f JOIN (SELECT DISTINCT 'pack-' || (item_id % 7) AS framework, unnest(regexp_split_to_array(text, '[^a-z]+')) AS literal FROM benchmark) p
+  ON length(p.literal) >= 5 AND contains(f.content, p.literal) GROUP BY ALL"""
+QUERIES["prefix_matches"] = f"""SELECT n.name, g.prefix, g.owner, length(g.prefix) = MAX(length(g.prefix)) OVER (PARTITION BY n.name) AS longest
+FROM (SELECT DISTINCT name FROM (SELECT name FROM registry UNION ALL SELECT name FROM ({QUERIES["manifest_packages"]}) m)) n
+JOIN (SELECT DISTINCT unnest([string_split(name, '/')[1] || '/', name[:length(name) - 2]]) AS prefix, unnest([string_split(name, '/')[1], name]) AS owner
+  FROM (SELECT name FROM registry UNION ALL SELECT name FROM ({QUERIES["manifest_packages"]}) m)) g ON starts_with(n.name, g.prefix)"""
 
 
 def _needed(sql: str) -> list[str]:

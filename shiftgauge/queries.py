@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgauge.operators import dependencies, detection, features, files, inventories, rewrites, schema_graph, scoring
+from shiftgauge.operators import dependencies, detection, features, files, inventories, pattern_tables, rewrites, schema_graph, scoring
 from shiftgauge.operators.files import ScanConfig
 from shiftgauge.plans import migration, report_rows, upgrade
 from shiftgauge.sources import corpus as source
@@ -185,5 +185,27 @@ def _over_corpus(operator: Callable[[Corpus], DataFrame]) -> Query:
     return run
 
 
+def pack_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack out of a table: the longer words of the benchmark items, looked up in all listed files."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    word = F.explode(F.split("text", "[^a-z]+")).alias("literal")
+    pack = items.select(F.concat(F.lit("pack-"), F.col("item_id") % 7).alias("framework"), word).filter("length(literal) >= 5")
+    return pattern_tables.pack_counts(load_corpus(spark, sf_dir).files, pack, CONFIG)
+
+
+def prefix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the registry and the manifests against the vendors and shortened names that they have."""
+    c = load_corpus(spark, sf_dir)
+    names = c.registry.select("name").unionByName(_packages(c).select("name"))
+    vendor = F.substring_index("name", "/", 1)
+    owned = [F.struct(F.concat(vendor, F.lit("/")).alias("prefix"), vendor.alias("owner")),
+             F.struct(F.expr("left(name, length(name) - 2)").alias("prefix"), F.col("name").alias("owner"))]
+    return pattern_tables.prefix_matches(names, names.select(F.inline(F.array(*owned))))
+
+
+#: Queries whose further tables come straight from the given ones.
+TABLES: dict[str, Query] = {"pack_counts": pack_counts, "prefix_matches": prefix_matches}
+
+
 def queries() -> dict[str, Query]:
-    return {name: _over_corpus(operator) for name, operator in OPERATORS.items()}
+    return {name: _over_corpus(operator) for name, operator in OPERATORS.items()} | TABLES
