@@ -6,7 +6,7 @@ feature is a function ``(content, path) -> Column`` and needs no change here (se
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,26 +190,37 @@ def template_spaghetti(files: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
+def on_listings(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """Files on any listing, and how often each lists them; decided by their paths alone."""
+    path = F.col("path")
+    by_ending, by_directory = in_template_list(path, config)
+    return (
+        files.withColumn("is_new", is_listed(path, config))
+        .withColumn("legacy_n", legacy_times(path, config))
+        .withColumn("template_n", by_ending.cast("int") + by_directory.cast("int"))
+        .filter(F.col("is_new") | (F.col("legacy_n") > 0) | (F.col("template_n") > 0))
+    )
+
+
 def file_features(
     files: DataFrame,
     config: ScanConfig,
     signatures: Signatures = fixed.SIGNATURES,
     extra: Mapping[str, Feature] | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Everything the reports need from a file, in one scan. Files on no listing are dropped."""
+    """Everything the reports need from a file, in one scan. Files on no listing are dropped.
+
+    keys: columns of files that stay beside project_id.
+    """
     content, path = F.col("content"), F.col("path")
-    by_ending, by_directory = in_template_list(path, config)
     scanner = scanner_for(signatures)
-    listings = (
-        files.withColumn("is_new", is_listed(path, config))
-        .withColumn("legacy_n", legacy_times(path, config))
-        .withColumn("template_n", by_ending.cast("int") + by_directory.cast("int"))
-        .filter(F.col("is_new") | (F.col("legacy_n") > 0) | (F.col("template_n") > 0))
-    )
+    listings = on_listings(files, config)
     is_new, is_template = F.col("is_new"), F.col("template_n") > 0
     flags = {**ARCHITECTURE_FLAGS, **TEST_FLAGS, **(extra or {})}
     scanned = listings.select(
         "project_id",
+        *keys,
         "is_new",
         "legacy_n",
         "template_n",
@@ -226,6 +237,23 @@ def file_features(
     )
 
 
+def tally_numbers(signatures: Signatures = fixed.SIGNATURES) -> dict[str, str]:
+    """SQL for what one file adds to each tally of its project."""
+    numbers = {
+        "file_count": "if(is_new, 1, 0)",
+        "legacy_count": "legacy_n",
+        "template_count": "template_n",
+        "signals": "coalesce(signals, 0) * template_n",
+        **{f"db_{name}": f"if(db_class = '{name}', 1, 0)" for name in DB_CLASSES},
+        **{f"n_{name}": f"if({name}, 1, 0)" for name in (*ARCHITECTURE_FLAGS, *TEST_FLAGS)},
+    }
+    for fw in signatures:
+        for name, at_least in (("coupled", 1), ("heavy", fixed.HEAVY_HITS)):
+            numbers[f"{name}_{fw}"] = f"if(is_new and hits_{fw} >= {at_least}, 1, 0)"
+            numbers[f"legacy_{name}_{fw}"] = f"if(hits_{fw} >= {at_least}, legacy_n, 0)"
+    return numbers
+
+
 def project_tallies(
     features: DataFrame,
     signatures: Signatures = fixed.SIGNATURES,
@@ -236,24 +264,8 @@ def project_tallies(
     Partial aggregation shrinks a project of any size before the only shuffle. All buffers are
     fixed-width, so both halves are hash aggregates.
     """
-    def per_framework(fw: str) -> list[str]:
-        out = []
-        for name, at_least in (("coupled", 1), ("heavy", fixed.HEAVY_HITS)):
-            out.append(f"count_if(is_new and hits_{fw} >= {at_least}) as {name}_{fw}")
-            out.append(f"sum(if(hits_{fw} >= {at_least}, legacy_n, 0)) as legacy_{name}_{fw}")
-        return out
-
-    counts = [
-        "count_if(is_new) as file_count",
-        "sum(legacy_n) as legacy_count",
-        "sum(template_n) as template_count",
-        "sum(coalesce(signals, 0) * template_n) as signals",
-        *[f"count_if(db_class = '{name}') as db_{name}" for name in DB_CLASSES],
-        *[f"count_if({name}) as n_{name}" for name in (*ARCHITECTURE_FLAGS, *TEST_FLAGS)],
-        *[text for fw in signatures for text in per_framework(fw)],
-    ]
     return features.groupBy("project_id").agg(
-        *[F.expr(text) for text in counts],
+        *[F.expr(f"sum({number})").alias(name) for name, number in tally_numbers(signatures).items()],
         *[build().alias(name) for name, build in (extra or {}).items()],
     )
 

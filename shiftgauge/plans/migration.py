@@ -50,13 +50,16 @@ def scored(
     include_templating: bool = True,
     extra_scores: Mapping[str, Callable[[], Column]] | None = None,
     signatures: features.Signatures = fixed.SIGNATURES,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """All component scores, total and band per project and scenario.
 
-    Everything is joined at one row per project; the scenarios then multiply finished rows, and
+    counted: the tallies of all projects, where they are known already. Everything is joined at one row per project; the scenarios then multiply finished rows, and
     their scores are expressions on them.
     """
-    scored_projects = scoring.project_scores(tallies(corpus, config, signatures))
+    if counted is None:
+        counted = tallies(corpus, config, signatures)
+    scored_projects = scoring.project_scores(counted)
     per_project = with_engines(corpus, config, with_manifests(corpus, scored_projects))
     per_scenario = dependencies.with_dependency_scores(scenarios(corpus, pairs, per_project))
     with_templates = F.lit(include_templating) & (F.col("template_count") > 0)
@@ -82,9 +85,9 @@ REPORT_COLUMNS = [
 
 
 def migration_report(
-    corpus: Corpus, config: ScanConfig, pairs: Pairs, include_templating: bool = True
+    corpus: Corpus, config: ScanConfig, pairs: Pairs, include_templating: bool = True, counted: DataFrame | None = None
 ) -> DataFrame:
-    return scored(corpus, config, pairs, include_templating).select(*REPORT_COLUMNS)
+    return scored(corpus, config, pairs, include_templating, counted=counted).select(*REPORT_COLUMNS)
 
 
 def legacy_progress(corpus: Corpus, config: ScanConfig, pairs: Pairs) -> DataFrame:

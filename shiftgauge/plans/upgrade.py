@@ -36,23 +36,23 @@ def php_version(corpus: Corpus) -> DataFrame:
     )
 
 
-def codebase_size(corpus: Corpus, config: ScanConfig) -> DataFrame:
-    return migration.tallies(corpus, config).select(
+def codebase_size(corpus: Corpus, config: ScanConfig, counted: DataFrame | None = None) -> DataFrame:
+    return (migration.tallies(corpus, config) if counted is None else counted).select(
         "project_id", "file_count", scoring.codebase_size_score().alias("codebase_size")
     )
 
 
-def upgrade_report(corpus: Corpus, config: ScanConfig) -> DataFrame:
+def upgrade_report(corpus: Corpus, config: ScanConfig, counted: DataFrame | None = None) -> DataFrame:
     """Scores, total and band per project and target runtime; null without a manifest.
 
-    One row per project is joined first; the target runtimes multiply it last.
+    counted: the tallies of all projects, where they are known already. One row per project is joined first; the target runtimes multiply it last.
     """
     flagged = flagged_projects(corpus)
     per_project = (
         php_version(corpus)
         .select("project_id", F.col("php_version_score").alias("php_version"))
         .join(dependencies.dependency_upgrade(flagged, outdated(corpus)), "project_id")
-        .join(codebase_size(corpus, config), "project_id")
+        .join(codebase_size(corpus, config, counted), "project_id")
         .join(flagged, "project_id")
     )
     known = F.col("has_manifest")

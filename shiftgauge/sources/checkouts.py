@@ -32,14 +32,13 @@ from pyspark.sql.datasource import (
     StringStartsWith,
     WriterCommitMessage,
 )
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.operators.files import ScanConfig
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
-LISTING = "project_id string, path string, bytes long"
-CONTENT = "project_id string, path string, content binary"
+LISTING = "project_id string, path string, bytes long, modified long"
 #: Rows of a listing, and bytes of contents, that a task hands over at a time.
 BATCH_ROWS, BATCH_BYTES = 10_000, 32_000_000
 #: Tasks that list projects at most; projects are dealt over them.
@@ -151,10 +150,10 @@ class CheckoutReader(DataSourceReader):
 
     def read(self, partition: Projects) -> Iterator[pa.RecordBatch]:
         files, folder = _filesystem(self.root)
-        rows: list[tuple[str, str, int]] = []
+        rows: list[tuple] = []
         for name in partition.names:
-            for path, size in walk(files, f"{folder}/{name}", self.wanted):
-                rows.append((name, path, size))
+            for found in walk(files, f"{folder}/{name}", self.wanted):
+                rows.append((name, *found))
                 if len(rows) == BATCH_ROWS:
                     yield _batch(rows, LISTING_SCHEMA)
                     rows = []
@@ -162,8 +161,7 @@ class CheckoutReader(DataSourceReader):
             yield _batch(rows, LISTING_SCHEMA)
 
 
-LISTING_SCHEMA = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("bytes", pa.int64())])
-CONTENT_SCHEMA = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+LISTING_SCHEMA = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("modified", pa.int64())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -171,8 +169,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def walk(files: pafs.FileSystem, folder: str, wanted: Wanted) -> Iterator[tuple[str, int]]:
-    """Path below the folder, and size, of every wanted file; one directory is listed at a time."""
+def walk(files: pafs.FileSystem, folder: str, wanted: Wanted) -> Iterator[tuple[str, int, int | None]]:
+    """Path below the folder, size and time of change in ns of every wanted file; one directory is listed at a time."""
     todo = [""]
     while todo:
         inner = todo.pop()
@@ -182,7 +180,7 @@ def walk(files: pafs.FileSystem, folder: str, wanted: Wanted) -> Iterator[tuple[
                 if wanted.enters(path + "/"):
                     todo.append(path + "/")
             elif x.type == pafs.FileType.File and wanted.takes(path):
-                yield path, x.size
+                yield path, x.size, x.mtime_ns
 
 
 class CheckoutSource(DataSource):
@@ -200,7 +198,7 @@ class CheckoutSource(DataSource):
 
 
 def list_checkouts(spark: SparkSession, root: str, config: ScanConfig | None = None, tasks: int = MOST_TASKS) -> DataFrame:
-    """project_id, path, bytes of the files of all checkouts.
+    """project_id, path, bytes, modified of the files of all checkouts.
 
     With a configuration, hidden directories and those that it excludes are not entered, as for
     `is_walked`. Filter the result by project_id, or by the beginning, end or value of path, to list less. Turns
@@ -214,7 +212,7 @@ def list_checkouts(spark: SparkSession, root: str, config: ScanConfig | None = N
 
 
 def read_contents(listed: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
-    """project_id, path, content of listed files; only these are opened.
+    """The listed files with their content in place of bytes and modified; only these are opened, other columns stay.
 
     The narrow listing is dealt by path first, so that a project with a third of all files is read by all tasks. A file
     that is gone by then is an error.
@@ -222,21 +220,23 @@ def read_contents(listed: DataFrame, root: str, tasks: int | None = None) -> Dat
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = _filesystem(root)
-        rows, held = [], 0
         for batch in batches:
+            contents, held, start = [], 0, 0
             for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.open_input_stream(f"{folder}/{name}/{path}") as stream:
-                    rows.append((name, path, stream.read()))
-                held += len(rows[-1][2])
-                if held >= BATCH_BYTES or len(rows) == BATCH_ROWS:
-                    yield _batch(rows, CONTENT_SCHEMA)
-                    rows, held = [], 0
-        if rows:
-            yield _batch(rows, CONTENT_SCHEMA)
-
-    keys = ("project_id", "path")
-    dealt = listed.select(*keys).repartition(tasks, *keys) if tasks else listed.select(*keys).repartition(*keys)
-    return dealt.mapInArrow(read, CONTENT).withColumn("content", F.col("content").cast("string"))
+                    contents.append(stream.read())
+                held += len(contents[-1])
+                if held >= BATCH_BYTES:
+                    yield batch.slice(start, len(contents)).append_column("content", pa.array(contents, pa.binary()))
+                    contents, held, start = [], 0, start + len(contents)
+            if contents:
+                yield batch.slice(start, len(contents)).append_column("content", pa.array(contents, pa.binary()))
+
+    keys = ["project_id", "path"]
+    narrow = listed.select(*keys, *[c for c in listed.columns if c not in (*keys, "bytes", "modified", "content")])
+    dealt = narrow.repartition(tasks, *keys) if tasks else narrow.repartition(*keys)
+    schema = StructType([*narrow.schema.fields, StructField("content", BinaryType())])
+    return dealt.mapInArrow(read, schema).withColumn("content", F.col("content").cast("string"))
 
 
 def read_checkouts(spark: SparkSession, root: str, config: ScanConfig | None = None) -> DataFrame:
