@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.functions.text import sql_literal
 from shiftgauge.functions.versions import major, minor, version_key
-from shiftgauge.operators.joins import salted_lookup
+from shiftgauge.operators.joins import HOT_ROWS, salted_lookup
 from shiftgauge.sources import dims
 
 
@@ -110,7 +110,8 @@ def manifest_features(parsed: DataFrame) -> DataFrame:
     required = "filter(packages, p -> p.section = 'require')"
     return parsed.select(
         "project_id",
-        F.lit(True).alias("manifest_found"),
+        # Asked of the packages, so that all readers of a shared manifest need the same columns.
+        F.col("packages").isNotNull().alias("manifest_found"),
         F.size("packages").alias("package_count"),
         F.expr(f"transform(packages, p -> {_owner_mask('p.name')})").alias("owners"),
         _first_php()["version_string"].alias("php_version"),
@@ -174,11 +175,11 @@ def with_dependency_scores(scenarios: DataFrame) -> DataFrame:
     ).drop("min_major", "min_minor")
 
 
-def dependency_registry_join(packages: DataFrame, latest: DataFrame, salts: int | None = None) -> DataFrame:
+def dependency_registry_join(packages: DataFrame, latest: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Required packages with their newest release.
 
-    A name that is itself a part of ``php`` is skipped, as are entries without a version. A hot package is
-    spread over ``salts`` tasks, as many as there are shuffle partitions by default.
+    A name that is itself a part of ``php`` is skipped, as are entries without a version. Packages with
+    more than ``hot_rows`` entries are spread over several tasks.
     """
     wanted = packages.filter(
         (F.col("section") == "require")
@@ -186,7 +187,7 @@ def dependency_registry_join(packages: DataFrame, latest: DataFrame, salts: int
         & F.col("version_string").isNotNull()
     )
     return (
-        salted_lookup(wanted, latest, keys=["name"], spread="project_id", salts=salts)
+        salted_lookup(wanted, latest, key="name", spread="project_id", hot_rows=hot_rows)
         .filter(F.col("latest_version").isNotNull())
         .select("project_id", "ord", "name", "version_string", "latest_version")
     )
@@ -204,8 +205,8 @@ def outdated_dependencies(joined: DataFrame) -> DataFrame:
     )
 
 
-def dependency_upgrade(projects: DataFrame, outdated: DataFrame) -> DataFrame:
-    """100 less ten points per major version that the outdated packages lag on average."""
+def dependency_upgrade(projects: DataFrame, outdated: DataFrame, *kept: str) -> DataFrame:
+    """100 less ten points per major version that the outdated packages lag on average. `kept` columns of projects stay."""
     gaps = outdated.groupBy("project_id").agg(
         F.sum("major_gap").alias("gap"), F.count(F.lit(1)).alias("outdated_count")
     )
@@ -215,17 +216,18 @@ def dependency_upgrade(projects: DataFrame, outdated: DataFrame) -> DataFrame:
         "project_id",
         F.coalesce("outdated_count", F.lit(0)).alias("outdated_count"),
         F.when(F.col("has_manifest"), score).alias("dependencies"),
+        *(["has_manifest", *kept] if kept else []),
     )
 
 
-def php_version_upgrade(projects: DataFrame, latest: DataFrame) -> DataFrame:
-    """Steps from the manifest's runtime to the newest one; ``latest`` has exactly one row."""
+def php_version_upgrade(projects: DataFrame, latest: DataFrame, *kept: str) -> DataFrame:
+    """Steps from the manifest's runtime to the newest one; ``latest`` has exactly one row. `kept` columns of projects stay."""
     current, newest = F.col("php_version"), F.col("latest_php")
     steps = F.abs(major(newest) - major(current)) * 5 + F.abs(minor(newest) - minor(current))
     score = F.when(current.isNull(), F.lit(0.0)).otherwise(round2(clamp(F.lit(100.0) - steps * 7)))
     return (
         projects.crossJoin(F.broadcast(latest))
-        .select("project_id", "php_version", "latest_php", F.when(F.col("has_manifest"), score).alias("php_version_score"))
+        .select("project_id", "php_version", "latest_php", F.when(F.col("has_manifest"), score).alias("php_version_score"), *kept)
     )
 
 

@@ -11,7 +11,6 @@ from shiftgauge.functions import fixed_values as fixed
 from shiftgauge.functions.bands import legacy_label, migration_band
 from shiftgauge.operators import dependencies, detection, features, scoring
 from shiftgauge.operators.files import ScanConfig
-from shiftgauge.sources import corpus as source
 from shiftgauge.sources.corpus import Corpus
 
 Pairs = list[tuple[str | None, str | None]]
@@ -25,7 +24,7 @@ def tallies(
 
 
 def detected(corpus: Corpus) -> DataFrame:
-    return detection.framework_certainty(source.parsed_manifests(corpus.manifests), corpus.paths)
+    return detection.framework_certainty(corpus.parsed, corpus.paths)
 
 
 def scenarios(corpus: Corpus, pairs: Pairs, project_rows: DataFrame | None = None) -> DataFrame:
@@ -35,7 +34,7 @@ def scenarios(corpus: Corpus, pairs: Pairs, project_rows: DataFrame | None = Non
 
 
 def with_manifests(corpus: Corpus, project_rows: DataFrame) -> DataFrame:
-    return dependencies.with_manifests(project_rows, source.parsed_manifests(corpus.manifests))
+    return dependencies.with_manifests(project_rows, corpus.parsed)
 
 
 def with_engines(corpus: Corpus, config: ScanConfig, project_rows: DataFrame) -> DataFrame:
@@ -57,6 +56,7 @@ def scored(
     counted: the tallies of all projects, where they are known already. Everything is joined at one row per project; the scenarios then multiply finished rows, and
     their scores are expressions on them.
     """
+    corpus = corpus.with_shared_manifests()
     if counted is None:
         counted = tallies(corpus, config, signatures)
     scored_projects = scoring.project_scores(counted)

@@ -15,11 +15,11 @@ from shiftgauge.sources.corpus import Corpus
 
 
 def flagged_projects(corpus: Corpus) -> DataFrame:
-    return source.with_manifest_flag(corpus.projects, source.parsed_manifests(corpus.manifests))
+    return migration.with_manifests(corpus, corpus.projects).select("project_id", "has_manifest")
 
 
 def outdated(corpus: Corpus) -> DataFrame:
-    packages = source.manifest_packages(corpus.manifests)
+    packages = corpus.parsed.select("project_id", F.inline("packages"))
     joined = dependencies.dependency_registry_join(packages, source.registry_latest(corpus.registry))
     return dependencies.outdated_dependencies(joined)
 
@@ -47,13 +47,15 @@ def upgrade_report(corpus: Corpus, config: ScanConfig, counted: DataFrame | None
 
     counted: the tallies of all projects, where they are known already. One row per project is joined first; the target runtimes multiply it last.
     """
-    flagged = flagged_projects(corpus)
+    corpus = corpus.with_shared_manifests()
+    facts = migration.with_manifests(corpus, corpus.projects)
+    newest = source.latest_runtime(corpus.releases)
     per_project = (
-        php_version(corpus)
-        .select("project_id", F.col("php_version_score").alias("php_version"))
-        .join(dependencies.dependency_upgrade(flagged, outdated(corpus)), "project_id")
+        dependencies.dependency_upgrade(facts, outdated(corpus), "php_version")
         .join(codebase_size(corpus, config, counted), "project_id")
-        .join(flagged, "project_id")
+        .transform(lambda rows: dependencies.php_version_upgrade(rows, newest, "outdated_count", "dependencies", "file_count", "codebase_size", "has_manifest"))
+        .drop("php_version", "latest_php")
+        .withColumnRenamed("php_version_score", "php_version")
     )
     known = F.col("has_manifest")
     scores = ["framework_version", "dependencies", "php_version", "codebase_size"]

@@ -30,6 +30,23 @@ class Corpus:
         if unknown:
             raise TypeError(f"unknown tables: {sorted(unknown)}")
         self._tables = tables
+        self._shared: DataFrame | None = None
+
+    @property
+    def parsed(self) -> DataFrame:
+        """The readable manifests, one row per project."""
+        return parsed_manifests(self.manifests) if self._shared is None else self._shared
+
+    def with_shared_manifests(self) -> Corpus:
+        """The same corpus for a plan that asks the manifests many questions.
+
+        The parsed rows pass an aggregate by project, which changes nothing, as there is one for each. But no
+        filter and no choice of columns gets below it, so all questions have the same exchange, which runs once.
+        """
+        other = Corpus(**self._tables)
+        known = self.parsed.filter("project_id is not null")  # else some questions would ask for that themselves
+        other._shared = known.groupBy("project_id").agg(F.max("packages").alias("packages"))
+        return other
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.TABLES or name not in self._tables:

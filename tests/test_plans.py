@@ -171,3 +171,36 @@ def test_fixtures_grow_with_the_tables(spark):
     small, large = (load_corpus(spark, str(TESTDATA / sf)) for sf in ("sf0.001", "sf0.01"))
     for name in Corpus.TABLES:
         assert getattr(large, name).count() > getattr(small, name).count(), name
+
+
+def parses(spark, df):
+    """Manifest parses that a run does; an exchange that is used again counts once."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return plan.count("from_json(StructField(require,")
+
+
+def test_reports_parse_the_manifests_once(stored, spark):
+    from shiftgauge.queries import OPERATORS
+
+    assert parses(spark, OPERATORS["upgrade_report"](stored)) == 1
+    assert parses(spark, OPERATORS["upgrade_total"](stored)) == 1
+    assert parses(spark, OPERATORS["migration_report"](stored)) == 1
+    assert parses(spark, OPERATORS["report_rows"](stored)) <= 2
+    assert parses(spark, OPERATORS["difficulty_bands"](stored)) <= 2
+
+
+def test_hot_packages_are_dealt_over_tasks(spark):
+    from shiftgauge.operators.joins import salted_lookup
+
+    rows = spark.range(1000).selectExpr("cast(id as string) as project_id", "if(id % 3 = 0, 'hot', if(id % 50 = 1, null, concat('p', id))) as name")
+    lookup = spark.createDataFrame([("hot", "9"), ("p1", "1"), ("p2", "2"), ("cold", "0")], "name string, latest string")
+    plain = rows.join(lookup, "name", "left")
+    key = lambda r: [str(x) for x in r]
+    for most in (10, 1000):
+        got = salted_lookup(rows, lookup, "name", "project_id", most)
+        assert sorted(map(tuple, got.select(*plain.columns).collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
