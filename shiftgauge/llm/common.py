@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # A word is a run of characters that are no ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Characters that a task works on at a time, one text at least.
@@ -50,6 +54,22 @@ def ascii_lower(text: str | Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: What the operator that used this worker last keeps in memory from task to task.
+_HELD: dict[str, tuple[object, object]] = {}
+
+
+def held(owner: object, make: Callable[[], T]) -> T:
+    """What `make` gave for this owner, as long as no other owner has asked in between.
+
+    Workers are used again by the next operator, which must not pay for the tables of the last one.
+    """
+    if "it" not in _HELD or _HELD["it"][0] != owner:
+        _HELD.clear()
+        gc.collect()
+        _HELD["it"] = (owner, make())
+    return _HELD["it"][1]  # type: ignore[return-value]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftgauge.llm.common import partitions, stored
+from shiftgauge.llm.common import held, partitions, stored
 from shiftgauge.llm.components import components
 
 #: Percent of the union that two sets must share.
@@ -62,16 +62,14 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
-
-
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; with fewer words, of the whole sequence; none without words."""
     words = text.encode().lower().split() if text else []  # bytes: A-Z alone are lowered, ASCII white space alone splits
     if not words:
         return np.zeros(0, np.uint64)
     n = min(n, len(words))
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, count=len(words))
+    known = held("shingles", WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, count=len(words))
     found = np.full(len(words) - n + 1, n, np.uint64)
     for place in range(n):
         found = (found + hashes[place : place + len(found)]) * np.uint64(MIX_A)
@@ -211,12 +209,24 @@ def meet(sketches: np.ndarray, owners: np.ndarray, minors: np.ndarray) -> tuple[
     return met, minor
 
 
-def across(ordered: DataFrame) -> DataFrame:
-    """id, minor: documents of a region whose sketch agrees with one of another component.
+def apart(paths: np.ndarray, sketches: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> pd.DataFrame:
+    """a, b: the TAKEN nearest of the LOOK_BACK rows before each row that are of another component, share SHALLOW levels and
+    whose sketches agree."""
+    taken, found = np.zeros(len(ids), np.int64), [_pairs(ids[:0], ids[:0], ids[:0])]
+    for lag in range(1, min(LOOK_BACK, len(ids) - 1) + 1):
+        shared = (paths[lag:, : SHALLOW + 1] == paths[:-lag, : SHALLOW + 1]).all(axis=1) & (owners[lag:] != owners[:-lag])
+        at = np.flatnonzero(shared & (taken[lag:] < TAKEN)) + lag
+        at = at[(sketches[at] == sketches[at - lag]).sum(axis=1) >= AGREE]
+        taken[at] += 1
+        found.append(_pairs(ids[at], ids[at - lag], at))
+    return pd.concat(found)[["a", "b"]].drop_duplicates()
 
-    minor: of every pair of such documents at least one is outside the largest component of its region, and
-    minor. So many rows as documents come out, not as pairs. A task compares the regions that lie within it; those
-    that reach its first or last row, or have more than TILE_ROWS rows, are put together by their key.
+
+def looked_across(ordered: DataFrame) -> DataFrame:
+    """Rows that a pass over the orders, whose rows know their component, hands out; the columns tell their kind.
+
+    a, b: near rows of different components (see `apart`). label: the first and last rows of a task, for the same
+    across tasks. id, minor without region: documents that `across` has found. region: rows of the regions that it has to put together.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,17 +251,44 @@ def across(ordered: DataFrame) -> DataFrame:
                 continue
             minors = np.flatnonzero(own != names[counts.argmax()])
             met[start:stop], minor[start:stop] = meet(sketches[start:stop], own, minors)
-        yield pd.DataFrame({"id": ids[met], "minor": minor[met]}).assign(place=None, region=None, sketch=None, component=None)
+        row = ["id", "place", "sketch", "component"]
+        none = dict.fromkeys(["id", "minor", "place", "region", "sketch", "component", "label", "a", "b"])
+        yield pd.DataFrame({"id": ids[met], "minor": minor[met]}).assign(**{c: None for c in none if c not in ("id", "minor")})
         left = rows[later]
         region = [label[: 2 * REGION_LEVELS] for label in left["label"]]
-        yield left[["id", "place", "sketch", "component"]].assign(minor=None, region=region)
+        yield left[row].assign(minor=None, region=region, label=None, a=None, b=None)
+        ends = pd.concat([rows.iloc[:LOOK_BACK], rows.iloc[max(LOOK_BACK, len(rows) - LOOK_BACK) :]])
+        yield ends[[*row, "label"]].assign(minor=None, region=None, a=None, b=None)
+        yield apart(paths, sketches, ids, owners).assign(**{c: None for c in none if c not in ("a", "b")})
 
-    schema = "id long, minor boolean, place int, region binary, sketch binary, component long"
-    found = stored(ordered.mapInPandas(look, schema), "regions")
-    later = found.filter("region is not null").drop("minor")
-    return found.filter("region is null").select("id", "minor").unionByName(_across_tiles(later)).groupBy("id").agg(
-        F.max("minor").alias("minor")
-    )
+    schema = "id long, minor boolean, place int, region binary, sketch binary, component long, label binary, a long, b long"
+    return stored(ordered.mapInPandas(look, schema), "regions")
+
+
+def across(looked: DataFrame) -> DataFrame:
+    """id, minor: documents of a region whose sketch agrees with one of another component.
+
+    minor: of every pair of such documents at least one is outside the largest component of its region, and
+    minor. So many rows as documents come out, not as pairs. A task compares the regions that lie within it; those
+    that reach its first or last row, or have more than TILE_ROWS rows, are put together by their key.
+    """
+    later = looked.filter("region is not null").select("id", "place", "region", "sketch", "component")
+    within = looked.filter("minor is not null").select("id", "minor")
+    return within.unionByName(_across_tiles(later)).groupBy("id").agg(F.max("minor").alias("minor"))
+
+
+def undecided(looked: DataFrame) -> DataFrame:
+    """a, b: neighbours of different components, within tasks and across their ends. At most TAKEN for each row."""
+
+    def meet_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [batch for batch in batches if len(batch)]
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            yield apart(*_arrays(rows), rows["component"].to_numpy(np.int64))
+
+    ends = looked.filter("label is not null").select("place", "label", "id", "sketch", "component")
+    met = ends.repartition(partitions(looked.sparkSession), "place").sortWithinPartitions("place", "label", "id")
+    return looked.filter("a is not null").select("a", "b").unionByName(met.mapInPandas(meet_ends, "a long, b long")).distinct()
 
 
 def _across_tiles(rows: DataFrame) -> DataFrame:
@@ -289,46 +326,30 @@ def _across_tiles(rows: DataFrame) -> DataFrame:
     return as_row.unionByName(as_minor).groupBy(*key, "tile", "minor_tile").applyInPandas(compare, "id long, minor boolean")
 
 
-def undecided(candidates: DataFrame, owners: DataFrame) -> DataFrame:
-    """id, minor: both ends of every candidate (a, b) whose components still differ; minor is the end of the smaller one.
-
-    owners: id, component.
-    """
-    sizes = owners.groupBy("component").agg(F.count("*").alias("n"))
-    known = owners.join(sizes, "component").select("id", F.struct("n", "component").alias("of"))
-    both = (
-        candidates.select("a", "b")
-        .join(known.select(F.col("id").alias("a"), F.col("of").alias("of_a")), "a")
-        .join(known.select(F.col("id").alias("b"), F.col("of").alias("of_b")), "b")
-        .filter("of_a.component <> of_b.component")
-    )
-    ends = F.array(
-        F.struct(F.col("a").alias("id"), (F.col("of_a") < F.col("of_b")).alias("minor")),
-        F.struct(F.col("b").alias("id"), (F.col("of_b") < F.col("of_a")).alias("minor")),
-    )
-    return both.select(F.inline(ends)).groupBy("id").agg(F.max("minor").alias("minor"))
-
-
 def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: pairs of contested documents (id, component, minor) of different components, one of them minor,
-    that may be similar.
+    """a, b: pairs of contested documents (id, component, minor, sketch) of different components, one of them minor,
+    whose sketches agree and that may be similar.
 
     Sets that share enough also share one of the rarest shingles of both: of a set of k, those that are left
     when ceil(percent * k / 100) - 1 of the most frequent go. So no similar pair is lost, and copies of one text that differ
     too much hardly meet, as their rarest shingles are their own.
     """
 
+    words = [f"s{i}" for i in range(SKETCH // 4)]
+    sketch = [F.conv(F.hex(F.substring("sketch", 1 + 4 * i, 4)), 16, 10).cast("long").alias(w) for i, w in enumerate(words)]
+    contested = contested.select("id", "component", "minor", *sketch)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 500):
                 rows = batch.iloc[start : start + 500]
                 sets = [shingle_set(t, n) for t in rows["text"]]
                 sizes = np.array([len(s) for s in sets])
-                out = rows[["id", "component", "minor"]].loc[rows.index.repeat(sizes)]
+                out = rows[["id", "component", "minor", *words]].loc[rows.index.repeat(sizes)]
                 yield out.assign(size=np.repeat(sizes, sizes), shingle=np.concatenate(sets).view(np.int64))
 
     rows = contested.join(texts, "id").mapInPandas(
-        cut, "id long, component long, minor boolean, size int, shingle long"
+        cut, f"id long, component long, minor boolean, {', '.join(f'{w} long' for w in words)}, size int, shingle long"
     )
     cut_rows = stored(rows, "shingles")
     shared = cut_rows.groupBy("shingle").agg(F.count("*").alias("documents"))
@@ -336,9 +357,15 @@ def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -
     left = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
     rare = Window.partitionBy("id").orderBy("documents", "shingle")
     prefix = known.withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= left)
-    prefix = stored(prefix.filter("documents > 1").select("id", "component", "minor", "size", "shingle"), "prefixes")
-    minor = prefix.filter("minor").select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("id", "component", "size")])
-    alike = (100 * F.least("size", "m_size") >= percent * F.greatest("size", "m_size")) & (F.col("component") != F.col("m_component"))
+    prefix = stored(prefix.filter("documents > 1").drop("documents", "place"), "prefixes")
+    minor = prefix.filter("minor").select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("id", "component", "size", *words)])
+    # Bytes of two words that differ, as their high bits.
+    unlike = [f"bit_count(((((s{i} ^ m_s{i}) & {0x7F7F7F7F}L) + {0x7F7F7F7F}L) | (s{i} ^ m_s{i})) & {0x80808080}L)" for i in range(len(words))]
+    alike = (
+        (F.col("component") != F.col("m_component"))
+        & (100 * F.least("size", "m_size") >= percent * F.greatest("size", "m_size"))
+        & (F.expr(" + ".join(unlike)) <= SKETCH - AGREE)
+    )
     met = prefix.join(minor, "shingle").filter(alike)
     return met.select(F.greatest("id", "m_id").alias("a"), F.least("id", "m_id").alias("b")).distinct()
 
@@ -388,10 +415,11 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = SIMILAR) -> DataFrame
     labelled = sets.join(members, "id").join(owners.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     labelled = stored(labelled, "labelled")
-    belongs = labelled.select("id", "component").distinct()
-    met = across(in_orders(labelled, "component")).unionByName(undecided(candidates, belongs))
-    contested = met.groupBy("id").agg(F.max("minor").alias("minor")).join(belongs, "id")
-    more = confirmed(prefix_pairs(contested, texts, n, percent), texts, n, percent)
+    looked = looked_across(in_orders(labelled, "component"))
+    known = labelled.groupBy("id").agg(F.first("component").alias("component"), F.first("sketch").alias("sketch"))
+    contested = across(looked).join(known, "id")
+    pairs = undecided(looked).unionByName(prefix_pairs(contested, texts, n, percent)).distinct()
+    more = confirmed(pairs, texts, n, percent)
     of = owners.select(F.col("node"), F.col("component"))
     joined = (
         more.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left")
