@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftgauge.llm.common import BLOCK_CHARACTERS, blocks
+from shiftgauge.llm.common import BLOCK_CHARACTERS, blocks, held
 
 #: The character of byte b is chr(FIRST_CHARACTER + b).
 FIRST_CHARACTER = 0x100
@@ -156,13 +156,8 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def _coder(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(read_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    return held(("byte BPE", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def encode_ids(text: str | Column, path: str, pattern: str) -> Column:

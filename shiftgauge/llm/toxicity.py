@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftgauge.llm.common import held
 from shiftgauge.llm.labelled import held_out, labelled_sample
 
 WINDOW, STRIDE = 16, 8
@@ -448,20 +449,14 @@ def fit_calibrated(texts: list[str], labels: list[int], sizes: dict[int, int]) -
     return calibrated(net, part(texts, rest), part(labels, rest), {k: sizes[k] / taken[k] for k in sizes})
 
 
-#: The scorer of this worker, which keeps its words from task to task.
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score_column(net: Network, text: Column) -> Column:
     """Scores of whole texts, 0 to 1; null and empty texts and those without a word get 0."""
     name = hashlib.sha256(b"".join(net.w[k].tobytes() for k in sorted(net.w))).hexdigest()
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(net)
-        return pd.Series(_SCORERS[name].score(list(texts)))
+        scorer = held(("toxicity", name), lambda: Scorer(net))  # keeps its words from task to task
+        return pd.Series(scorer.score(list(texts)))
 
     return score(text)
 
