@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftgauge.functions.workers import importable
 from shiftgauge.operators.files import ScanConfig, is_listed
 
 #: Bytes of literals that one pass over the files looks for, one literal at least.
@@ -184,6 +185,7 @@ def _counted(files: DataFrame, block: dict[bytes, list[str]]) -> DataFrame:
                 )
                 start = stop
 
+    importable(files.sparkSession)
     rows = files.select("project_id", "path", F.col("content").cast("binary").alias("content"))
     return rows.mapInArrow(look, "project_id string, path string, framework string, hits long")
 

@@ -12,7 +12,6 @@ import os
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -35,6 +34,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from shiftgauge.functions import fixed_values as fixed
+from shiftgauge.functions.workers import importable
 from shiftgauge.operators.files import ScanConfig
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -55,10 +55,7 @@ def _filesystem(location: str) -> tuple[pafs.FileSystem, str]:
 
 def _prepared(spark: SparkSession) -> None:
     """Register the sources, and let the tasks import this package from where the driver has it."""
-    environment, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if home not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    importable(spark)
     spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(CheckoutSource)
     spark.dataSource.register(TreeSink)
@@ -232,6 +229,7 @@ def read_contents(listed: DataFrame, root: str, tasks: int | None = None) -> Dat
             if contents:
                 yield batch.slice(start, len(contents)).append_column("content", pa.array(contents, pa.binary()))
 
+    importable(listed.sparkSession)
     keys = ["project_id", "path"]
     narrow = listed.select(*keys, *[c for c in listed.columns if c not in (*keys, "bytes", "modified", "content")])
     dealt = narrow.repartition(tasks, *keys) if tasks else narrow.repartition(*keys)

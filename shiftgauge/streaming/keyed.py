@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shiftgauge.functions import fixed_values as fixed
+from shiftgauge.functions.workers import importable
 from shiftgauge.operators import features
 from shiftgauge.operators.files import ScanConfig
 from shiftgauge.streaming.tallies import shared_checkpoint
@@ -57,6 +58,7 @@ def file_differences(events: DataFrame, config: ScanConfig, signatures: features
     numbers = F.array(*[F.expr(sql).cast("long") for sql in features.tally_numbers(signatures).values()])
     none = F.array_repeat(F.lit(0).cast("long"), len(names))
     narrow = found.select("project_id", "path", "version", F.when(F.col("deleted"), none).otherwise(numbers).alias("numbers"))
+    importable(events.sparkSession)
     changes = narrow.groupBy("project_id", "path").applyInPandasWithState(
         change, "project_id string, change array<long>", "version long, numbers array<long>", "append", GroupStateTimeout.NoTimeout
     )
