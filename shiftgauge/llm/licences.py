@@ -29,7 +29,10 @@ MOST_COMMON = 0.01
 STEPS, RATE, SPARSE = 300, 0.3, 1e-4
 #: A statement begins its last line within so many words, twice those of the longest template; in as many lines at most.
 STATEMENT_WORDS = 42
-BLANK_LINE = r"\n[ \t\r]*(\n|\z)"
+#: What tells documents apart; the hash of the text also does so for null and repeated ids.
+DOCUMENT = ("doc_id", "text_key")
+#: Lines of a text that are cut into windows at a time.
+CHUNK_LINES = 64
 
 # Phrases by which licences are stated.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -38,28 +41,58 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "licensed under the mit license",
         "this project is licensed under the terms of the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability",
+        "spdx-license-identifier mit",
+    ),
+    "isc": (
+        "released under the isc license",
+        "licensed under the isc license",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "spdx-license-identifier isc",
+    ),
+    "epl": (
+        "licensed under the eclipse public license 2.0",
+        "made available under the terms of the eclipse public license v. 2.0",
+        "spdx-license-identifier epl-2.0",
     ),
     "apache": (
         "licensed under the apache license version 2.0",
         "released under the apache license 2.0",
         "you may not use this file except in compliance with the license",
         "you may obtain a copy of the license at http www.apache.org licenses license-2.0",
+        "spdx-license-identifier apache-2.0",
     ),
     "gpl": (
         "this work is licensed under the gnu general public license version 3",
         "licensed under the gnu general public license version 2",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+        "spdx-license-identifier gpl-3.0-or-later",
+        "spdx-license-identifier gpl-2.0-only",
+    ),
+    "lgpl": (
         "licensed under the gnu lesser general public license",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+        "spdx-license-identifier lgpl-2.1-or-later",
+        "spdx-license-identifier lgpl-3.0-only",
+    ),
+    "agpl": (
         "licensed under the gnu affero general public license",
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license",
+        "spdx-license-identifier agpl-3.0-or-later",
     ),
     "bsd": (
         "licensed under the bsd 3-clause license",
         "released under the bsd 2-clause license",
         "redistribution and use in source and binary forms with or without modification are permitted",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "spdx-license-identifier bsd-3-clause",
+        "spdx-license-identifier bsd-2-clause",
     ),
     "mpl": (
         "licensed under the mozilla public license version 2.0",
         "this source code form is subject to the terms of the mozilla public license v. 2.0",
+        "spdx-license-identifier mpl-2.0",
     ),
     "cc-by-nc": (
         "licensed under cc by-nc 4.0",
@@ -77,6 +110,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "this is free and unencumbered software released into the public domain",
     ),
 }
+#: Before these words of a template, "not" denies it: such wordings are other text.
+DENIED = ("licensed", "released")
 WORD_CHARACTERS = "a-z0-9.+-"
 
 
@@ -88,15 +123,20 @@ def python_words(text: str) -> list[str]:
 
 def licence_words(text: Column) -> Column:
     """Words of letters, digits, dots and signs in lower case, without dots or hyphens at their ends."""
-    spaced = F.regexp_replace(F.lower(text), f"[^{WORD_CHARACTERS}]+", " ")
-    ended = F.trim(F.regexp_replace(spaced, r"[.-]+( |$)", "$1"))
-    return F.split(ended, " +")
+    runs = F.split(F.lower(text), f"[^{WORD_CHARACTERS}]+")
+    return F.filter(F.transform(runs, lambda w: F.rtrim(w, F.lit(".-"))), lambda w: w != "")
 
 
 def python_grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in ORDERS for i in range(len(words) - n + 1)}
 
 
+def denied(words: list[str]) -> list[str]:
+    """The statement with "not" before its verb; no words if it has none of DENIED."""
+    at = next((i for i, w in enumerate(words) if w in DENIED), None)
+    return [] if at is None else [*words[:at], "not", *words[at:]]
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     """weights: a row for each n-gram of the templates, a column for each family; other text scores 0."""
@@ -117,13 +157,15 @@ def fit(others: list[str], seed: int = 5) -> LicenceModel:
     """Fit on variants of the templates and on paragraphs of other text.
 
     Variants lose words, stand within other text, or follow it, so that wordings near the templates count;
-    other text includes templates' words out of order. A fifth of all is kept for the temperature.
+    other text includes templates' words out of order and denied templates. A fifth of all is kept for the temperature.
     """
     draw = np.random.default_rng(seed)
     families = tuple(TEMPLATES)
     filler = [w for w in map(python_words, others) if w] or [["other", "text"]]
     common = Counter(g for w in filler for g in python_grams(w))
-    stated = {g for texts in TEMPLATES.values() for t in texts for g in python_grams(python_words(t))}
+    templates = [python_words(t) for texts in TEMPLATES.values() for t in texts]
+    stated = {g for words in templates for g in python_grams(words)}
+    stated |= {g for words in templates for g in python_grams(denied(words)) if g.startswith("not ")}
     grams = tuple(sorted(g for g in stated if common[g] <= MOST_COMMON * len(filler)))
     number = {g: i for i, g in enumerate(grams)}
     examples: list[tuple[list[str], int]] = []
@@ -137,6 +179,8 @@ def fit(others: list[str], seed: int = 5) -> LicenceModel:
                 examples.append(([kept, around[:cut] + kept, kept + around[:cut]][draw.integers(3)], label))
                 mixed = [w for w in draw.permutation(words).tolist() if draw.random() > 0.5]
                 examples.append((around[:cut] + mixed, len(families)))
+                if denied(words):
+                    examples.append((around[:cut] + denied(kept), len(families)))
     examples += [(w, len(families)) for w in filler]
     x = np.zeros((len(examples), len(grams)))
     for row, (words, _) in enumerate(examples):
@@ -211,32 +255,66 @@ def word_grams(words: str, firsts: list[str]) -> Column:
     )))
 
 
-def statement_windows(rows: DataFrame) -> DataFrame:
-    """doc_id, paragraph, last, part, words: runs of lines of one paragraph, by the numbers of the first and the last.
+def text_chunks(rows: DataFrame) -> DataFrame:
+    """Keys of rows, at, lines: the words of the lines from `at` on, null for blank lines.
 
-    A run takes further lines while it has fewer than STATEMENT_WORDS words. Longer runs are cut into parts of twice
-    STATEMENT_WORDS words that overlap by half.
+    Texts are cut into chunks of CHUNK_LINES lines, with those that statements in them reach, so that no row
+    but the text's own holds all of it.
     """
-    lines = rows.select("doc_id", F.split("text", "\n").alias("lines"))
-    begun = lines.select("doc_id", "lines", F.posexplode("lines").alias("paragraph", "line")).filter(F.col("line").rlike("[^ \\t\\r]"))
-    ahead = F.array_join(F.slice("lines", F.col("paragraph") + 1, STATEMENT_WORDS), "\n")
-    run = F.split(F.split(ahead, BLANK_LINE, 2)[0], "\n")
-    cut = begun.select("doc_id", "paragraph", F.explode(F.array(F.transform(run, lambda x: F.filter(licence_words(x), lambda w: w != "")))).alias("run"))
-    before = lambda more: F.size(F.flatten(F.slice("run", 1, more)))
-    wide = cut.select("*", F.explode(F.sequence(F.lit(0), F.size("run") - 1)).alias("more")).filter(
-        before(F.col("more")) < STATEMENT_WORDS
-    )
-    runs = wide.select(
-        "doc_id", "paragraph", (F.col("paragraph") + F.col("more")).alias("last"),
-        F.flatten(F.slice("run", 1, F.col("more") + 1)).alias("whole"),
+    keys = [c for c in rows.columns if c != "text"]
+    with_lines = lambda cut: F.transform(F.array(F.split("text", "\n")), cut)[0]  # noqa: E731 - splits once
+    chunks = rows.select(*keys, F.explode(with_lines(lambda lines: F.transform(
+        F.sequence(F.lit(0), F.size(lines) - 1, F.lit(CHUNK_LINES)),
+        lambda at: F.struct(at.alias("at"), F.slice(lines, at + 1, CHUNK_LINES + STATEMENT_WORDS).alias("lines")),
+    ))).alias("chunk"))
+    worded = F.transform("chunk.lines", lambda x: F.when(x.rlike("[^ \\t\\r]"), licence_words(x)))
+    return chunks.select(*keys, F.col("chunk.at").alias("at"), worded.alias("lines"))
+
+
+def statement_windows(cut: DataFrame, firsts: list[str]) -> DataFrame:
+    """Keys of chunks, paragraph, last, part, words: runs of lines of one paragraph, by the numbers of the first and the last.
+
+    Runs begin at lines with a word of `firsts`; without the others before it, a run holds the same known n-grams.
+    A run takes further lines while it has fewer than STATEMENT_WORDS words, and 2 * STATEMENT_WORDS words of each of
+    these at most: a statement that reaches further into a line begins in it. Longer runs are cut into parts of
+    twice STATEMENT_WORDS words that overlap by half.
+    """
+    keys = [c for c in cut.columns if c not in ("at", "lines")]
+    begins = F.filter(
+        F.sequence(F.lit(0), F.least(F.size("lines"), F.lit(CHUNK_LINES)) - 1),
+        lambda i: F.exists(F.get("lines", i), lambda w: w.isin(firsts)),
     )
-    starts = F.sequence(F.lit(1), F.greatest(F.size("whole") - STATEMENT_WORDS, F.lit(1)), F.lit(STATEMENT_WORDS))
-    parts = runs.select("doc_id", "paragraph", "last", "whole", F.posexplode(starts).alias("part", "start"))
-    return parts.select("doc_id", "paragraph", "last", "part", F.slice("whole", F.col("start"), 2 * STATEMENT_WORDS).alias("words"))
+    nothing = F.array().cast("array<array<string>>")
+
+    def run(i: Column) -> Column:
+        """The lines from i on that a statement which begins there can reach."""
+        begun = F.struct(nothing.alias("lines"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def take(so_far: Column, line: Column) -> Column:
+            more = so_far["open"] & line.isNotNull() & (so_far["n"] < STATEMENT_WORDS)
+            held = F.when(F.size(so_far["lines"]) == 0, line).otherwise(F.slice(line, 1, 2 * STATEMENT_WORDS))
+            return F.when(more, F.struct(
+                F.concat(so_far["lines"], F.array(held)).alias("lines"), (so_far["n"] + F.size(line)).alias("n"), F.lit(True).alias("open"),
+            )).otherwise(F.struct(so_far["lines"].alias("lines"), so_far["n"].alias("n"), F.lit(False).alias("open")))
+
+        return F.aggregate(F.slice("lines", i + 1, STATEMENT_WORDS), begun, take)["lines"]
+
+    begun = cut.select(*keys, F.explode(F.transform(begins, lambda i: F.struct((F.col("at") + i).alias("paragraph"), run(i).alias("run")))).alias("b"))
+    runs = begun.select(*keys, "b.paragraph", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("b.run")),
+        lambda n: F.struct((F.col("b.paragraph") + n - 1).alias("last"), F.flatten(F.slice("b.run", 1, n)).alias("whole")),
+    )).alias("r"))
+    wide = runs.select(*keys, "paragraph", F.col("r.last").alias("last"), F.col("r.whole").alias("whole"))
+    # Runs over several lines are as long as their first part: further parts lie within their last line.
+    parts = F.when(F.col("last") > F.col("paragraph"), F.array(F.lit(1))).otherwise(
+        F.sequence(F.lit(1), F.greatest(F.size("whole") - STATEMENT_WORDS, F.lit(1)), F.lit(STATEMENT_WORDS))
+    )
+    sliced = F.transform(parts, lambda at: F.slice("whole", at, 2 * STATEMENT_WORDS))
+    return wide.select(*keys, "paragraph", "last", F.posexplode(sliced).alias("part", "words"))
 
 
 def matched_grams(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """doc_id, paragraph, last, part, gram, weights: the distinct n-grams of windows that have weights.
+    """DOCUMENT, paragraph, last, part, gram, weights: the distinct n-grams of windows that have weights.
 
     Texts none of whose templates is covered even by all their n-grams have no rows.
     """
@@ -244,35 +322,44 @@ def matched_grams(docs: DataFrame, model: LicenceModel) -> DataFrame:
     weighted = {g for g, w in zip(model.grams, model.weights, strict=True) if np.any(w)}
     firsts = sorted({g.split(" ")[0] for g in weighted})
     strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    stated = lambda words: F.array_distinct(F.filter(word_grams(words, firsts), lambda g: g.isin(sorted(weighted))))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    words = rows.select("doc_id", "text", F.explode(F.array(licence_words(F.col("text")))).alias("words"))
-    known = F.array_intersect(word_grams("words", firsts), strings(sorted(weighted)))
-    held = words.select("doc_id", "text", F.explode(F.array(known)).alias("known"))
-    covered = F.lit(False)
-    for template in sorted({t for texts in TEMPLATES.values() for t in texts}):
-        grams = sorted(python_grams(python_words(template)) & weighted)
-        if grams:
-            covered |= F.size(F.array_intersect("known", strings(grams))) >= LEAST_COVER * len(grams)
-    stating = held.filter((F.size("known") > 0) & covered).select("doc_id", "text")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    words = rows.select(*DOCUMENT, "text", F.explode(F.array(licence_words(F.col("text")))).alias("words"))
+    templates = [python_grams(python_words(t)) & weighted for texts in TEMPLATES.values() for t in texts]
+
+    def stating(held: DataFrame) -> DataFrame:
+        """Rows whose words can cover a template."""
+        covered = F.lit(False)
+        for grams in filter(None, templates):
+            covered |= F.size(F.array_intersect("known", strings(sorted(grams)))) >= LEAST_COVER * len(grams)
+        known = held.withColumn("known", F.explode(F.array(stated("words"))))
+        return known.filter((F.size("known") > 0) & covered).drop("known", "words")
+
+    chunks = text_chunks(stating(words))
+    # Most chunks of a long text state nothing.
+    chunks = stating(chunks.withColumn("words", F.explode(F.array(F.flatten(F.array_compact("lines"))))))
     return (
-        statement_windows(stating)
-        .select("doc_id", "paragraph", "last", "part", F.explode(word_grams("words", firsts)).alias("gram"))
-        .join(F.broadcast(weight_table(spark, model)), "gram")
+        statement_windows(chunks, firsts)
+        .select(*DOCUMENT, "paragraph", "last", "part", F.explode(stated("words")).alias("gram"))
         .distinct()
+        .join(F.broadcast(weight_table(spark, model)), "gram")
     )
 
 
 def smallest_windows(stated: DataFrame) -> DataFrame:
     """Of windows of one document and family that lie in or overlap one another, the smallest, or the first of these."""
-    first = stated.groupBy("doc_id", "paragraph", "family").agg(
+    first = stated.groupBy(*DOCUMENT, "paragraph", "family").agg(
         F.min(F.struct("last", (-F.col("cover")).alias("least"), (-F.col("probability")).alias("chance"))).alias("w")
     )
-    of = Window.partitionBy("doc_id", "family").orderBy("paragraph")
+    of = Window.partitionBy(*DOCUMENT, "family").orderBy("paragraph")
+    # From the last row on, so that the frame only grows.
+    after = Window.partitionBy(*DOCUMENT, "family").orderBy(F.desc("paragraph"))
     ends = first.select(
-        "doc_id", "paragraph", "family", F.col("w.last").alias("last"),
+        *DOCUMENT, "paragraph", "family", F.col("w.last").alias("last"),
         (-F.col("w.chance")).alias("probability"), (-F.col("w.least")).alias("cover"),
     )
-    inner = F.min("last").over(of.rowsBetween(1, Window.unboundedFollowing))
+    inner = F.min("last").over(after.rowsBetween(Window.unboundedPreceding, -1))
     least = ends.withColumn("inner", inner).filter(F.col("inner").isNull() | (F.col("inner") > F.col("last")))
     before = F.lag("last").over(of)
     return least.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") < F.col("paragraph")))
@@ -284,12 +371,13 @@ def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     `family` is predicted with LEAST_PROBABILITY or more, and one of its templates has LEAST_COVER or more of its
     n-grams in the paragraph; `cover` is the best such share. Other paragraphs are of the unknown class and have no
     row. `paragraph` is the number, from 0, of the line in which the statement begins; a statement may go over several
-    lines, up to a blank one. Null and empty texts have no paragraphs. Null doc_ids count as one document, and repeated
-    rows of a doc_id as one. Extra columns are left out; empty tables give no rows.
+    lines, up to a blank one. Null and empty texts have no paragraphs. Rows with the same doc_id, null or not, are
+    different documents if their texts differ, and one if they are equal. Extra columns are left out; empty tables
+    give no rows. Texts may be of any length that a row can hold, of few or many lines.
     """
     model = model or fit(other_paragraphs(docs))
     found = matched_grams(docs, model)
-    keys = ("doc_id", "paragraph", "last", "part")
+    keys = (*DOCUMENT, "paragraph", "last", "part")
     sums = [
         (F.sum(F.col("weights")[i]) + F.lit(float(model.bias[i]))).alias(f"score_{i}") for i in range(len(model.families))
     ]
@@ -308,7 +396,7 @@ def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     best = covers.groupBy(*keys, "family").agg(F.max("cover").alias("cover")).filter(F.col("cover") >= LEAST_COVER)
     of = best.select(*[F.col(k).alias(f"of_{k}") for k in (*keys, "family")], "cover")
     same = F.col("doc_id").eqNullSafe(F.col("of_doc_id"))
-    for k in (*keys[1:], "family"):
+    for k in (*keys[1:], "family"):  # doc_id alone may be null
         same &= F.col(k) == F.col(f"of_{k}")
     return smallest_windows(predicted.join(of, same)).select(
         "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family",

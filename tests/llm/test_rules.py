@@ -285,6 +285,100 @@ def test_licences_over_several_lines(spark):
     assert sorted(tuple(r)[:3] for r in licences.licences(df, model).collect()) == [(0, 0, "gpl"), (1, 2, "mit"), (2, 0, "bsd"), (3, 0, "gpl")]
 
 
+OTHERS = ["the quick brown fox of the house", "version two of that is for you", "a license to drive is not needed here"] * 20
+
+
+def judged(model, words):
+    """Family of a window by plain Python, or None."""
+    number = {g: i for i, g in enumerate(model.grams)}
+    weighted = {g for g, w in zip(model.grams, model.weights, strict=True) if np.any(w)}
+    found = licences.python_grams(words) & weighted
+    if not found:
+        return None
+    scores = np.append(sum(model.weights[number[g]] for g in found) + model.bias, 0) / model.temperature
+    chances = np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum()
+    family = model.families[int(chances[:-1].argmax())]
+    covers = [
+        len(found & g) / len(g)
+        for t in licences.TEMPLATES[family]
+        for g in [licences.python_grams(licences.python_words(t)) & weighted]
+        if g
+    ]
+    good = chances[model.families.index(family)] >= licences.LEAST_PROBABILITY and max(covers, default=0) >= licences.LEAST_COVER
+    return family if good else None
+
+
+def stated_lines(model, text):
+    """Line and family of every statement: of the runs of lines that state a family, those without a smaller one inside."""
+    lines = text.split("\n")
+    ends = {}
+    for start, line in enumerate(lines):
+        words = []
+        for last in range(start, len(lines)):
+            if not lines[last].strip(" \t\r") or len(words) >= licences.STATEMENT_WORDS:
+                break
+            words += licences.python_words(lines[last])
+            family = judged(model, words)
+            if family and (start, family) not in ends:
+                ends[start, family] = last
+    least = [
+        (start, family) for (start, family), last in ends.items()
+        if not any(f == family and s > start and e <= last for (s, f), e in ends.items())
+    ]
+    return {
+        (start, family) for start, family in least
+        if not any(f == family and s < start <= ends[s, f] and not any(f == family and s < x < start for x, f in least) for s, f in least)
+    }
+
+
+def test_licences_of_several_lines_by_brute_force(spark):
+    model = licences.fit(OTHERS)
+    draw = random.Random(6)
+    texts = []
+    for _ in range(25):
+        words = []
+        for _ in range(4):
+            words += draw.choice(draw.choice(list(licences.TEMPLATES.values()))).split(" ")
+            words += draw.choices(["the", "fox", "of", "house", "two", "\n"], k=draw.randrange(12))
+        texts.append("".join(w + draw.choice([" ", " ", " ", "\n"]) for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r)[:3] for r in licences.licences(df, model).collect()}
+    assert got == {(i, line, family) for i, t in enumerate(texts) for line, family in stated_lines(model, t)}
+    assert len(got) > 40
+
+
+def test_licences_are_told_apart_and_may_be_denied(spark):
+    lines = {
+        "not licensed under the MIT license": None,
+        "This file is not licensed under the Apache License, Version 2.0.": None,
+        "license plates and warranty of software": None,
+        "// SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: Apache-2.0": "apache",
+        "SPDX-License-Identifier: GPL-2.0-only": "gpl",
+        "Licensed under the ISC license": "isc",
+        "This is released under the Eclipse Public License 2.0": "epl",
+        "licensed under the GNU Lesser General Public License": "lgpl",
+        "licensed under the GNU Affero General Public License": "agpl",
+        "Licensed under the GNU General Public License version 2": "gpl",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO': "mit",
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licences.licences(df, licences.fit(OTHERS)).collect()}
+    assert got == {i: f for i, f in enumerate(lines.values()) if f}
+
+
+def test_licences_of_very_long_texts(spark):
+    """100,000 lines with one statement, a thousand statements, one line only, and equal and other texts of one id."""
+    plain, mit = "plain words of a longer line x\n", "Released under the MIT License.\n"
+    rows = [
+        (1, plain * 50_000 + mit + plain * 50_000), (2, mit * 1_000), (3, "plain words " * 10_000 + mit),
+        (None, mit), (None, mit), (None, "\n" + mit), (4, mit), (4, mit),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["paragraph"]) for r in licences.licences(df, licences.fit(OTHERS)).collect()))
+    assert got == [(0, 0), (0, 1), (1, 50_000), *((2, k) for k in range(1_000)), (3, 0), (4, 0)]
+
+
 def test_quotes_link_to_originals(spark):
     rows = [
         (1, 0, "user", "Shall we meet?\nOn Monday at  noon."),
