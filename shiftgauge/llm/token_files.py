@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftgauge.llm.common import BLOCK_CHARACTERS, blocks, partitions, shared_folder, stored
+from shiftgauge.llm.common import BLOCK_CHARACTERS, blocks, held, partitions, shared_folder, stored
 
 MAGIC = b"EFTOK001"
 #: Ones between two samples of the select structure.
 SAMPLE = 256
 #: Pieces without white space, and their parts, that a worker remembers; beyond it the memory is cleared,
 #: results stay the same.
-REMEMBERED, REMEMBERED_PARTS = 150_000, 400_000
+REMEMBERED, REMEMBERED_PARTS = 500_000, 400_000
 REMEMBERED_CHARACTERS = 64
 #: Ids that the reader holds at a time, one document at least.
 READ_IDS = 2_000_000
@@ -165,13 +165,8 @@ class Encoder:
         return [b"".join(map(get, pieces)) for pieces in found]
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return held(("token files", path), lambda: Encoder(path))
 
 
 def _filesystem(folder: str):
@@ -239,9 +234,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
                 out = files.open_output_stream(f"{attempt}.ids")
             texts = list(batch["text"])
             for start, stop in blocks([len(t or "") for t in texts], BLOCK_CHARACTERS):
-                for ids in encoder.encode(texts[start:stop]):
-                    out.write(ids + end)
-                    lengths.append(len(ids) // width + 1)
+                coded = encoder.encode(texts[start:stop])
+                out.write(end.join([*coded, b""]))
+                lengths += [len(ids) // width + 1 for ids in coded]
             doc_ids += [None if pd.isna(d) else int(d) for d in batch["doc_id"].astype(object)]
         if out is None:
             return
