@@ -119,6 +119,7 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.tokens = sorted(ranks, key=ranks.__getitem__)
+        self.token_bytes = pa.array(self.tokens, pa.large_binary())
         self.known: dict[str, bytes] = {}
         self.to_characters = {b: FIRST_CHARACTER + b for b in range(256)}
 
@@ -132,7 +133,9 @@ class ByteBpe:
         tokens += set(chain.from_iterable(found.values())).difference(self.known, tokens)
         mapped = [t.encode().decode("latin-1").translate(self.to_characters) for t in tokens]
         ids = self.processor.encode(mapped, num_threads=1)
-        learned = {t: struct.pack(f"<{len(i)}i", *i) for t, i in zip(tokens, ids, strict=True)}
+        packed = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
+        ends = [0, *(4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()]
+        learned = {t: packed[a:b] for t, a, b in zip(tokens, ends[:-1], ends[1:], strict=True)}
         known = self.known
         for piece, parts in found.items():
             learned[piece] = b"".join([learned[t] if t in learned else known[t] for t in parts])
@@ -152,8 +155,13 @@ class ByteBpe:
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in found]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Bytes of all ids, and the ends in them of the texts whose ids end at `ends`."""
+        if not len(ids):
+            return ends, b""
+        # An id outside the vocabulary raises here.
+        _, offsets, data = self.token_bytes.take(pa.array(ids)).buffers()
+        return np.frombuffer(offsets, np.int64, len(ids) + 1)[ends], data.to_pybytes()
 
 
 def _coder(path: str, pattern: str) -> ByteBpe:
@@ -182,9 +190,9 @@ def decode_ids(ids: str | Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         coder = _coder(path, pattern)
-        flat, ends = lists.flatten().to_numpy(), np.cumsum(np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy()]))
-        valid = lists.is_valid().to_pylist()
-        out = [coder.decode(flat[a:b].tolist()) if v else None for a, b, v in zip(ends[:-1], ends[1:], valid, strict=True)]
+        ends = np.cumsum(np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy()]))
+        cuts, data = coder.decode(lists.flatten().to_numpy(), ends)
+        out = [data[a:b] if v else None for a, b, v in zip(cuts[:-1].tolist(), cuts[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
         return pa.array(out, pa.binary())
 
     return decode(ids)
