@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftgauge.llm.common import held, partitions, stored
@@ -30,14 +30,17 @@ SIMILAR = 80
 SIGNATURE, ORDERS, LEVELS = 96, 24, 8
 #: Places of the signature between the starts of two orders.
 STEP = SIGNATURE // ORDERS
-#: Bytes of a sketch, and how many must agree: at a similarity of 0.8 fewer do so once in about 300,000 pairs.
-SKETCH, AGREE = 32, 14
+#: A sketch keeps four bits of each minimum; so many minima must agree: at a similarity of 0.8 fewer do so once in about
+#: two million pairs, at 0.5 so many do so once in 100.
+SKETCH, AGREE = SIGNATURE // 2, 58
+#: The lowest bit of every four.
+LOWEST_OF_FOUR = 0x1111111111111111
 #: Levels that neighbours share at least, rows that are looked back over, and neighbours that a row takes at first.
 SHALLOW, LOOK_BACK, TAKEN = 2, 32, 3
 #: Best neighbours of a document that are confirmed before components are formed.
 BEST = 2
-#: A region has REGION_LEVELS common levels, whatever its size; runs for other uses are cut deeper above REGION_ROWS.
-REGION_LEVELS, REGION_ROWS = 3, 512
+#: A region has REGION_LEVELS common levels, whatever its size.
+REGION_LEVELS = 3
 #: Rows of a region, and rows outside its largest component, that one task compares at a time.
 TILE_ROWS = 4096
 
@@ -88,6 +91,28 @@ def signature(found: np.ndarray) -> np.ndarray:
     return best
 
 
+def sketch_of(best: np.ndarray) -> bytes:
+    """Four bits of each minimum, two minima a byte."""
+    bits = (best >> np.uint32(3)).astype(np.uint8) & np.uint8(15)
+    return (bits[0::2] | bits[1::2] << np.uint8(4)).tobytes()
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima agree, of sketches as rows of 64-bit numbers."""
+    unlike = a ^ b
+    unlike |= unlike >> np.uint64(1)
+    unlike |= unlike >> np.uint64(2)
+    return SIGNATURE - np.bitwise_count(unlike & np.uint64(LOWEST_OF_FOUR)).sum(axis=-1, dtype=np.int64)
+
+
+def unlike_column(a: str, b: str) -> Column:
+    """How many minima differ, of two columns of 64-bit numbers."""
+    halves = F.col(a).bitwiseXOR(F.col(b))
+    halves = halves.bitwiseOR(F.shiftrightunsigned(halves, 1))
+    halves = halves.bitwiseOR(F.shiftrightunsigned(halves, 2))
+    return F.bit_count(halves.bitwiseAND(F.lit(LOWEST_OF_FOUR)))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
@@ -106,9 +131,8 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                     continue
                 best = signature(found)
                 levels = best.astype(np.uint16).astype(">u2")
-                sketch = (best[1 :: SIGNATURE // SKETCH] >> np.uint32(3)).astype(np.uint8)
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                rows.append((len(found), key, np.append(levels, levels[:LEVELS]).tobytes(), sketch.tobytes()))
+                rows.append((len(found), key, np.append(levels, levels[:LEVELS]).tobytes(), sketch_of(best)))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "levels", "sketch"], index=batch.index)
             yield pd.concat([batch[["doc_id"]], out], axis=1)
 
@@ -126,10 +150,14 @@ def in_orders(sets: DataFrame, *more: str) -> DataFrame:
 
 
 def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place and label of rows as LEVELS + 1 numbers, sketches, ids."""
+    """Place and label of rows as LEVELS + 1 numbers, sketches as 64-bit numbers, ids."""
     labels = np.frombuffer(b"".join(rows["label"]), ">u2").reshape(len(rows), LEVELS).astype(np.uint16)
     paths = np.concatenate([rows["place"].to_numpy(np.uint16)[:, None], labels], axis=1)
-    return paths, np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH), rows["id"].to_numpy(np.int64)
+    return paths, _sketches(rows), rows["id"].to_numpy(np.int64)
+
+
+def _sketches(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), SKETCH // 8)
 
 
 def neighbours(ordered: DataFrame) -> DataFrame:
@@ -166,7 +194,7 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = np.flatnonzero(shared & (taken[lag:] < TAKEN)) + lag
             if not len(at):
                 continue
-            agree = (sketches[at] == sketches[at - lag]).sum(axis=1)
+            agree = agreeing(sketches[at], sketches[at - lag])
             at, agree = at[agree >= AGREE], agree[agree >= AGREE]
             taken[at] += 1
             if len(at):
@@ -184,17 +212,11 @@ def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "agree": agree.astype(np.int32)})
 
 
-def regions(
-    paths: np.ndarray, start: int, stop: int, depth: int = REGION_LEVELS, most: int = REGION_ROWS
-) -> Iterator[tuple[int, int]]:
-    """Runs of rows with `depth` common levels, cut at deeper levels while they have more than `most` rows."""
-    changed = (paths[start + 1 : stop, : depth + 1] != paths[start : stop - 1, : depth + 1]).any(axis=1)
-    cuts = [start, *(np.flatnonzero(changed) + start + 1).tolist(), stop]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a > most and depth < LEVELS:
-            yield from regions(paths, a, b, depth + 1, most)
-        elif b - a > 1:
-            yield a, b
+def regions(paths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of two rows or more with REGION_LEVELS common levels."""
+    changed = (paths[1:, : REGION_LEVELS + 1] != paths[:-1, : REGION_LEVELS + 1]).any(axis=1)
+    cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), len(paths)]
+    yield from ((a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1)
 
 
 def meet(sketches: np.ndarray, owners: np.ndarray, minors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +224,7 @@ def meet(sketches: np.ndarray, owners: np.ndarray, minors: np.ndarray) -> tuple[
     met, minor = np.zeros(len(owners), bool), np.zeros(len(owners), bool)
     for i in minors:
         others = np.flatnonzero(owners != owners[i])
-        agree = (sketches[others] == sketches[i]).sum(axis=1) >= AGREE
+        agree = agreeing(sketches[others], sketches[i]) >= AGREE
         if agree.any():
             met[others[agree]] = True
             met[i] = minor[i] = True
@@ -216,7 +238,7 @@ def apart(paths: np.ndarray, sketches: np.ndarray, ids: np.ndarray, owners: np.n
     for lag in range(1, min(LOOK_BACK, len(ids) - 1) + 1):
         shared = (paths[lag:, : SHALLOW + 1] == paths[:-lag, : SHALLOW + 1]).all(axis=1) & (owners[lag:] != owners[:-lag])
         at = np.flatnonzero(shared & (taken[lag:] < TAKEN)) + lag
-        at = at[(sketches[at] == sketches[at - lag]).sum(axis=1) >= AGREE]
+        at = at[agreeing(sketches[at], sketches[at - lag]) >= AGREE]
         taken[at] += 1
         found.append(_pairs(ids[at], ids[at - lag], at))
     return pd.concat(found)[["a", "b"]].drop_duplicates()
@@ -239,7 +261,7 @@ def looked_across(ordered: DataFrame) -> DataFrame:
         met, minor, later = (np.zeros(len(rows), bool) for _ in range(3))
         key = paths[:, : REGION_LEVELS + 1]
         later[(key == key[0]).all(axis=1) | (key == key[-1]).all(axis=1)] = True
-        for start, stop in regions(paths, 0, len(rows), most=len(rows)):
+        for start, stop in regions(paths):
             if later[start]:
                 continue
             own = owners[start:stop]
@@ -319,8 +341,7 @@ def _across_tiles(rows: DataFrame) -> DataFrame:
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), SKETCH)
-        met, minor = meet(sketches, group["component"].to_numpy(np.int64), np.flatnonzero(group["seeks"].to_numpy(bool)))
+        met, minor = meet(_sketches(group), group["component"].to_numpy(np.int64), np.flatnonzero(group["seeks"].to_numpy(bool)))
         return pd.DataFrame({"id": group["id"].to_numpy(np.int64)[met], "minor": minor[met]})
 
     return as_row.unionByName(as_minor).groupBy(*key, "tile", "minor_tile").applyInPandas(compare, "id long, minor boolean")
@@ -331,13 +352,13 @@ def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -
     whose sketches agree and that may be similar.
 
     Sets that share enough also share one of the rarest shingles of both: of a set of k, those that are left
-    when ceil(percent * k / 100) - 1 of the most frequent go. So no similar pair is lost, and copies of one text that differ
-    too much hardly meet, as their rarest shingles are their own.
+    when ceil(percent * k / 100) - 1 of the most frequent go. Both are in the same order, so where the first shingle that
+    two similar sets share stands in them, enough others follow in either. So no similar pair is lost, and copies of one
+    text that differ too much hardly meet, as their rarest shingles are their own.
     """
 
-    words = [f"s{i}" for i in range(SKETCH // 4)]
-    sketch = [F.conv(F.hex(F.substring("sketch", 1 + 4 * i, 4)), 16, 10).cast("long").alias(w) for i, w in enumerate(words)]
-    contested = contested.select("id", "component", "minor", *sketch)
+    words = [f"s{i}" for i in range(SKETCH // 8)]
+    contested = contested.select("id", "component", "minor", "sketch")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -345,7 +366,8 @@ def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -
                 rows = batch.iloc[start : start + 500]
                 sets = [shingle_set(t, n) for t in rows["text"]]
                 sizes = np.array([len(s) for s in sets])
-                out = rows[["id", "component", "minor", *words]].loc[rows.index.repeat(sizes)]
+                sketches = pd.DataFrame(_sketches(rows).view(np.int64), columns=words, index=rows.index)
+                out = pd.concat([rows[["id", "component", "minor"]], sketches], axis=1).loc[rows.index.repeat(sizes)]
                 yield out.assign(size=np.repeat(sizes, sizes), shingle=np.concatenate(sets).view(np.int64))
 
     rows = contested.join(texts, "id").mapInPandas(
@@ -357,14 +379,17 @@ def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -
     left = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
     rare = Window.partitionBy("id").orderBy("documents", "shingle")
     prefix = known.withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= left)
-    prefix = stored(prefix.filter("documents > 1").drop("documents", "place"), "prefixes")
-    minor = prefix.filter("minor").select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("id", "component", "size", *words)])
-    # Bytes of two words that differ, as their high bits.
-    unlike = [f"bit_count(((((s{i} ^ m_s{i}) & {0x7F7F7F7F}L) + {0x7F7F7F7F}L) | (s{i} ^ m_s{i})) & {0x80808080}L)" for i in range(len(words))]
+    prefix = stored(prefix.filter("documents > 1").drop("documents"), "prefixes")
+    minor = prefix.filter("minor").select(
+        "shingle", *[F.col(c).alias(f"m_{c}") for c in ("id", "component", "size", "place", *words)]
+    )
+    unlike = [unlike_column(w, f"m_{w}") for w in words]
+    following = 1 + F.least(F.col("size") - F.col("place"), F.col("m_size") - F.col("m_place"))
     alike = (
         (F.col("component") != F.col("m_component"))
         & (100 * F.least("size", "m_size") >= percent * F.greatest("size", "m_size"))
-        & (F.expr(" + ".join(unlike)) <= SKETCH - AGREE)
+        & ((100 + percent) * following >= percent * (F.col("size") + F.col("m_size")))
+        & (sum(unlike[1:], unlike[0]) <= SIGNATURE - AGREE)
     )
     met = prefix.join(minor, "shingle").filter(alike)
     return met.select(F.greatest("id", "m_id").alias("a"), F.least("id", "m_id").alias("b")).distinct()

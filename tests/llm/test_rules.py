@@ -80,17 +80,36 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert found == [(0, 0, True), (0, 7, False), (0, 7, False), (7, 7, True), (7, 7, True)]
 
 
-def test_regions_are_cut_deeper_where_crowded():
+def test_regions_have_common_levels():
     paths = np.zeros((1000, 9), np.uint16)
-    paths[500:, 5] = 1
-    assert list(near_dedup.regions(paths, 0, 1000)) == [(0, 500), (500, 1000)]
-    assert list(near_dedup.regions(paths, 0, 100)) == [(0, 100)]
+    paths[500:, 5] = 1  # beyond the levels of a region
+    paths[900:, 2] = 1
+    paths[999, 0] = 1
+    assert list(near_dedup.regions(paths)) == [(0, 900), (900, 999)]
+
+
+def test_sketches_agree_as_their_minima():
+    draw = np.random.default_rng(4)
+    a = draw.integers(0, 1 << 32, near_dedup.SIGNATURE, dtype=np.uint32)
+    b = np.where(draw.random(near_dedup.SIGNATURE) < 0.5, a, draw.integers(0, 1 << 32, near_dedup.SIGNATURE, dtype=np.uint32))
+    both = np.array([np.frombuffer(near_dedup.sketch_of(x), "<u8") for x in (a, b)])
+    assert near_dedup.agreeing(both[:1], both[1]).tolist() == [int(((a >> 3 & 15) == (b >> 3 & 15)).sum())]
+    assert near_dedup.agreeing(both, both).tolist() == [near_dedup.SIGNATURE] * 2
+
+
+def test_counts_of_unlike_minima_in_columns(spark):
+    draw = np.random.default_rng(5)
+    a, b = (draw.integers(0, 1 << 64, (50, 1), dtype=np.uint64) for _ in range(2))
+    b[::2] ^= a[::2] & np.uint64(0xF0F0FF0000FF0000)
+    rows = np.concatenate([a, b], axis=1).view(np.int64).tolist()
+    df = spark.createDataFrame(rows, "a long, b long").select(near_dedup.unlike_column("a", "b").alias("n"))
+    assert [r["n"] for r in df.collect()] == (near_dedup.SIGNATURE - near_dedup.agreeing(a, b)).tolist()
 
 
 def test_far_documents_of_a_crowded_region_are_compared(spark):
     """A row outside the largest component meets every other row, however many stand between."""
     label = bytes(16)
-    near, far = bytes(32), bytes([1] * 32)
+    near, far = bytes(near_dedup.SKETCH), bytes([17] * near_dedup.SKETCH)
     rows = [(0, label, 1, far, 1)] + [(0, label, i, near, 2) for i in range(2, 900)] + [(0, label, 900, far, 900)]
     ordered = spark.createDataFrame(rows, "place int, label binary, id long, sketch binary, component long").coalesce(1)
     assert sorted(map(tuple, near_dedup.across(near_dedup.looked_across(ordered)).collect())) == [(1, True), (900, True)]
@@ -114,7 +133,7 @@ def test_near_copies_with_more_partitions_than_rows(spark, many_partitions):
 
 
 def test_regions_that_cross_partitions_are_whole(spark):
-    near, far = bytes(32), bytes([1] * 32)
+    near, far = bytes(near_dedup.SKETCH), bytes([17] * near_dedup.SKETCH)
     rows = [(0, bytes(16), 1, far, 1)] + [(0, bytes(16), i, near, 2) for i in range(2, 900)] + [(0, bytes(16), 900, far, 900)]
     ordered = spark.createDataFrame(rows, "place int, label binary, id long, sketch binary, component long").repartitionByRange(9, "id")
     assert sorted(map(tuple, near_dedup.across(near_dedup.looked_across(ordered)).collect())) == [(1, True), (900, True)]
@@ -122,16 +141,36 @@ def test_regions_that_cross_partitions_are_whole(spark):
 
 def test_crowded_regions_are_not_cut(spark):
     """Rows that agree on three levels meet, though 900 rows stand in their region and their further levels differ."""
-    near, far = bytes(32), bytes([1] * 32)
+    near, far = bytes(near_dedup.SKETCH), bytes([17] * near_dedup.SKETCH)
     rows = [(0, bytes(16), 1, far, 1)] + [(0, bytes(16), i, near, 2) for i in range(2, 900)] + [(0, bytes(8) + b"\1" * 8, 900, far, 900)]
     ordered = spark.createDataFrame(rows, "place int, label binary, id long, sketch binary, component long").coalesce(1)
     assert sorted(map(tuple, near_dedup.across(near_dedup.looked_across(ordered)).collect())) == [(1, True), (900, True)]
 
 
-def test_ends_of_candidates_that_were_not_confirmed_are_contested(spark):
-    candidates = spark.createDataFrame([(2, 1, 20), (9, 1, 20), (9, 8, 15), (4, 3, 20)], "a long, b long, agree int")
-    owners = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 8), (9, 9)], "id long, component long")
-    assert sorted(map(tuple, near_dedup.undecided(candidates, owners).collect())) == [(1, False), (8, True), (9, True)]
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_neighbours_of_different_components_are_undecided(spark, tasks):
+    """Also where they stand in different tasks; not those of one component, nor those whose sketches differ."""
+    near, far = bytes(near_dedup.SKETCH), bytes([17] * near_dedup.SKETCH)
+    rows = [(0, bytes(16), 1, near, 1), (0, bytes(16), 2, near, 1), (0, bytes(16), 3, near, 3), (0, bytes(16), 4, far, 4)]
+    ordered = spark.createDataFrame(rows, "place int, label binary, id long, sketch binary, component long").repartitionByRange(tasks, "id")
+    pairs = near_dedup.undecided(near_dedup.looked_across(ordered.sortWithinPartitions("place", "label", "id")))
+    assert sorted(map(tuple, pairs.collect())) == [(3, 1), (3, 2)]
+
+
+def test_similar_sets_of_one_region_meet_by_their_rarest_shingles(spark):
+    """All pairs of different components that are similar, of copies of many degrees."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w if draw.random() > share else f"x{draw.randrange(500)}" for w in words) for share in [0, 0.02, 0.04, 0.08, 0.2] * 12]
+    found = [near_dedup.shingle_set(t, 2) for t in texts]
+    sketches = [near_dedup.sketch_of(near_dedup.signature(f)) for f in found]
+    contested = spark.createDataFrame(
+        [(i, i, True, bytearray(s)) for i, s in enumerate(sketches)], "id long, component long, minor boolean, sketch binary"
+    )
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = {tuple(r) for r in near_dedup.prefix_pairs(contested, df, 2, 80).collect()}
+    true = {(a, b) for a in range(len(texts)) for b in range(a) if near_dedup.similar(found[a], found[b], 80)}
+    assert len(true) > 100 and true <= pairs
 
 
 def test_components_of_chains_stars_and_rings(spark):
