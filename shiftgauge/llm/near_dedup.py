@@ -232,11 +232,12 @@ def meet(sketches: np.ndarray, owners: np.ndarray, minors: np.ndarray) -> tuple[
 
 
 def apart(paths: np.ndarray, sketches: np.ndarray, ids: np.ndarray, owners: np.ndarray) -> pd.DataFrame:
-    """a, b: the TAKEN nearest of the LOOK_BACK rows before each row that are of another component, share SHALLOW levels and
-    whose sketches agree."""
+    """a, b: the TAKEN nearest of the LOOK_BACK rows before each row that are of another component, share SHALLOW levels but
+    no region, and whose sketches agree. Pairs of one region are left to `across`, which sees all of them."""
     taken, found = np.zeros(len(ids), np.int64), [_pairs(ids[:0], ids[:0], ids[:0])]
     for lag in range(1, min(LOOK_BACK, len(ids) - 1) + 1):
-        shared = (paths[lag:, : SHALLOW + 1] == paths[:-lag, : SHALLOW + 1]).all(axis=1) & (owners[lag:] != owners[:-lag])
+        same = paths[lag:, : REGION_LEVELS + 1] == paths[:-lag, : REGION_LEVELS + 1]
+        shared = same[:, : SHALLOW + 1].all(axis=1) & ~same.all(axis=1) & (owners[lag:] != owners[:-lag])
         at = np.flatnonzero(shared & (taken[lag:] < TAKEN)) + lag
         at = at[agreeing(sketches[at], sketches[at - lag]) >= AGREE]
         taken[at] += 1
@@ -247,7 +248,7 @@ def apart(paths: np.ndarray, sketches: np.ndarray, ids: np.ndarray, owners: np.n
 def looked_across(ordered: DataFrame) -> DataFrame:
     """Rows that a pass over the orders, whose rows know their component, hands out; the columns tell their kind.
 
-    a, b: near rows of different components (see `apart`). label: the first and last rows of a task, for the same
+    a, b: near rows of different components and regions (see `apart`). label: the first and last rows of a task, for the same
     across tasks. id, minor without region: documents that `across` has found. region: rows of the regions that it has to put together.
     """
 
@@ -300,7 +301,7 @@ def across(looked: DataFrame) -> DataFrame:
 
 
 def undecided(looked: DataFrame) -> DataFrame:
-    """a, b: neighbours of different components, within tasks and across their ends. At most TAKEN for each row."""
+    """a, b: neighbours of different components and regions, within tasks and across their ends. At most TAKEN for each row."""
 
     def meet_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [batch for batch in batches if len(batch)]
@@ -444,6 +445,7 @@ def near_dedup(docs: DataFrame, n: int = 5, percent: int = SIMILAR) -> DataFrame
     known = labelled.groupBy("id").agg(F.first("component").alias("component"), F.first("sketch").alias("sketch"))
     contested = across(looked).join(known, "id")
     pairs = undecided(looked).unionByName(prefix_pairs(contested, texts, n, percent)).distinct()
+    pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")  # those were looked at, and are not similar
     more = confirmed(pairs, texts, n, percent)
     of = owners.select(F.col("node"), F.col("component"))
     joined = (

@@ -149,12 +149,13 @@ def test_crowded_regions_are_not_cut(spark):
 
 @pytest.mark.parametrize("tasks", [1, 2])
 def test_neighbours_of_different_components_are_undecided(spark, tasks):
-    """Also where they stand in different tasks; not those of one component, nor those whose sketches differ."""
+    """Also where they stand in different tasks; not those of one component or region, nor those whose sketches differ."""
     near, far = bytes(near_dedup.SKETCH), bytes([17] * near_dedup.SKETCH)
-    rows = [(0, bytes(16), 1, near, 1), (0, bytes(16), 2, near, 1), (0, bytes(16), 3, near, 3), (0, bytes(16), 4, far, 4)]
+    label = [bytes([0, 0, 0, 0, 0, third]) + bytes(10) for third in range(4)]  # two common levels
+    rows = [(0, label[0], 1, near, 1), (0, label[1], 2, near, 1), (0, label[2], 3, near, 3), (0, label[2], 4, near, 4), (0, label[3], 5, far, 5)]
     ordered = spark.createDataFrame(rows, "place int, label binary, id long, sketch binary, component long").repartitionByRange(tasks, "id")
     pairs = near_dedup.undecided(near_dedup.looked_across(ordered.sortWithinPartitions("place", "label", "id")))
-    assert sorted(map(tuple, pairs.collect())) == [(3, 1), (3, 2)]
+    assert sorted(map(tuple, pairs.collect())) == [(3, 1), (3, 2), (4, 1), (4, 2)]
 
 
 def test_similar_sets_of_one_region_meet_by_their_rarest_shingles(spark):
