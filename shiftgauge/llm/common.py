@@ -25,9 +25,14 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, as a full URI; where that is unset, as in tests, below one of our own."""
+    """A new folder below spark.checkpoint.dir, as a full URI; where that is unset, as in tests, below one of our own.
+
+    On a cluster it must be set, as executors elsewhere do not see a folder of the driver.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="shared-"))
         root = _OWN[0]
@@ -43,6 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to be none of the columns; case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | Column) -> Column:
     """Words of a text as an array; null has none."""
     column = F.col(text) if isinstance(text, str) else text

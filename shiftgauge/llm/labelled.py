@@ -18,7 +18,7 @@ def labelled_sample(
     """Texts and grades, and the number of labelled rows of each grade; texts of at most `most_per_grade` rows of each grade that are not held out.
 
     grade: a whole number from the columns of labels; rows where it is null are left out. Rows are taken
-    in the order of a hash of their id, one per document; texts over `most_characters` characters are not
+    in the order of a hash of their id, one per document, with its greatest text if the id is repeated; texts over `most_characters` characters are not
     used for fitting. The sample is the same for the same tables, in an order that does not depend on
     partitions.
     """
@@ -36,6 +36,5 @@ def labelled_sample(
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     texts = texts.filter(F.col("text").isNotNull() & (F.length("text") <= most_characters))
     joined = texts.join(F.broadcast(taken), "doc_id")  # at most grades x most_per_grade rows of two numbers
-    rows = joined.collect()
-    once = {r["doc_id"]: (r["text"], r["grade"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}
-    return list(once.values()), sizes
+    once = joined.groupBy("doc_id", "grade").agg(F.max("text").alias("text"))  # repeats of an id end here, not on the driver
+    return [(r["text"], r["grade"]) for r in sorted(once.collect(), key=lambda r: r["doc_id"])], sizes

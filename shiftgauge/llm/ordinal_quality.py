@@ -179,12 +179,12 @@ def grade_texts(model: OrdinalModel, text: Column) -> Column:
     return grade(text)
 
 
-def kept(model: OrdinalModel, grade: int, least: float) -> Column:
-    """Whether the chance of `grade` or a higher one is at least `least`."""
+def kept(model: OrdinalModel, grade: int, least: float, graded: str = "graded") -> Column:
+    """Whether the chance of `grade` or a higher one is at least `least`; graded: the column of grade_texts."""
     cut = next((i for i, g in enumerate(model.grades[1:]) if g >= grade), None)
     if cut is None:  # no such cut was learnt: nothing speaks against a text
         return F.lit(True)
-    return F.coalesce(F.col("graded.tails")[cut] >= least, F.lit(False))
+    return F.coalesce(F.col(graded)["tails"][cut] >= least, F.lit(False))
 
 
 def ordinal_quality(

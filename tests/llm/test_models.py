@@ -1,5 +1,7 @@
 """The fitted operators: gradients, held-out accuracy, odd rows; the pipeline against its parts; SQL of the queries."""
 
+import zlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from shiftgauge.llm import ordinal_quality, queries, toxicity  # noqa: E402
+from shiftgauge.llm import common, ordinal_quality, queries, toxicity  # noqa: E402
 from shiftgauge.llm.labelled import held_out, labelled_sample  # noqa: E402
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -120,6 +122,56 @@ def test_fitted_queries_of_odd_rows(spark, empty):
         assert not any(r["predicted"] for r in scored) and all(r["kept"] for r in graded)
 
 
+def test_labelled_sample_takes_repeated_ids_once(spark):
+    docs = spark.createDataFrame([(4, t) for t in ("b", "c", "a", None)] * 50 + [(5, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0)], "doc_id long, mark int")
+    sample, sizes = labelled_sample(docs, labels, labels["mark"], 10, 100)
+    fitted = [i for i in (4, 5) if not zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sample == [{4: ("c", 1), 5: ("d", 0)}[i] for i in fitted] and sum(sizes.values()) == len(fitted) > 0
+
+
+def test_names_are_new(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "Key int, key_ int, other int")
+    assert common.new_name(df, "key") == "key__" and common.new_name(df, "mine") == "mine"
+
+
+def tables_with(spark, folder, docs):
+    """A folder with the small labels and benchmark, and the documents given."""
+    for name in ("labels", "benchmark"):
+        queries.table(spark, SMALL, name).write.parquet(f"{folder}/{name}.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls, repeats, ties, long texts and columns with the stages' own names: rows are judged by their text alone."""
+    small = queries.table(spark, SMALL, "documents").filter("text is not null").orderBy("doc_id").limit(60).collect()
+    item = max((r["text"] for r in queries.table(spark, SMALL, "benchmark").collect()), key=len)
+    plain = [" ".join(f"{w}{i}" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for i in range(4)]
+    rows = [(r["doc_id"], r["text"]) for r in small]
+    rows += [(None, plain[0]), (None, plain[0]), (7000, plain[1]), (7000, plain[1]), (7000, plain[2]), (None, plain[2])]
+    rows += [(None, None), (None, ""), (7001, None), (None, f"{plain[3]} {item}"), (7002, f"{plain[3]} {item}"), (7002, "word " * 60_000)]
+    schema = "doc_id long, text string, graded string, __score int, row_key int, Copy_Key int, copy_id string, component_id int, first int"
+    docs = spark.createDataFrame([(*r, "g", 1, 2, 3, "c", 4, 5) for r in rows], schema).repartition(3)
+    folder = tables_with(spark, tmp_path, docs)
+    texts = lambda df: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    copies = corpus_pipeline.copies_out(spark, docs, folder)
+    left = [r for r in texts(copies) if r[2] in (plain[0], plain[1], plain[2])]
+    assert left == [(False, 7000, plain[1]), (False, 7000, plain[2]), (True, 0, plain[0])]
+    assert sum(not r[2] for r in texts(copies)) == 3
+    clean = texts(corpus_pipeline.benchmark_out(spark, docs, folder))
+    assert not any(item in r[2] for r in clean) and (False, 7002, "word " * 60_000) in clean
+    assert [r for r in clean if r[2] in plain] == [r for r in texts(docs) if r[2] in plain]
+    assert sum(not r[2] for r in texts(corpus_pipeline.toxic_out(spark, docs, folder))) == 3
+    coded = corpus_pipeline.tokens(spark, docs, folder).collect()
+    assert len(coded) == len(rows) and sum(r["n_tokens"] == 0 for r in coded) == 3
+    assert all(r["exact"] for r in coded)
+
+
 def test_ordinal_model_orders_grades():
     draw = np.random.default_rng(3)
     texts, grades = [], []
