@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgauge.llm import byte_bpe, decontamination, near_dedup, ordinal_quality, toxicity
-from shiftgauge.llm.common import new_name, stored
+from shiftgauge.llm.common import new_name, rows_with, stored
 
 #: Documents whose chance of a rating above the lowest is less go.
 LEAST_QUALITY = 0.5
@@ -63,7 +63,7 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("copy_id").isNull().alias("without"), "copy_id", "copy_key")
     left = groups.join(ids, "copy_key").groupBy("component_id").agg(F.min(order).alias("first"))
     left = stored(left.select(F.col("first.copy_key").alias("copy_key")), "originals")
-    return rows.join(left, rows[key] == left["copy_key"], "left_semi").drop(key)
+    return rows_with(rows, key, left).drop(key)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows, key = _keyed(docs)
     found = decontamination.contained(rows.select(F.col(key).alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
     gone = stored(found.select(F.col("doc_id").alias("found_key")).distinct(), "contaminated")
-    return rows.join(gone, rows[key] == gone["found_key"], "left_anti").drop(key)
+    return rows_with(rows, key, gone, among=False).drop(key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

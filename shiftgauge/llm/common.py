@@ -48,6 +48,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Bitmaps of 4 KB that go to every task at most, 64 MB; beyond them rows and keys meet by a shuffle.
+MOST_BITMAPS = 16_384
+
+
+def rows_with(rows: DataFrame, key: str, keys: DataFrame, among: bool = True) -> DataFrame:
+    """The rows whose whole number `key` is among those of `keys`, a table of one column; those where it is not, if not `among`.
+
+    Rows do not move: the keys become bitmaps of 32,768 following numbers each, which are broadcast. So the numbers should lie close
+    together, as those of the rows of a stored table do.
+    """
+    number = keys.columns[0]
+    place, bits = F.bitmap_bit_position(number), F.bitmap_bucket_number(number)
+    marks = keys.select(bits.alias("marked_range"), place.alias("marked_place")).groupBy("marked_range")
+    marks = stored(marks.agg(F.bitmap_construct_agg("marked_place").alias("marks")), "bitmaps")
+    how = "left_semi" if among else "left_anti"
+    if marks.count() > MOST_BITMAPS:
+        return rows.join(keys, rows[key] == keys[number], how)
+    at = F.bitmap_bit_position(rows[key])
+    byte = F.conv(F.hex(F.substring(marks["marks"], F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return rows.join(F.broadcast(marks), (F.bitmap_bucket_number(rows[key]) == marks["marked_range"]) & marked, how)
+
+
 def new_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores after it as it takes to be none of the columns; case does not tell names apart."""
     taken = {c.lower() for c in df.columns}

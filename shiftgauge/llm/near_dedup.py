@@ -359,7 +359,12 @@ def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -
     """
 
     words = [f"s{i}" for i in range(SKETCH // 8)]
-    contested = contested.select("id", "component", "minor", "sketch")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                sketches = pd.DataFrame(_sketches(batch).view(np.int64), columns=words, index=batch.index)
+                yield pd.concat([batch[["id", "component", "minor"]], sketches], axis=1)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -367,20 +372,21 @@ def prefix_pairs(contested: DataFrame, texts: DataFrame, n: int, percent: int) -
                 rows = batch.iloc[start : start + 500]
                 sets = [shingle_set(t, n) for t in rows["text"]]
                 sizes = np.array([len(s) for s in sets])
-                sketches = pd.DataFrame(_sketches(rows).view(np.int64), columns=words, index=rows.index)
-                out = pd.concat([rows[["id", "component", "minor"]], sketches], axis=1).loc[rows.index.repeat(sizes)]
+                out = rows[["id"]].loc[rows.index.repeat(sizes)]
                 yield out.assign(size=np.repeat(sizes, sizes), shingle=np.concatenate(sets).view(np.int64))
 
-    rows = contested.join(texts, "id").mapInPandas(
-        cut, f"id long, component long, minor boolean, {', '.join(f'{w} long' for w in words)}, size int, shingle long"
-    )
-    cut_rows = stored(rows, "shingles")
+    split_words = ", ".join(f"{w} long" for w in words)
+    contested = contested.select("id", "component", "minor", "sketch")
+    contested = stored(contested.mapInPandas(split, f"id long, component long, minor boolean, {split_words}"), "contested")
+    cut_rows = contested.select("id").join(texts, "id").mapInPandas(cut, "id long, size int, shingle long")
+    cut_rows = stored(cut_rows, "shingles")
     shared = cut_rows.groupBy("shingle").agg(F.count("*").alias("documents"))
     known = cut_rows.join(shared, "shingle")
     left = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
     rare = Window.partitionBy("id").orderBy("documents", "shingle")
     prefix = known.withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= left)
-    prefix = stored(prefix.filter("documents > 1").drop("documents"), "prefixes")
+    prefix = prefix.filter("documents > 1").drop("documents")
+    prefix = stored(prefix.join(contested, "id"), "prefixes")  # sketches come in here: the rows before are many
     minor = prefix.filter("minor").select(
         "shingle", *[F.col(c).alias(f"m_{c}") for c in ("id", "component", "size", "place", *words)]
     )

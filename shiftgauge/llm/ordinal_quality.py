@@ -118,7 +118,9 @@ def fit(texts: list[str], grades: list[int]) -> OrdinalModel:
     levels = tuple(sorted(set(grades))) or (0,)
     if len(levels) == 1:
         return OrdinalModel(levels, np.zeros(BUCKETS, np.float32), np.zeros(0))
-    x = np.stack([features(t) for t in texts])
+    x = np.empty((len(texts), BUCKETS), np.float32)
+    for row, text in zip(x, texts, strict=True):
+        row[:] = features(text)
     y = np.searchsorted(levels, grades)
     n_cuts = len(levels) - 1
     reached = (y[:, None] > np.arange(n_cuts)).astype(np.float64)

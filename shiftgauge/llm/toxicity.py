@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -40,6 +41,8 @@ WORD_CHARACTERS, OVERLAP = 40, max(GRAMS) - 1
 TOXIC_FROM = 0.3
 #: Words that a worker remembers, windows that it scores at a time, and words that it cuts at a time.
 REMEMBERED, SCORED_WINDOWS, CUT_WORDS = 200_000, 2048, 500_000
+#: Words of the fit whose n-grams are summed up at a time.
+LEXICON_WORDS = 4096
 
 _words = re.compile(r"\w+").findall
 
@@ -188,18 +191,27 @@ class Lexicon:
 
     def __init__(self, texts: list[str]) -> None:
         self.number: dict[str, int] = {}
-        self.texts = [np.array([self.number.setdefault(w, len(self.number)) for w in text_words(t)], np.int64) for t in texts]
-        features = [word_features(w) for w in self.number]
-        self.bucket = np.array([f[0] for f in features], np.int64)
-        self.gram_counts = np.array([len(f[1]) for f in features], np.int64)
-        self.grams = np.fromiter(chain.from_iterable(f[1] for f in features), np.int64)
-        self.gram_words = np.repeat(np.arange(len(features)), self.gram_counts)
+        self.texts = [np.array([self.number.setdefault(w, len(self.number)) for w in text_words(t)], np.int32) for t in texts]
+        bucket, counts, grams = array("i"), array("i"), array("i")
+        for word in self.number:
+            own, found = word_features(word)
+            bucket.append(own)
+            counts.append(len(found))
+            grams.extend(found)
+        self.bucket, self.gram_counts = np.array(bucket, np.int64), np.array(counts, np.int64)
+        self.grams = np.array(grams, np.int32)
 
     def vectors(self, net: Network) -> np.ndarray:
         """Inputs of all words, and a row of zeros for places without a word."""
-        starts = np.concatenate([[0], np.cumsum(self.gram_counts)[:-1]])
-        means = np.add.reduceat(net.w["character"][self.grams], starts, axis=0) / self.gram_counts[:, None]
-        return np.vstack([net.w["word"][self.bucket] + means, np.zeros((1, INPUT), np.float32)]).astype(np.float32)
+        ends = np.cumsum(self.gram_counts)
+        starts = ends - self.gram_counts
+        out = np.zeros((len(starts) + 1, INPUT), np.float32)
+        for at in range(0, len(starts), LEXICON_WORDS):
+            part = slice(at, min(at + LEXICON_WORDS, len(starts)))
+            grams = net.w["character"][self.grams[starts[at] : ends[part.stop - 1]]]
+            means = np.add.reduceat(grams, starts[part] - starts[at], axis=0) / self.gram_counts[part, None]
+            out[part] = net.w["word"][self.bucket[part]] + means
+        return out
 
     def start_from_odds(self, net: Network, labels: np.ndarray) -> None:
         """Let the first input of words and n-grams begin as the log odds of their texts' labels, less where seen rarely."""
@@ -223,7 +235,7 @@ class Lexicon:
             starts = window_starts(len(text))
             if len(starts) > most:
                 starts = np.sort(draw.choice(starts, most, replace=False))
-            padded = np.append(text, np.full(WINDOW, absent))
+            padded = np.append(text, np.full(WINDOW, absent, np.int32))
             rows.append(padded[starts[:, None] + np.arange(WINDOW)])
             owners.append(np.full(len(starts), i))
         return np.concatenate(rows), np.concatenate(owners)
@@ -251,7 +263,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOCHS
         windows, owner = np.concatenate([toxic, clean]), np.concatenate([owner_toxic, owner_clean])
         vectors = lexicon.vectors(net)
         if epoch == 0:
-            scores = np.sort(vectors[windows][:, :, 0], axis=1)[:, -2:].sum(axis=1)
+            scores = np.sort(vectors[:, 0][windows], axis=1)[:, -2:].sum(axis=1)
         else:
             scores = score_windows(
                 net, vectors @ net.w["in_f"] + net.w["bias_f"], vectors @ net.w["in_b"] + net.w["bias_b"], windows, absent

@@ -1,5 +1,6 @@
 """The fitted operators: gradients, held-out accuracy, odd rows; the pipeline against its parts; SQL of the queries."""
 
+import tracemalloc
 import zlib
 
 import duckdb
@@ -172,6 +173,57 @@ def test_stages_of_odd_rows(spark, tmp_path):
     assert all(r["exact"] for r in coded)
 
 
+def test_stages_leave_whole_rows_where_they_are(spark, tmp_path, monkeypatch):
+    """Rows that stay are told by bitmaps, not by a shuffle of their texts; past the limit of bitmaps the rows are the same."""
+    docs = queries.table(spark, SMALL, "documents").repartition(3)
+    folder = tables_with(spark, tmp_path, docs)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (corpus_pipeline.copies_out, corpus_pipeline.benchmark_out):
+            left = stage(spark, docs, folder)
+            plan = left._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+            with monkeypatch.context() as limit:
+                limit.setattr(common, "MOST_BITMAPS", 0)
+                shuffled = stage(spark, docs, folder)
+                assert sorted(map(str, shuffled.collect())) == sorted(map(str, left.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_rows_with_numbers_of_several_bitmaps(spark):
+    numbers = [0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, (1 << 33) - 1, 1 << 33, (5 << 33) + 12]
+    rows = spark.createDataFrame([(n, str(n)) for n in [*numbers, *numbers[:2], None]], "row_key long, marks string")
+    for held in (numbers[::2], numbers[1::2], [], numbers):
+        keys = spark.createDataFrame([(n,) for n in held], "found long")
+        wanted = [n for n in [*numbers, *numbers[:2]] if n in held]
+        assert sorted(r["row_key"] for r in common.rows_with(rows, "row_key", keys).collect()) == sorted(wanted)
+        others = common.rows_with(rows, "row_key", keys, among=False).collect()
+        assert len(others) == rows.count() - len(wanted) and not {r["row_key"] for r in others} & set(held)
+
+
+def test_fits_hold_little_besides_their_tables():
+    draw = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(draw.choice(letters, 14)) for _ in range(600)) for _ in range(40)]
+    lexicon = toxicity.Lexicon([*texts, " "])
+    net = toxicity.Network()
+    tracemalloc.start()
+    try:
+        vectors = lexicon.vectors(net)
+        assert tracemalloc.get_traced_memory()[1] < len(lexicon.grams) * 4 * toxicity.INPUT  # a vector for each n-gram
+        words = [0, 5, len(lexicon.bucket) - 1]
+        known = np.ones(len(words), bool)
+        assert np.array_equal(vectors[words], toxicity.vectors_of(net, lexicon, np.array(words), len(lexicon.bucket), known))
+        assert not vectors[-1].any()
+        tracemalloc.reset_peak()
+        ordinal_quality.fit(texts * 10, [0, 1] * 200)
+        assert tracemalloc.get_traced_memory()[1] < 2 * 400 * 4 * ordinal_quality.BUCKETS  # the features of all texts once
+    finally:
+        tracemalloc.stop()
+
+
 def test_ordinal_model_orders_grades():
     draw = np.random.default_rng(3)
     texts, grades = [], []
