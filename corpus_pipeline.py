@@ -80,9 +80,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids.
     """
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = docs.select("doc_id", "text", byte_bpe.encode_ids(docs["text"].cast("string"), path, pattern).alias("ids"))
-    back = coded.withColumn("decoded", byte_bpe.decode_ids("ids", path, pattern))
-    return back.select(
+    coded = docs.select("doc_id", "text", byte_bpe.there_and_back(docs["text"].cast("string"), path, pattern).alias("coded"))
+    return coded.select("doc_id", "text", "coded.ids", "coded.decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",

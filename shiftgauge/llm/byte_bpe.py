@@ -168,18 +168,30 @@ def _coder(path: str, pattern: str) -> ByteBpe:
     return held(("byte BPE", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
+def _encoded(coder: ByteBpe, texts: pa.Array) -> pa.ListArray:
+    """Ids of whole texts."""
+    values = texts.to_pylist()
+    packed: list[bytes] = []
+    for start, stop in blocks([len(v or "") for v in values], BLOCK_CHARACTERS):
+        packed += coder.encode(values[start:stop])
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+
+
+def _decoded(coder: ByteBpe, lists: pa.ListArray) -> pa.Array:
+    """Bytes of id arrays; null gives null."""
+    ends = np.cumsum(np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy()]))
+    cuts, data = coder.decode(lists.flatten().to_numpy(), ends)
+    out = [data[a:b] if v else None for a, b, v in zip(cuts[:-1].tolist(), cuts[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
+    return pa.array(out, pa.binary())
+
+
 def encode_ids(text: str | Column, path: str, pattern: str) -> Column:
     """Ids of whole texts as array<int>, one rank per token; null and empty texts give an empty array."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        coder = _coder(path, pattern)
-        values = texts.to_pylist()
-        packed: list[bytes] = []
-        for start, stop in blocks([len(v or "") for v in values], BLOCK_CHARACTERS):
-            packed += coder.encode(values[start:stop])
-        ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+        return _encoded(_coder(path, pattern), texts)
 
     return encode(text)
 
@@ -189,20 +201,31 @@ def decode_ids(ids: str | Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        coder = _coder(path, pattern)
-        ends = np.cumsum(np.concatenate([[0], lists.value_lengths().fill_null(0).to_numpy()]))
-        cuts, data = coder.decode(lists.flatten().to_numpy(), ends)
-        out = [data[a:b] if v else None for a, b, v in zip(cuts[:-1].tolist(), cuts[1:].tolist(), lists.is_valid().to_pylist(), strict=True)]
-        return pa.array(out, pa.binary())
+        return _decoded(_coder(path, pattern), lists)
 
     return decode(ids)
 
 
+def there_and_back(text: str | Column, path: str, pattern: str) -> Column:
+    """A struct of the ids of whole texts, as of encode_ids, and of the bytes that decode_ids gives for them.
+
+    Spark joins encode_ids and a decode_ids of its column to one step that encodes twice: for the ids, and again for their bytes.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def code(texts: pa.Array) -> pa.Array:
+        coder = _coder(path, pattern)
+        ids = _encoded(coder, texts)
+        return pa.StructArray.from_arrays([ids, _decoded(coder, ids)], ["ids", "decoded"])
+
+    return code(text)
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Documents with their ids and the bytes that these give back: doc_id, ids, decoded.
 
     Null and empty texts have no ids and decode to no bytes. Repeated rows, null doc_ids and extra
     columns are no matter: each row is answered by itself, and other columns are left out.
     """
-    encoded = docs.select(docs["doc_id"], encode_ids(docs["text"].cast("string"), path, pattern).alias("ids"))
-    return encoded.select("doc_id", "ids", decode_ids("ids", path, pattern).alias("decoded"))
+    coded = docs.select(docs["doc_id"], there_and_back(docs["text"].cast("string"), path, pattern).alias("coded"))
+    return coded.select("doc_id", "coded.ids", "coded.decoded")

@@ -10,6 +10,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 
+import corpus_pipeline  # noqa: E402
 from shiftgauge.llm import byte_bpe, queries, token_files, warc_archive  # noqa: E402
 from shiftgauge.llm.common import shared_folder  # noqa: E402
 
@@ -41,6 +42,17 @@ def test_byte_bpe_is_tiktoken_and_decodes(spark, odd):
         assert bytes(row["decoded"]) == text.encode()
 
 
+def test_byte_bpe_encodes_once_for_ids_and_bytes(spark, odd):
+    path = P.path("byte_bpe_50k.tiktoken")
+    docs = odd.select("doc_id", "text")
+    for coded in (byte_bpe.encode_decode(odd, path, P.PATTERN), corpus_pipeline.tokens(spark, docs, "")):
+        plan = coded._jdf.queryExecution().executedPlan().toString()
+        assert "pythonUDF0" in plan and "pythonUDF1" not in plan
+    apart = odd.select(byte_bpe.encode_ids("text", path, P.PATTERN).alias("ids")).select("ids", byte_bpe.decode_ids("ids", path, P.PATTERN))
+    both = byte_bpe.encode_decode(odd, path, P.PATTERN).select("ids", "decoded")
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+
+
 def test_every_token_of_the_vocabulary_is_reached():
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     coder = byte_bpe.ByteBpe(ranks, P.PATTERN)
