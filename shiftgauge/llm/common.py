@@ -20,6 +20,8 @@ BLOCK_CHARACTERS = 2_000_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Whether shuffle files are removed when the query that wrote them has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The folder of sessions without spark.checkpoint.dir.
 _OWN: list[str] = []
 
@@ -41,10 +43,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: cuts the lineage, and survives lost executors."""
+    """The rows written to the shared folder and read again: cuts the lineage, and survives lost executors.
+
+    Shuffle files of the write go with its end, not whenever the driver collects its garbage.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(folder)
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -1,5 +1,6 @@
 """The fitted operators: gradients, held-out accuracy, odd rows; the pipeline against its parts; SQL of the queries."""
 
+import time
 import tracemalloc
 import zlib
 
@@ -192,6 +193,16 @@ def test_stages_leave_whole_rows_where_they_are(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
 
 
+def test_stored_rows_leave_no_shuffle_files(spark):
+    kept = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before, setting = kept(), spark.conf.get(common.SHUFFLES_GO)
+    rows = common.stored(spark.range(1000).repartition(5, "id"), "rows")
+    ends = time.monotonic() + 10
+    while kept() > before and time.monotonic() < ends:
+        time.sleep(0.1)
+    assert kept() <= before and rows.count() == 1000 and spark.conf.get(common.SHUFFLES_GO) == setting
+
+
 def test_rows_with_numbers_of_several_bitmaps(spark):
     numbers = [0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, (1 << 33) - 1, 1 << 33, (5 << 33) + 12]
     rows = spark.createDataFrame([(n, str(n)) for n in [*numbers, *numbers[:2], None]], "row_key long, marks string")
