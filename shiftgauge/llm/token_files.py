@@ -10,7 +10,6 @@ on. There is no table of 64-bit offsets.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -18,18 +17,21 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftgauge.llm.common import BLOCK_CHARACTERS, blocks, held, partitions, shared_folder, stored
+from shiftgauge.llm.common import blocks, held, partitions, shared_folder, stored
 
 MAGIC = b"EFTOK001"
 #: Ones between two samples of the select structure.
 SAMPLE = 256
-#: Pieces without white space, and their parts, that a worker remembers; beyond it the memory is cleared,
-#: results stay the same.
-REMEMBERED, REMEMBERED_PARTS = 500_000, 400_000
+#: Parts of texts that a worker remembers; beyond it the memory is cleared, results stay the same.
+REMEMBERED = 500_000
 REMEMBERED_CHARACTERS = 64
+#: Bytes of texts that the writer encodes at a time, one text at least.
+BLOCK_BYTES = 8_000_000
 #: Ids that the reader holds at a time, one document at least.
 READ_IDS = 2_000_000
 
@@ -91,19 +93,30 @@ class EliasFano:
         return int(self.values(i, i + 1)[0])
 
 
-#: Marks that may follow letters in a piece that is cut in two: neither apostrophes nor what special tokens are
-#: made of, so that the vocabulary's rules cut such a piece between both, and nowhere else.
-MARKS = ".,!?;:#$%&*()-="
-_latin = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+").fullmatch
+#: Letters, and marks that may follow them, of a piece that is cut in two. Marks are neither apostrophes nor what special
+#: tokens are made of, so that the vocabulary's rules cut such a piece between both, and nowhere else.
+SIMPLE = (
+    "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*)"
+    r"(?P<marks>[.,!?;:#$%&*()\-=]*)$"
+)
 #: Parts that are handed to the library as one text.
 JOINED = 1000
 
 
+def _gathered(ids: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `ids` with these codes one after the other, and their ends; run i of `ids` ends at ends[i]."""
+    lengths = np.diff(ends, prepend=0)[codes]
+    stops = np.cumsum(lengths)
+    places = np.repeat(ends[codes] - stops, lengths)
+    places += np.arange(len(places))
+    return ids[places], stops
+
+
 class Encoder:
     """A tokenizers vocabulary that drops white space and cuts letters from marks, such as word_bpe_49k.json.
 
     Texts are cut at spaces and line feeds, and simple pieces into letters and marks, places that no token
-    crosses; what is new goes through the library, what is known is looked up.
+    crosses. Each different part of a block is looked up once; what is new goes through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -116,8 +129,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.known_parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _whole(self, pieces: list[str]) -> dict[str, bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -134,35 +146,40 @@ class Encoder:
         data, cuts = ids.astype(self.kind).tobytes(), ((lasts + 1) * self.width).tolist()
         return {p: data[a:b] for p, a, b in zip(parts, [0, *cuts[:-1]], cuts, strict=True)}
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        if len(self.known_parts) > REMEMBERED_PARTS:
-            self.known_parts = {"": b""}
-        split, rest = {}, []
-        for p in pieces:
-            letters = p.rstrip(MARKS)
-            if letters.isalpha() and (letters.isascii() or _latin(letters)):
-                split[p] = (letters.lower(), p[len(letters) :])
-            else:
-                rest.append(p)
-        known = self.known_parts
-        new = list({part for pair in split.values() for part in pair}.difference(known))
-        if new:
-            known |= self._parts(new)
-        return {p: known[a] + known[b] for p, (a, b) in split.items()} | (self._whole(rest) if rest else {})
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of whole texts."""
-        found = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
+    def _looked_up(self, simple: list[str], rest: list[str]) -> list[bytes]:
+        """Ids of letters and marks, then those of other pieces."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set(chain.from_iterable(found)).difference(self.known)
-        learned = self._learn(list(new)) if new else {}
-        short = {p: i for p, i in learned.items() if len(p) <= REMEMBERED_CHARACTERS}
-        self.known |= short
-        if len(short) < len(learned):
-            return [b"".join([learned[p] if p in learned else self.known[p] for p in pieces]) for pieces in found]
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in found]
+            self.known = {"": b""}
+        learned: dict[str, bytes] = {}
+        for parts, encode in ((simple, self._parts), (rest, self._whole)):
+            new = [p for p in parts if p not in self.known]
+            if new:
+                learned |= encode(new)
+        self.known |= {p: i for p, i in learned.items() if len(p) <= REMEMBERED_CHARACTERS}
+        return [learned[p] if p in learned else self.known[p] for p in chain(simple, rest)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, and their ends; null is empty."""
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        # Different pieces as pairs of parts: letters and marks, or the piece and nothing.
+        cut = pc.extract_regex(coded.dictionary, SIMPLE)
+        simple = cut.is_valid()
+        letters, marks = (pc.struct_field(cut.filter(simple), name) for name in ("letters", "marks"))
+        both = pa.concat_arrays([pc.utf8_lower(letters), marks]).dictionary_encode()
+        rest = coded.dictionary.filter(pc.invert(simple)).to_pylist()
+        parts = both.dictionary.to_pylist()
+        found = self._looked_up(parts, rest)
+        pairs = np.empty((len(coded.dictionary), 2), np.int64)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        pairs[is_simple] = both.indices.to_numpy().reshape(2, -1).T
+        pairs[~is_simple, 0] = len(parts) + np.arange(len(rest))
+        pairs[~is_simple, 1] = len(found)
+        found.append(b"")
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // self.width
+        ids, stops = _gathered(np.frombuffer(b"".join(found), self.kind), ends, pairs.ravel())
+        ids, stops = _gathered(ids, stops[1::2], coded.indices.to_numpy())
+        return ids, np.concatenate([[0], stops])[pieces.offsets.to_numpy()[1:]]
 
 
 def _encoder(path: str) -> Encoder:
@@ -216,15 +233,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
     tables give no shard. Extra columns are left out. A repeated task writes the same files again.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = _encoder(tokenizer)
         name = f"{TaskContext.get().partitionId():08d}"
         files, root = _filesystem(folder)
         attempt = f"{root}/_attempts/{name}-{uuid.uuid4().hex}"
-        end = np.array([end_id], dtype=encoder.kind).tobytes()
-        width = len(end)
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         out = None
@@ -232,12 +247,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
             if out is None:
                 files.create_dir(f"{root}/_attempts", recursive=True)
                 out = files.open_output_stream(f"{attempt}.ids")
-            texts = list(batch["text"])
-            for start, stop in blocks([len(t or "") for t in texts], BLOCK_CHARACTERS):
-                coded = encoder.encode(texts[start:stop])
-                out.write(end.join([*coded, b""]))
-                lengths += [len(ids) // width + 1 for ids in coded]
-            doc_ids += [None if pd.isna(d) else int(d) for d in batch["doc_id"].astype(object)]
+            texts = batch.column("text")
+            for start, stop in blocks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK_BYTES):
+                ids, ends = encoder.encode(texts.slice(start, stop - start))
+                out.write(np.insert(ids, ends, end_id).tobytes())
+                lengths += (np.diff(ends, prepend=0) + 1).tolist()
+            doc_ids += batch.column("doc_id").to_pylist()
         if out is None:
             return
         out.close()
@@ -245,7 +260,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
             index.write(index_bytes(doc_ids, lengths, encoder.kind))
         for kind in ("ids", "idx"):
             files.move(f"{attempt}.{kind}", f"{root}/{name}.{kind}")
-        yield pd.DataFrame({"shard": [name], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)]})
+        yield pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)]})
 
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -253,7 +268,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
     keys = (F.col("doc_id").asc_nulls_first(), "tie")
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions(spark), *keys)
     ordered = dealt.sortWithinPartitions(*keys, "text").drop("tie")
-    return stored(ordered.mapInPandas(write, "shard string, n_docs long, n_ids long"), "shards")
+    return stored(ordered.mapInArrow(write, "shard string, n_docs long, n_ids long"), "shards")
 
 
 def read_token_files(shards: DataFrame, folder: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Byte-level BPE, token files and the archive against the libraries and exact round trips."""
 
 import base64
+import cProfile
 import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -97,6 +99,19 @@ def test_token_files_of_odd_rows(spark, odd):
     assert token_files.token_files(odd.limit(0), P.path("word_bpe_49k.json"), 1, spark).count() == 0
 
 
+def test_token_encoder_takes_fewer_python_steps_than_a_block_has_different_pieces():
+    words = [a + b + c for a in ("st", "ré", "lo", "ming", "tra", "ß") for b in ("an", "ei", "ou", "ut") for c in "abcdefghijklmnopqrstuvwxyz"]
+    forms = [f(w) + m for w in words for f in (str, str.title, str.upper) for m in ("", ".", ",", "!", "?", ";", ":", ").", "...")]
+    texts = [" ".join(forms[i::50]) + "\n" for i in range(50)] + ["don't 3,4 (a) x" + forms[0], None, ""]
+    encoder = token_files.Encoder(P.path("word_bpe_49k.json"))
+    steps = cProfile.Profile()
+    ids, ends = steps.runcall(encoder.encode, pa.array(texts, pa.string()))
+    assert [part.tolist() for part in np.split(ids, ends)][:-1] == [
+        e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    ]
+    assert sum(e.callcount for e in steps.getstats()) < len(set(forms)) // 2
+
+
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 5, 5, 5, 1000], list(range(3000)), [7**i for i in range(22)], [0] * 600 + [1 << 40]])
 def test_elias_fano_selects_every_value(values):
     coded = token_files.EliasFano.encode(np.array(values, np.uint64))
